@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality_forest, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup
+from . import hmm_lm, knn_join, language_id, mixing, quality_forest, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,19 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), exact_col="round_trip", keep_cols=["doc_id"])
 
 
+def op3_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = knn_join.knn_join(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "rank", "neighbor_id", F.round("distance", 6).alias("distance"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.dictionaries(docs))
@@ -44,5 +54,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_forest, op2_sentencepiece, op4_substring_dedup, op7_language_id, op8_simhash_dedup, op9_secret_scan, op10_mixing)
+    f.__name__: f for f in (op1_quality_forest, op2_sentencepiece, op3_hmm_lm, op4_substring_dedup, op5_voronoi_knn, op7_language_id, op8_simhash_dedup, op9_secret_scan, op10_mixing)
 }
