@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm_lm, knn_join, language_id, mixing, quality_forest, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup
+from . import hmm_lm, knn_join, language_id, license_scan, mixing, quality_forest, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "rank", "neighbor_id", F.round("distance", 6).alias("distance"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.findings(docs, license_scan.train(docs))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.dictionaries(docs))
@@ -54,5 +59,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_forest, op2_sentencepiece, op3_hmm_lm, op4_substring_dedup, op5_voronoi_knn, op7_language_id, op8_simhash_dedup, op9_secret_scan, op10_mixing)
+    f.__name__: f for f in (op1_quality_forest, op2_sentencepiece, op3_hmm_lm, op4_substring_dedup, op5_voronoi_knn, op6_license_scan, op7_language_id, op8_simhash_dedup, op9_secret_scan, op10_mixing)
 }
