@@ -1,0 +1,216 @@
+"""Ontologies: triples, the concept index, weighted relations and shortest distances.
+
+Ontologies are small and are read on the driver. Distances over a graph of any size are DataFrame operations: a bounded
+number of joins, each followed by an aggregation that keeps the least distance of a pair.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+RDFS = "http://www.w3.org/2000/01/rdf-schema#"
+OWL = "http://www.w3.org/2002/07/owl#"
+TYPE, SUBCLASS, LABEL, SEE_ALSO = RDF + "type", RDFS + "subClassOf", RDFS + "label", RDFS + "seeAlso"
+
+#: Types that say what kind of thing a subject is, not what it means.
+SKIPPED_TYPES = {OWL + "Class", OWL + "NamedIndividual", OWL + "ObjectProperty", OWL + "AnnotationProperty", RDF + "Property"}
+TRIPLES = "triple_ord bigint, s string, p string, o string, o_is_literal boolean, lang string, datatype string"
+
+
+@dataclass(frozen=True)
+class Triple:
+    s: str
+    p: str
+    o: str
+    literal: bool = False
+    lang: str | None = None
+    datatype: str | None = None
+
+
+@dataclass
+class Concept:
+    uri: str
+    name: str
+    labels: list[str] = field(default_factory=list)
+    aliases: list[str] = field(default_factory=list)
+    patterns: list[str] = field(default_factory=list)
+    parent_uris: list[str] = field(default_factory=list)
+    parents: list[str] = field(default_factory=list)
+    entity_type: str | None = None
+    metadata: dict[str, Any] = field(default_factory=dict)
+
+
+def short_name(uri: str) -> str:
+    return uri.rsplit("#", 1)[-1] if "#" in uri else uri.rsplit("/", 1)[-1]
+
+
+def triples_frame(spark: SparkSession, triples: list[Triple]) -> DataFrame:
+    return spark.createDataFrame([(i, t.s, t.p, t.o, t.literal, t.lang, t.datatype) for i, t in enumerate(triples)], TRIPLES)
+
+
+def _predicate(triples: list[Triple], uri: str, name: str) -> str:
+    """The first predicate with this local name, or else one in the subject's namespace."""
+    return next((t.p for t in triples if short_name(t.p) == name), uri.rsplit("#", 1)[0] + "#" + name)
+
+
+def build_index(triples: list[Triple], config: dict | None = None) -> list[Concept]:
+    """Concepts of the configured entity types in the order of the file; labels of all languages count."""
+    config = (config or {}).get("ontology", config or {})
+    properties = config.get("annotation_properties", {k: k for k in ("regex", "code", "category", "priority")})
+    include = config.get("entity_types", {}).get("include", ["owl:Class"])
+    by_subject: dict[str, list[Triple]] = {}
+    for t in triples:
+        by_subject.setdefault(t.s, []).append(t)
+    out: dict[str, Concept] = {}
+    for kind in ("owl:Class", "owl:NamedIndividual"):
+        if kind not in include:
+            continue
+        for s in dict.fromkeys(t.s for t in triples if t.p == TYPE and t.o == OWL + kind.split(":")[1]):
+            own = by_subject[s]
+            values = lambda p: [t.o for t in own if t.p == p]  # noqa: B023, E731
+            c = Concept(s, short_name(s), values(LABEL), values(SEE_ALSO), [], values(SUBCLASS), [short_name(o) for o in values(SUBCLASS)], kind)
+            for key, name in properties.items():
+                if got := values(_predicate(triples, s, name)):
+                    c.metadata[key] = got if len(got) > 1 else got[0]
+                    if key == "regex":
+                        c.patterns += got
+            c.metadata |= {"entity_type": kind, "uri": s, "name": c.name}
+            out[s] = c
+    return list(out.values())
+
+
+# ---------------------------------------------------------------- graphs
+
+
+@dataclass
+class Graph:
+    """At most one edge for (source, target): a later relation replaces an earlier one."""
+
+    nodes: dict[str, str] = field(default_factory=dict)
+    edges: dict[tuple[str, str], dict[str, Any]] = field(default_factory=dict)
+
+    def add(self, s: str, o: str, weight: int, prop: str, direction: str) -> None:
+        for uri in (s, o):
+            self.nodes.setdefault(uri, short_name(uri))
+        self.edges[s, o] = {"weight": weight, "property": prop, "direction": direction}
+
+    def distances_from(self, source: str, cutoff: float) -> dict[str, int]:
+        """Least total weight to every node within ``cutoff``, the source itself at 0; nothing for an unknown source."""
+        if source not in self.nodes:
+            return {}
+        near: dict[str, list[tuple[str, int]]] = {}
+        for (a, b), e in self.edges.items():
+            near.setdefault(a, []).append((b, e["weight"]))
+        done: dict[str, int] = {}
+        heap = [(0, source)]
+        while heap:
+            d, x = heapq.heappop(heap)
+            if x not in done:
+                done[x] = d
+                for y, w in near.get(x, []):
+                    if y not in done and d + w <= cutoff:
+                        heapq.heappush(heap, (d + w, y))
+        return done
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(a, b, e["weight"], e["property"], e["direction"]) for (a, b), e in self.edges.items()], "src string, dst string, weight int, property string, direction string")
+
+
+def resolve_property(triples: list[Triple], name: str) -> str:
+    known = {"rdfs:subClassOf": SUBCLASS, "rdf:type": TYPE}
+    if name in known:
+        return known[name]
+    for t in triples:
+        if short_name(t.p) == name or t.p == name:
+            return t.p
+    raise ValueError(f"Unknown ontology property: {name}")
+
+
+def build_graph(triples: list[Triple], config: dict | None = None) -> Graph:
+    """The configured relations (by default subclasses and types) as weighted edges between URIs."""
+    config = (config or {}).get("ontology", config or {})
+    relations = config.get("relations") or [
+        {"property": "rdfs:subClassOf", "distance": 1, "direction": "child_to_parent"},
+        {"property": "rdf:type", "distance": 1, "direction": "instance_to_class"},
+    ]
+    g = Graph()
+    for rel in relations:
+        name, direction = rel["property"], rel.get("direction", "child_to_parent")
+        weight = int(rel.get("distance", rel.get("weight", 1)))
+        if direction not in ("child_to_parent", "instance_to_class", "parent_to_child", "both"):
+            raise ValueError(f"Unsupported relation direction: {direction}")
+        p = resolve_property(triples, name)
+        for t in triples:
+            if t.p != p or t.literal or (p == TYPE and t.o in SKIPPED_TYPES):
+                continue
+            if direction != "parent_to_child":
+                g.add(t.s, t.o, weight, name, direction)
+            if direction in ("parent_to_child", "both"):
+                g.add(t.o, t.s, weight, name, direction)
+    return g
+
+
+def expansion_edges(triples: list[Triple], include_subclass: bool = True, include_type: bool = True) -> tuple[list[str], list[tuple[str, str]]]:
+    """Every subject and object as a node, and unit edges from child to parent and from individual to class."""
+    nodes = list(dict.fromkeys(x for t in triples for x in (t.s, t.o)))
+    edges = [
+        (t.s, t.o)
+        for t in triples
+        if (include_subclass and t.p == SUBCLASS) or (include_type and t.p == TYPE and t.o not in (OWL + "Class", OWL + "NamedIndividual"))
+    ]
+    return nodes, list(dict.fromkeys(edges))
+
+
+def directed(edges: DataFrame, direction: str) -> DataFrame:
+    """Edges ``src``, ``dst`` (and ``weight``, 1 if absent) followed outgoing, incoming or both ways."""
+    if "weight" not in edges.columns:
+        edges = edges.withColumn("weight", F.lit(1))
+    there, back = edges.select("src", "dst", "weight"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    if direction not in ("outgoing", "incoming", "both"):
+        raise ValueError(f"Unsupported direction: {direction}")
+    return there if direction == "outgoing" else back if direction == "incoming" else there.union(back)
+
+
+def distances(edges: DataFrame, max_distance: int, direction: str = "outgoing", sources: DataFrame | None = None, include_self: bool = False) -> DataFrame:
+    """``src``, ``dst`` and the least ``distance`` of all pairs within ``max_distance``.
+
+    ``sources`` (one column ``src``) limits where paths begin, to what a corpus has been seen to mention for instance, which
+    is what keeps the result small. Weights are whole and positive, so that ``max_distance`` joins reach everything. Pairs
+    of a node with itself (always at 0) are only returned with ``include_self``.
+    """
+    step = directed(edges, direction).where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("weight").cast("int").alias("weight"))
+    begin = sources.select("src").distinct() if sources is not None else step.select("src").union(step.select("dst")).distinct()
+    reached = begin.select("src", F.col("src").alias("dst"), F.lit(0).alias("distance"))
+    for _ in range(max_distance):
+        more = reached.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("next"), "weight"), "dst").select("src", F.col("next").alias("dst"), (F.col("distance") + F.col("weight")).alias("distance"))
+        reached = reached.union(more.where(F.col("distance") <= max_distance)).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+    return reached if include_self else reached.where("src <> dst")
+
+
+def adjacency(graph: Any, direction: str = "outgoing") -> list[tuple[str, str]]:
+    """Edges of a mapping from node to a list, set or mapping of neighbours."""
+    if not isinstance(graph, dict):
+        raise TypeError(f"Unsupported graph type: {type(graph).__name__}")
+    pairs = [(str(a), str(b)) for a, bs in graph.items() for b in bs]
+    if direction not in ("outgoing", "incoming", "both"):
+        raise ValueError(f"Unsupported direction: {direction}")
+    back = [(b, a) for a, b in pairs]
+    return list(dict.fromkeys(pairs if direction == "outgoing" else back if direction == "incoming" else pairs + back))
+
+
+def find_concept(nodes: Iterable[str], wanted: str) -> str:
+    """The node with this URI, or the only one with this short name."""
+    nodes = list(nodes)
+    if wanted in nodes:
+        return wanted
+    got = [n for n in nodes if short_name(n) == wanted]
+    if len(got) != 1:
+        raise ValueError(f"{'Ambiguous' if got else 'Unknown'} concept: {wanted}")
+    return got[0]
