@@ -9,6 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import segment_sums
 
@@ -51,6 +53,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def strong_features(sample: DataFrame, classes: int, min_rows: int, least_z: float) -> np.ndarray:
+    """Sorted features that :func:`fit` would keep, counted by Spark.
+
+    ``sample`` has ``target`` (a class number) and ``features`` (distinct 64-bit hashes of a row), in a table that can be
+    read again. Its size is bounded by the caller; only the features found are sent to the driver.
+    """
+    size = np.zeros(classes, np.int64)
+    for r in sample.groupBy("target").count().collect():
+        size[r.target] = r["count"]
+    n = int(size.sum())
+    by = [F.count_if(F.col("target") == c).cast("double").alias(f"c{c}") for c in range(classes)]
+    counted = sample.select("target", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").cast("double").alias("total"), *by).where(F.col("total") >= min_rows)
+    if least_z > 0:
+        rate = (F.col("total") + 1) / (n + 2)
+        z = [
+            (F.col(f"c{c}") / int(size[c]) - (F.col("total") - F.col(f"c{c}")) / int(n - size[c])) / F.sqrt(rate * (1 - rate) * float(1 / size[c] + 1 / (n - size[c])))
+            for c in range(classes)
+            if c != int(np.argmax(size)) and 0 < size[c] < n
+        ]
+        counted = counted.where(F.greatest(F.lit(0.0), F.lit(0.0), *z) >= least_z)
+    return np.sort(counted.select("feature").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def fit(rows: list[np.ndarray], target: np.ndarray, classes: list[str], min_rows: int = 2, least_z: float = 0.0, l2: float = 1e-3, steps: int = 200, held_out: float = 0.2, seed: int = 7) -> Model:
     """Train on ``rows`` (feature hashes of each, repeats ignored) with classes ``target``.
 

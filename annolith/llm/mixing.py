@@ -31,6 +31,7 @@ TARGETS = {"clean": 1.0, "low_quality": 0.0, "toxic": 0.0}
 TRAIN_ROWS = 8_000
 STEPS = 40
 RIDGE = 1e-3
+MIN_ROWS = 3
 LEAST_Z = 4.0
 PENALTY = 0.01
 TRAIN_STEPS = 150
@@ -47,7 +48,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         h, lens = words_of(texts(batch))
         lists = [np.unique(x).view(np.int64) for x in np.split(h, np.cumsum(lens)[:-1])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> linear.Model:
@@ -61,9 +62,18 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
     there = docs.select(F.col(id_col).cast("bigint").alias("doc_id"))
     own = own.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     chosen = id_and_text(docs, id_col, text_col).join(F.broadcast(own), "doc_id")  # bounded by the parameter
-    rows = chosen.select("doc_id", "text").mapInArrow(_features, "doc_id bigint, words array<bigint>").join(F.broadcast(own), "doc_id").orderBy("doc_id", F.size("words"), F.xxhash64("words")).toPandas()
-    feats = [np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]]
-    return linear.fit(feats, rows["domain"].to_numpy(np.int64), DOMAINS, min_rows=3, least_z=LEAST_Z, l2=PENALTY, steps=TRAIN_STEPS)
+    sample = written(chosen.select("doc_id", "text").mapInArrow(_features, "doc_id bigint, features array<bigint>").join(F.broadcast(own.withColumnRenamed("domain", "target")), "doc_id"), "sample")
+    keys = linear.strong_features(sample, len(DOMAINS), MIN_ROWS, LEAST_Z)
+    held = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.intersect1d(x.values.to_numpy().view(np.uint64), held.value, assume_unique=True).view(np.int64) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "target", "features"])
+
+    rows = sample.select("doc_id", "target", "features").mapInArrow(strong, "doc_id bigint, target int, features array<bigint>").orderBy("doc_id", "target", F.xxhash64("features")).toArrow()
+    feats = [x.values.to_numpy().view(np.uint64) for x in rows.column("features")]
+    return linear.fit(feats, rows.column("target").to_numpy().astype(np.int64), DOMAINS, min_rows=MIN_ROWS, least_z=LEAST_Z, l2=PENALTY, steps=TRAIN_STEPS)
 
 
 def posteriors(model: linear.Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
