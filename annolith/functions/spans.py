@@ -7,6 +7,8 @@ worker, no shuffle. Offsets are those of Python's ``re.finditer``.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,10 +26,26 @@ def java_pattern(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iuU)" if ignore_case else "(?uU)") + pattern
 
 
-def literal_pattern(literal: str, bounded: bool = True) -> str:
-    """A pattern for a phrase, by default only where no word character is next to it."""
-    quoted = re.sub(r"([^\w\s])", r"\\\1", literal) if literal.isascii() else "".join(c if c.isalnum() or c.isspace() or c == "_" else "\\" + c for c in literal)
-    return rf"(?<!\w){quoted}(?!\w)" if bounded else quoted
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it is used: a lambda's argument, which no optimizer inlines."""
+    return F.transform(F.array(value), use)[0]
+
+
+@cache
+def _cases(letter: str) -> str:
+    """A class of all characters that a letter matches when case is ignored; much faster than a flag that folds each place."""
+    same = re.compile(letter, re.I)
+    every = "".join(chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000)
+    return "[" + "".join(sorted(set(same.findall(every)) | {letter})) + "]"
+
+
+def literal_pattern(literal: str, bounded: bool = True, fold: bool = False) -> str:
+    """A pattern for a phrase, by default only where no word character is next to it; ``fold``: of whatever case.
+
+    The phrase comes first and what is before it is looked at last, so that most places fail on its first letter.
+    """
+    quoted = "".join((_cases(c) if fold and c < "\uffff" else c) if c.isalpha() else c if c.isalnum() or c.isspace() or c == "_" else "\\" + c for c in literal)
+    return rf"{quoted}(?!\w)(?<!\w{quoted})" if bounded else quoted
 
 
 def bounded(pattern: str) -> str:
@@ -36,18 +54,22 @@ def bounded(pattern: str) -> str:
 
 def spans(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     """All matches of ``pattern`` as an array of (start, end), in text order; null for a null text."""
-    clean = F.translate(text, _OPEN + _CLOSE, "\x03\x03")
-    parts = F.split(F.regexp_replace(clean, F.lit(java_pattern(pattern, ignore_case)), F.lit(_OPEN + "$0" + _CLOSE)), _OPEN)
+    odd = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE))
+    clean = F.when(odd, F.translate(text, _OPEN + _CLOSE, "\x03\x03")).otherwise(text)
+    marked = F.split(F.regexp_replace(clean, F.lit(java_pattern(pattern, ignore_case)), F.lit(_OPEN + "$0" + _CLOSE)), _OPEN)
     empty = F.array().cast(SPAN)
-    start = F.struct(F.length(parts[0]).alias("at"), empty.alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
         size = F.locate(_CLOSE, part) - F.lit(1)
         span = F.struct(acc["at"].alias("start"), (acc["at"] + size).alias("end"))
         return F.struct((acc["at"] + F.length(part) - F.lit(1)).alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    found = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
-    return F.when(text.isNotNull(), F.when(F.regexp_like(clean, F.lit(java_pattern(pattern, ignore_case))), found).otherwise(empty))
+    def fold(parts: Column) -> Column:
+        start = F.struct(F.length(parts[0]).alias("at"), empty.alias("out"))
+        found = F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), start, step, lambda acc: acc["out"])
+        return F.when(F.size(parts) > 1, found).otherwise(empty)
+
+    return F.when(text.isNotNull(), once(marked, fold))
 
 
 def surface(text: Column, start: Column, end: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import grammar
 from ..functions.language import QuantityRules, TemporalRules, quantity_rules, temporal_rules
-from ..functions.spans import bounded, literal_pattern, overlaps, spans, strip, surface
+from ..functions.spans import bounded, literal_pattern, once, overlaps, spans, strip, surface
 from ..model import annotation, append, no_annotations
 from .resolve import resolve_conflicts, resolve_layer
 
@@ -83,6 +83,11 @@ def pattern_rules(config: dict[str, Any], layer: str = "pattern") -> list[Patter
     return rules
 
 
+def without_overlaps(x: Column) -> Column:
+    """Of the annotations ``got`` those that overlap no span of ``taken``."""
+    return F.filter(x["got"], lambda a: ~F.exists(x["taken"], lambda s: overlaps(a["start"], a["end"], s["start"], s["end"])))
+
+
 @dataclass
 class PatternAnnotator:
     rules: list[PatternRule]
@@ -97,13 +102,13 @@ class PatternAnnotator:
         for rule in self.rules:
             ignore = self.ignore_case if rule.case_sensitive is None else not rule.case_sensitive
             edges = self.word_boundaries if rule.word_boundaries is None else rule.word_boundaries
-            barred = [spans(F.col("text"), literal_pattern(e), ignore) for e in rule.exceptions]
+            barred = [spans(F.col("text"), literal_pattern(e, fold=ignore), False) for e in rule.exceptions]
             for pattern in rule.patterns:
                 about = rule.metadata | {"rule_id": rule.id, "matched_value": pattern, "match_type": rule.match, "priority": rule.priority}
-                regex = pattern if rule.match == "regex" else literal_pattern(pattern, edges)
-                got = found(regex, ignore, label=F.lit(rule.label), layer=F.lit(rule.layer), source=F.lit(self.source), type=F.lit(rule.type), subtype=F.lit(rule.subtype), metadata=F.lit(dump(about)))
-                for b in barred:
-                    got = F.filter(got, lambda a, b=b: ~F.exists(b, lambda s: overlaps(a["start"], a["end"], s["start"], s["end"])))
+                regex = pattern if rule.match == "regex" else literal_pattern(pattern, edges, ignore)
+                got = found(regex, ignore and rule.match == "regex", label=F.lit(rule.label), layer=F.lit(rule.layer), source=F.lit(self.source), type=F.lit(rule.type), subtype=F.lit(rule.subtype), metadata=F.lit(dump(about)))
+                for taken in barred:
+                    got = once(F.struct(got.alias("got"), taken.alias("taken")), without_overlaps)
                 out.append(got)
         return joined(out)
 
@@ -139,7 +144,7 @@ class OntologyAnnotator:
                 split = re.sub(r"(?<!^)(?=[A-Z])", " ", c.name)
                 if self.match_name_camel_case and split != c.name:
                     terms.append((split, "name_camel_case"))
-            out += [(c, literal_pattern(t), kind, t) for t, kind in terms if t]
+            out += [(c, literal_pattern(t, fold=True), kind, t) for t, kind in terms if t]
             out += [(c, bounded(p), "regex", p) for p in c.patterns if self.match_patterns]
         return out
 
@@ -147,7 +152,7 @@ class OntologyAnnotator:
         arrays = []
         for c, regex, kind, value in self.terms():
             about = {"concept_id": c.uri, "concept_uri": c.uri, "concept_name": c.name, "entity_type": c.entity_type, "match_source": kind, "matched_value": value}
-            arrays.append(found(regex, label=F.lit(c.name), layer=F.lit(self.layer), source=F.lit(self.source), type=F.lit("ontology"), metadata=F.lit(dump(about))))
+            arrays.append(found(regex, kind == "regex", label=F.lit(c.name), layer=F.lit(self.layer), source=F.lit(self.source), type=F.lit("ontology"), metadata=F.lit(dump(about))))
         return append(docs, joined(arrays))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import canonical, distance_weight, meta, smoothed_idf
 
-_FIRST = F.min(F.struct("doc_id", "ord"))
+def _first() -> Column:
+    return F.min(F.struct("doc_id", "ord"))
 
 
 def _empty(c: str) -> Column:
@@ -42,7 +43,7 @@ def summary_counts(flat: DataFrame) -> DataFrame:
     """All four counts in one pass: ``grouping`` says of what, the other columns are null where they don't apply."""
     keyed = flat.select(_empty("text").alias("text"), _empty("layer").alias("layer"), _empty("label").alias("label"), "doc_id", "ord")
     layer, label, text = F.col("layer"), F.col("label"), F.col("text")
-    got = keyed.groupingSets([[layer], [label], [layer, label], [text, layer, label]], text, layer, label).agg(F.count("*").alias("count"), _FIRST.alias("first"), F.grouping_id().alias("g"))
+    got = keyed.groupingSets([[layer], [label], [layer, label], [text, layer, label]], text, layer, label).agg(F.count("*").alias("count"), _first().alias("first"), F.grouping_id().alias("g"))
     names = F.create_map(*[F.lit(x) for x in (5, "layer", 6, "label", 4, "layer_label", 0, "annotation")])
     return got.select(names[F.col("g").cast("int")].alias("grouping"), "text", "layer", "label", "count", "first")
 
@@ -50,7 +51,7 @@ def summary_counts(flat: DataFrame) -> DataFrame:
 def top_counts(flat: DataFrame, grouping: str, top: int) -> DataFrame:
     """The most frequent of one grouping; ties by first appearance."""
     keys = {"layer": ["layer"], "label": ["label"], "layer_label": ["layer", "label"], "annotation": ["text", "layer", "label"]}[grouping]
-    got = flat.groupBy(*[_empty(k).alias(k) for k in keys]).agg(F.count("*").alias("count"), _FIRST.alias("first"))
+    got = flat.groupBy(*[_empty(k).alias(k) for k in keys]).agg(F.count("*").alias("count"), _first().alias("first"))
     return got.orderBy(F.desc("count"), "first").limit(top).drop("first")
 
 
@@ -63,7 +64,7 @@ def layers(flat: DataFrame) -> DataFrame:
 
 def most_common(flat: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """The value that most of a key's rows have; ties by first appearance."""
-    each = flat.groupBy(*keys, value.alias("__v")).agg(F.count("*").alias("n"), _FIRST.alias("first"))
+    each = flat.groupBy(*keys, value.alias("__v")).agg(F.count("*").alias("n"), _first().alias("first"))
     return each.groupBy(*keys).agg(F.min_by("__v", F.struct(-F.col("n"), "first")).alias(name), F.sum("n").alias("tf"), F.min("first").alias("first"))
 
 

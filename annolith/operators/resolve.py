@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import meta, overlaps
+from ..functions.spans import meta, once, overlaps
 from ..model import no_annotations
 
 #: How much a layer matters when only some annotations can be shown.
@@ -32,15 +32,14 @@ def ranked(annotations: Column, key: Key) -> Column:
     return F.transform(F.array_sort(F.transform(annotations, lambda a, i: F.struct(*[k.alias(f"k{n}") for n, k in enumerate(key(a))], i.alias("i"), a.alias("a")))), lambda x: x["a"])
 
 
-def clusters(items: Column) -> Column:
+def clusters(items: Column, none: Column) -> Column:
     """Items (structs with a span ``a`` and a place ``i``) grouped so that spans of different groups never overlap.
 
     What a greedy choice keeps in one group doesn't depend on another, so that a document with many annotations costs about
-    as much as its groups, which are small.
+    as much as its groups, which are small. ``none`` is an empty array of items.
     """
     ordered = F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["a"]["start"].alias("s"), x["i"].alias("i"), x.alias("x")))), lambda y: y["x"])
-    none = F.slice(items, 1, 0)
-    start = F.struct(F.slice(F.array(items), 1, 0).alias("done"), none.alias("cur"), F.lit(-1).alias("end"))
+    start = F.struct(F.slice(F.array(none), 1, 0).alias("done"), none.alias("cur"), F.lit(-1).alias("end"))
 
     def step(acc: Column, x: Column) -> Column:
         closed = F.when(F.size(acc["cur"]) > 0, F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])
@@ -53,14 +52,19 @@ def clusters(items: Column) -> Column:
 
 def kept_items(annotations: Column, preference: Key) -> Column:
     """The (annotation, place) pairs that overlap none preferred to them; ties in preference go by place."""
-    items = F.transform(annotations, lambda a, i: F.struct(a.alias("a"), i.alias("i")))
+    return once(annotations, lambda a: _kept_items(a, preference))
+
+
+def _kept_items(annotations: Column, preference: Key) -> Column:
+    paired = lambda array: F.transform(array, lambda a, i: F.struct(a.alias("a"), i.alias("i")))
+    groups = clusters(paired(annotations), paired(F.slice(annotations, 1, 0)))
     fits = lambda kept, x: ~F.exists(kept, lambda k: overlaps(x["a"]["start"], x["a"]["end"], k["a"]["start"], k["a"]["end"]))
 
     def choose(group: Column) -> Column:
         order = F.transform(F.array_sort(F.transform(group, lambda x: F.struct(*[k.alias(f"k{n}") for n, k in enumerate(preference(x["a"]))], x["i"].alias("i"), x.alias("x")))), lambda y: y["x"])
         return F.aggregate(order, F.slice(group, 1, 0), lambda kept, x: F.when(fits(kept, x), F.array_append(kept, x)).otherwise(kept))
 
-    return F.flatten(F.transform(clusters(items), lambda g: F.when(F.size(g) > 1, choose(g)).otherwise(g)))
+    return F.flatten(F.transform(groups, lambda g: F.when(F.size(g) > 1, choose(g)).otherwise(g)))
 
 
 def greedy(annotations: Column, preference: Key) -> Column:
@@ -81,9 +85,12 @@ def select_non_overlapping(annotations: Column, preference: Key | None = None) -
 
 def resolve_layer(annotations: Column, layer: str, preference: Key | None = None) -> Column:
     """One layer resolved, others as they are; all in text order, the others first where places are the same."""
-    others = F.filter(annotations, lambda a: ~a["layer"].eqNullSafe(layer))
-    own = select_non_overlapping(F.filter(annotations, lambda a: a["layer"].eqNullSafe(layer)), preference)
-    return by_place(F.concat(others, own))
+
+    def both(all_of: Column) -> Column:
+        others = F.filter(all_of, lambda a: ~a["layer"].eqNullSafe(layer))
+        return F.concat(others, select_non_overlapping(F.filter(all_of, lambda a: a["layer"].eqNullSafe(layer)), preference))
+
+    return by_place(once(annotations, both))
 
 
 def resolve_conflicts(candidates: Column, strategy: str) -> Column:
@@ -109,18 +116,22 @@ def select_visible(annotations: Column) -> Column:
 
 def resolve_by_label(annotations: Column, layer: str | None = None) -> Column:
     """The older resolver: longest, then first, then by label, within a layer if one is named; by (start, end, layer, label)."""
-    chosen = annotations if layer is None else F.filter(annotations, lambda a: a["layer"].eqNullSafe(layer))
-    kept = greedy(chosen, lambda a: [-length(a), a["start"], a["label"]])
-    if layer is not None:
-        kept = F.concat(F.filter(annotations, lambda a: ~a["layer"].eqNullSafe(layer)), kept)
-    return ranked(kept, lambda a: [a["start"], a["end"], a["layer"], a["label"]])
+    key = lambda a: [-length(a), a["start"], a["label"]]
+
+    def kept(all_of: Column) -> Column:
+        if layer is None:
+            return greedy(all_of, key)
+        others = F.filter(all_of, lambda a: ~a["layer"].eqNullSafe(layer))
+        return F.concat(others, greedy(F.filter(all_of, lambda a: a["layer"].eqNullSafe(layer)), key))
+
+    return ranked(once(annotations, kept), lambda a: [a["start"], a["end"], a["layer"], a["label"]])
 
 
 def paint_order(annotations: Column) -> Column:
     """Spans a renderer paints going left to right: each that starts at or after the end of the last one painted."""
-    start = F.struct(F.lit(0).alias("at"), F.slice(annotations, 1, 0).alias("out"))
+    start = lambda all_of: F.struct(F.lit(0).alias("at"), F.slice(all_of, 1, 0).alias("out"))
     step = lambda acc, a: F.when(a["start"] < acc["at"], acc).otherwise(F.struct(a["end"].alias("at"), F.array_append(acc["out"], a).alias("out")))
-    return F.aggregate(ranked(annotations, lambda a: [a["start"], -length(a)]), start, step, lambda acc: acc["out"])
+    return once(annotations, lambda all_of: F.aggregate(ranked(all_of, lambda a: [a["start"], -length(a)]), start(all_of), step, lambda acc: acc["out"]))
 
 
 def apply_resolver(docs: DataFrame, config: dict | None) -> DataFrame:
