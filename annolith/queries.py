@@ -101,8 +101,9 @@ def _flat(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return docs, flatten(docs)
 
 
-def _rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 9) for c in cols})
+def _rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
+    """Sums of doubles depend on their order in the last digits; large ones are compared with fewer decimals."""
+    return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
 def summary_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +143,7 @@ def _near(spark: SparkSession, include_self: bool) -> DataFrame:
 def _extended_tfidf(kind: str, aggregation: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         scored = M.tfidf(*_flat(spark, sf_dir), layer="function")
-        return _rounded(M.extended_tfidf(scored, _near(spark, True), 0.5, "function", kind, aggregation), "score")
+        return _rounded(M.extended_tfidf(scored, _near(spark, True), 0.5, "function", kind, aggregation), "score", digits=6)
 
     return query
 
@@ -362,7 +363,7 @@ sc AS (SELECT doc_id, label, tf, df, CASE WHEN df > 1 THEN ln((SELECT count(*) F
 def _ext_tfidf_sql(weight: str, agg: str) -> str:
     return f"""{_words()}, {_dist(4, True)}, {_TFIDF},
 own AS (SELECT a.doc_id, a.concept_uri AS src, sc.tf * sc.idf AS score FROM ann a JOIN sc ON sc.doc_id = a.doc_id AND sc.label = a.label WHERE a.layer = 'function')
-SELECT doc_id, dst AS concept, round({agg}(score * {weight}), 9) AS score FROM own JOIN dist USING (src) GROUP BY doc_id, dst"""
+SELECT doc_id, dst AS concept, round({agg}(score * {weight}), 6) AS score FROM own JOIN dist USING (src) GROUP BY doc_id, dst"""
 
 
 def _ext_salience_ctes(direction: str) -> str:
