@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from .shared import binary_array, hash_strings, id_and_text, mix64, pack_ascending, powers, shuffle_width, slices, split_words, starts_of, texts, unpack_ascending
 
 WINDOW = 50
+#: Text of a chunk; larger ones send a passage that many documents share fewer times.
+_SLICE = 8 << 20
 
 _PACK = "chunk bigint, bucket int, hashes binary, places binary, ids binary, counts binary"
 _FIELDS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
@@ -45,7 +47,7 @@ def window_hashes(token_hash: np.ndarray, lens: np.ndarray, window: int) -> tupl
 def _scan(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             codes, words, lens = split_words(texts(batch))
             hashes, counts = window_hashes(hash_strings(words)[codes], lens, window)
             if not len(hashes):
