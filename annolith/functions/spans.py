@@ -53,7 +53,11 @@ def bounded(pattern: str) -> str:
 
 
 def spans(text: Column, pattern: str, ignore_case: bool = True) -> Column:
-    """All matches of ``pattern`` as an array of (start, end), in text order; null for a null text."""
+    """All matches of ``pattern`` as an array of (start, end), in text order; null for a null text.
+
+    One difference from Python: a pattern that matches nothing at all (``x*``) also does so inside a character beyond
+    U+FFFF, which the JVM holds as two units.
+    """
     odd = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE))
     clean = F.when(odd, F.translate(text, _OPEN + _CLOSE, "\x03\x03")).otherwise(text)
     marked = F.split(F.regexp_replace(clean, F.lit(java_pattern(pattern, ignore_case)), F.lit(_OPEN + "$0" + _CLOSE)), _OPEN)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.resolve import paint_order, select_visible
 
@@ -47,12 +49,15 @@ def annotated_html(text: str, annotations: list[dict[str, Any]], colors: dict[st
 def fragments(docs: DataFrame, colors: dict[str, str] | None = None) -> DataFrame:
     """``doc_id`` and ``html``, a fragment for each document with what is visible of its annotations."""
 
-    @F.pandas_udf("string")
-    def paint(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([annotated_html(t or "", json.loads(s or "[]"), colors) for t, s in zip(text, spans)])
+    shown = F.transform(paint_order(select_visible(F.col("annotations"))), lambda a: F.struct(*[a[c].alias(c) for c in ("start", "end", "label", "layer")]))
+    rows = docs.select("doc_id", "text", F.to_json(shown).alias("spans"))
 
-    shown = paint_order(select_visible(F.col("annotations")))
-    return docs.select("doc_id", paint("text", F.to_json(F.transform(shown, lambda a: F.struct(*[a[c].alias(c) for c in ("start", "end", "label", "layer")])))).alias("html"))
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([annotated_html(t or "", json.loads(s or "[]"), colors) for t, s in pairs], pa.string())], names=["doc_id", "html"])
+
+    return rows.mapInArrow(paint, T.StructType([rows.schema["doc_id"], T.StructField("html", T.StringType())]))
 
 
 def render_html(docs: DataFrame, title: str = "Annotation report", colors: dict[str, str] | None = None, extended: DataFrame | None = None) -> str:
