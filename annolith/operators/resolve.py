@@ -33,44 +33,44 @@ def ranked(annotations: Column, key: Key) -> Column:
 
 
 def clusters(items: Column, none: Column) -> Column:
-    """Items (structs with a span ``a`` and a place ``i``) grouped so that spans of different groups never overlap.
+    """Items (structs of start ``s``, end ``e`` and place ``i``) grouped so that spans of different groups never overlap.
 
     What a greedy choice keeps in one group doesn't depend on another, so that a document with many annotations costs about
-    as much as its groups, which are small. ``none`` is an empty array of items.
+    as much as its groups, which are small. ``none`` is an empty array of items. A fold copies what it has gathered at
+    every step, which is why it gathers numbers and no annotations.
     """
-    ordered = F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["a"]["start"].alias("s"), x["i"].alias("i"), x.alias("x")))), lambda y: y["x"])
     start = F.struct(F.slice(F.array(none), 1, 0).alias("done"), none.alias("cur"), F.lit(-1).alias("end"))
 
     def step(acc: Column, x: Column) -> Column:
         closed = F.when(F.size(acc["cur"]) > 0, F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])
-        fresh = F.struct(closed.alias("done"), F.array(x).alias("cur"), x["a"]["end"].alias("end"))
-        grown = F.struct(acc["done"].alias("done"), F.array_append(acc["cur"], x).alias("cur"), F.greatest(acc["end"], x["a"]["end"]).alias("end"))
-        return F.when(x["a"]["start"] >= acc["end"], fresh).otherwise(grown)
+        fresh = F.struct(closed.alias("done"), F.array(x).alias("cur"), x["e"].alias("end"))
+        grown = F.struct(acc["done"].alias("done"), F.array_append(acc["cur"], x).alias("cur"), F.greatest(acc["end"], x["e"]).alias("end"))
+        return F.when(x["s"] >= acc["end"], fresh).otherwise(grown)
 
-    return F.aggregate(ordered, start, step, lambda acc: F.array_append(acc["done"], acc["cur"]))
+    return F.aggregate(F.array_sort(items), start, step, lambda acc: F.array_append(acc["done"], acc["cur"]))
 
 
-def kept_items(annotations: Column, preference: Key) -> Column:
-    """The (annotation, place) pairs that overlap none preferred to them; ties in preference go by place."""
-    return once(annotations, lambda a: _kept_items(a, preference))
-
-
-def _kept_items(annotations: Column, preference: Key) -> Column:
-    paired = lambda array: F.transform(array, lambda a, i: F.struct(a.alias("a"), i.alias("i")))
-    groups = clusters(paired(annotations), paired(F.slice(annotations, 1, 0)))
-    fits = lambda kept, x: ~F.exists(kept, lambda k: overlaps(x["a"]["start"], x["a"]["end"], k["a"]["start"], k["a"]["end"]))
+def _kept(annotations: Column, preference: Key) -> Column:
+    """Start, end and place of those that overlap none preferred to them; ties in preference go by place."""
+    item = lambda a, i: F.struct(a["start"].alias("s"), a["end"].alias("e"), i.alias("i"))
+    groups = clusters(F.transform(annotations, item), F.transform(F.slice(annotations, 1, 0), item))
+    fits = lambda kept, x: ~F.exists(kept, lambda k: overlaps(x["s"], x["e"], k["s"], k["e"]))
 
     def choose(group: Column) -> Column:
-        order = F.transform(F.array_sort(F.transform(group, lambda x: F.struct(*[k.alias(f"k{n}") for n, k in enumerate(preference(x["a"]))], x["i"].alias("i"), x.alias("x")))), lambda y: y["x"])
-        return F.aggregate(order, F.slice(group, 1, 0), lambda kept, x: F.when(fits(kept, x), F.array_append(kept, x)).otherwise(kept))
+        return F.aggregate(in_order(annotations, group, preference), F.slice(group, 1, 0), lambda kept, x: F.when(fits(kept, x), F.array_append(kept, x)).otherwise(kept))
 
     return F.flatten(F.transform(groups, lambda g: F.when(F.size(g) > 1, choose(g)).otherwise(g)))
 
 
+def in_order(annotations: Column, items: Column, preference: Key) -> Column:
+    """Items by what their annotations are preferred by, then by place."""
+    keyed = lambda x: F.struct(*[k.alias(f"k{n}") for n, k in enumerate(preference(annotations[x["i"]]))], x["i"].alias("i"), x.alias("x"))
+    return F.transform(F.array_sort(F.transform(items, keyed)), lambda y: y["x"])
+
+
 def greedy(annotations: Column, preference: Key) -> Column:
     """Those annotations that overlap none preferred to them, in order of preference."""
-    kept = F.transform(F.array_sort(F.transform(kept_items(annotations, preference), lambda x: F.struct(*[k.alias(f"k{n}") for n, k in enumerate(preference(x["a"]))], x["i"].alias("i"), x.alias("x")))), lambda y: y["x"]["a"])
-    return kept
+    return once(annotations, lambda every: F.transform(in_order(every, _kept(every, preference), preference), lambda x: every[x["i"]]))
 
 
 def by_place(annotations: Column) -> Column:
@@ -79,8 +79,8 @@ def by_place(annotations: Column) -> Column:
 
 def select_non_overlapping(annotations: Column, preference: Key | None = None) -> Column:
     """The longest first (ties by place in the array), or by ``preference``; the result in text order."""
-    kept = kept_items(annotations, preference or (lambda a: [-length(a)]))
-    return F.transform(ranked(kept, lambda x: [x["a"]["start"], x["a"]["end"], x["i"]]), lambda x: x["a"])
+    key = preference or (lambda a: [-length(a)])
+    return once(annotations, lambda every: F.transform(F.array_sort(_kept(every, key)), lambda x: every[x["i"]]))
 
 
 def resolve_layer(annotations: Column, layer: str, preference: Key | None = None) -> Column:
@@ -129,9 +129,13 @@ def resolve_by_label(annotations: Column, layer: str | None = None) -> Column:
 
 def paint_order(annotations: Column) -> Column:
     """Spans a renderer paints going left to right: each that starts at or after the end of the last one painted."""
-    start = lambda all_of: F.struct(F.lit(0).alias("at"), F.slice(all_of, 1, 0).alias("out"))
-    step = lambda acc, a: F.when(a["start"] < acc["at"], acc).otherwise(F.struct(a["end"].alias("at"), F.array_append(acc["out"], a).alias("out")))
-    return once(annotations, lambda all_of: F.aggregate(ranked(all_of, lambda a: [a["start"], -length(a)]), start(all_of), step, lambda acc: acc["out"]))
+    def paint(every: Column) -> Column:
+        items = F.array_sort(F.transform(every, lambda a, i: F.struct(a["start"].alias("s"), (-length(a)).alias("n"), i.alias("i"), a["end"].alias("e"))))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.when(x["s"] < acc["at"], acc).otherwise(F.struct(x["e"].alias("at"), F.array_append(acc["out"], x["i"]).alias("out")))
+        return F.transform(F.aggregate(items, start, step, lambda acc: acc["out"]), lambda i: every[i])
+
+    return once(annotations, paint)
 
 
 def apply_resolver(docs: DataFrame, config: dict | None) -> DataFrame:
