@@ -113,7 +113,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = S
     sets = {f: [grams_of(t) for t in TEMPLATES[f]] for f in families}
     held = {f: [(f"{f}-{i}", longest(x), x[longest(x)]) for i, x in enumerate(sets[f])] for f in families}
     every = set().union(*(x[2] for f in families for x in sets[f]))
-    chosen = id_and_text(docs, id_col, text_col).where("doc_id is not null and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    some = id_and_text(docs, id_col, text_col).where("doc_id is not null and text is not null")
+    ids = some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)  # ids alone are gathered, then their texts are found
+    chosen = some.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
     lines = chosen.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''").orderBy(F.xxhash64("doc_id", "line"), "line").limit(sample_lines).toArrow().column("line").to_pylist()
     unknown = [x for x in lines if not (t := grams_of(x)[2]) or len(t & every) < 0.2 * len(t)]
     filler = sorted({w for x in unknown[:200] for w in x.split()[:20]} | {"2019", "2024", "John", "Smith", "Inc.", "Copyright", "(c)", "the", "Contributors", "project", "file"})
