@@ -2,9 +2,10 @@
 
 A document starts as one layer. Each layer is scanned by every rule, then searched for encoded regions: percent escapes,
 Unicode and HTML escapes, base64, and gzip, zlib, bzip2, xz or zstandard data inside base64. What a region decodes to is
-a new layer on the worklist, and so on until nothing decodes: a fixpoint. A layer whose text the document has shown
-before is not taken up again, so data that decode to themselves end. Every character of a layer knows the span of the
-document it comes from, so a secret found at any depth is mapped to the text that hides it.
+a new layer on the worklist, and so on until nothing decodes: a fixpoint. A layer that shows the same text from the same
+characters of the document again is not taken up, so data that decode to themselves end, while each copy of an encoded
+passage is scanned. Every character of a layer knows the span of the document it comes from, so a secret found at any
+depth is mapped to the text that hides it.
 
 Only documents that could matter reach the worklist: one linear-time expression over the Arrow column is implied by every
 rule and every decoder.
@@ -76,6 +77,10 @@ class Layer:
     def span(self, start: int, end: int) -> tuple[int, int]:
         return int(self.first[start:end].min()), int(self.last[start:end].max())
 
+    def key(self) -> tuple[str, bytes]:
+        """The text and where its characters come from; spans only narrow from layer to layer, so keys run out."""
+        return self.text, hashlib.sha256(self.first.tobytes() + self.last.tobytes()).digest()
+
 
 def root(text: str) -> Layer:
     at = np.arange(len(text), dtype=np.int64)
@@ -210,7 +215,8 @@ def scan(text: str, decoders: Callable[[Layer], Iterator[Layer]] = decode_layers
 
     Sorted, without repeats; a secret that several layers show at one place is reported for the least deep.
     """
-    work, seen = [root(text)], {text}
+    work = [root(text)]
+    seen = {work[0].key()}
     found: dict[tuple[str, int, int, str], tuple[str, int]] = {}
     for layer in work:
         for name, (rule, group) in _COMPILED.items():
@@ -219,8 +225,8 @@ def scan(text: str, decoders: Callable[[Layer], Iterator[Layer]] = decode_layers
                 key = (name, start, end, hashlib.sha256(m.group(group).encode()).hexdigest())
                 found.setdefault(key, (">".join(layer.path), len(layer.path)))
         for below in decoders(layer):
-            if len(below.text) >= _SHORTEST and below.text not in seen:
-                seen.add(below.text)
+            if len(below.text) >= _SHORTEST and (shown := below.key()) not in seen:
+                seen.add(shown)
                 work.append(below)
     return sorted((name, start, end, path, depth, digest) for (name, start, end, digest), (path, depth) in found.items())
 

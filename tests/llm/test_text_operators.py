@@ -3,6 +3,7 @@
 import base64
 import gzip
 import os
+import re
 import urllib.parse
 
 import numpy as np
@@ -121,6 +122,16 @@ def test_secrets_at_any_depth(wrap, path):
     assert [h for h in secret_scan.scan(secret_scan.redacted(text)) if h[0] == "aws_access_key"] == []
 
 
+@pytest.mark.parametrize("wrap", [lambda s: base64.b64encode(s.encode()).decode(), lambda s: s.replace("A", "%41"), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: base64.b64encode(gzip.compress(s.encode() * 2)).decode()])
+def test_every_copy_of_an_encoded_secret_is_found(wrap):
+    line = f"{wrap(f'key {KEY} end')}\n"
+    text = f"{line}between\n{line}{line}"
+    hits = [h for h in secret_scan.scan(text) if h[0] == "aws_access_key"]
+    starts = [m.start() for m in re.finditer(re.escape(line), text)]
+    assert {max(s for s in starts if s <= h[1]) for h in hits} == set(starts) and len(starts) == 3
+    assert [h for h in secret_scan.scan(secret_scan.redacted(text)) if h[0] == "aws_access_key"] == []
+
+
 def test_scan_ends_on_cycles():
     same = secret_scan.Layer("x" * 40, np.arange(40), np.arange(40) + 1)
     calls = []
