@@ -96,6 +96,20 @@ def test_languages_and_odd_rows(spark):
         language_id.identify(docs, {"aa": b"x"})
 
 
+def test_clean_long_texts_keep_their_language(spark):
+    rng = np.random.default_rng(4)
+    ends = {"aa": ["en", "er", "ung", "st"], "bb": ["os", "as", "ar", "ado"]}  # languages that share stems, not endings
+    stems = ["".join(rng.choice(list("abcdefghijklmnoprstu"), 5)) for _ in range(3000)]
+    write = lambda k, n: " ".join(a + b for a, b in zip(rng.choice(stems, n), rng.choice(ends[k], n)))
+    labelled = spark.createDataFrame([(i, write(k, 300), k) for i, k in enumerate(["aa", "bb"] * 60)], "doc_id long, text string, lang string")
+    d = language_id.dictionaries(labelled)
+    long = [(n, k, write(k, n // 8)[:n]) for n in (3_000, 100_000, 1_000_000, 10_000_000) for k in ends]
+    got = language_id.identify(frame(spark, [(i, t) for i, (_, _, t) in enumerate(long)]), d).collect()
+    assert {r.doc_id: r.language for r in got} == {i: k for i, (_, k, _) in enumerate(long)}
+    margins = [r.margin for r in got]
+    assert max(margins) < 2 * min(margins)  # the same at all lengths
+
+
 @pytest.mark.parametrize(
     "wrap,path",
     [
