@@ -12,6 +12,11 @@ Only distinct fingerprints enter the tables, eight bytes each and packed, so tha
 entry. In a bucket, fingerprints within the radius are joined by a spanning forest instead of all pairs: one is expanded
 against those not yet reached, so that a dense bucket of near copies costs about its size, and an edge is sent only from
 the first table in which its ends collide. Connected components of the edges are the groups.
+
+Verified (``verify``, the default): 64 bits say too little at scale, as pairs of unrelated texts within the radius grow with
+the square of their number. The fingerprint then has 64 more bits, from the other half of the MD5, which must be within
+``CHECK_RADIUS`` before two entries are joined. ``op8_simhash_dedup`` is not
+verified: its SQL defines copies by the 64 bits of stems.
 """
 
 from __future__ import annotations
@@ -25,11 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, mix64, slices, split_words, starts_of, texts, written
+from .shared import id_and_text, mix64, segment_sums, slices, split_words, starts_of, texts, written
 
 RADIUS = 8
 MIN_WORDS = 12
 STEM = 5
+CHECK_RADIUS = 16
 SUB_TABLE = 150_000
 
 
@@ -64,6 +70,43 @@ def word_hash(word: str) -> int:
     return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
 
 
+def node_of(fps: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each 128-bit fingerprint."""
+    return mix64(fps ^ mix64(check))
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache: dict[str, bytes] = {}
+    for batch in slices(batches):
+        codes, words, lens = split_words(pc.utf8_lower(texts(batch)))
+        words = pc.replace_substring_regex(words, r"[^\p{L}\p{N}_]+", "")
+        some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        lens, codes = segment_sums(some[codes].astype(np.int64), lens), codes[some[codes]]
+        features = pc.utf8_slice_codeunits(words, 0, STEM)
+        if len(cache) > 500_000:
+            cache.clear()
+        features = features.dictionary_encode()
+        values = features.dictionary.to_pylist()
+        for w in values:
+            if w not in cache:
+                cache[w] = hashlib.md5(w.encode()).digest()
+        digests = np.frombuffer(b"".join([cache[w] for w in values]), np.uint8).reshape(-1, 16)
+        pairs = np.unique(np.repeat(np.arange(len(lens)), lens) * max(1, len(values)) + features.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes])
+        doc, code = pairs // max(1, len(values)), pairs % max(1, len(values))
+        count = np.bincount(doc, minlength=len(lens))
+        out = np.zeros((len(lens), 2), np.uint64)
+        at, lo = starts_of(count), 0
+        while lo < len(lens):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 17), side="right")) - 1)
+            own = np.arange(lo, hi)[count[lo:hi] > 0]
+            if len(own):
+                ones = np.add.reduceat(np.unpackbits(digests[code[at[lo] : at[hi]]], axis=1), at[own] - at[lo], axis=0, dtype=np.int32)
+                out[own] = np.packbits(2 * ones > count[own, None], axis=1).view(">u8")
+            lo = hi
+        fps, check = np.ascontiguousarray(out.T)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in (node_of(fps, check), fps, check)], pa.array(count.astype(np.int32))], names=["doc_id", "node", "fingerprint", "check", "words"])
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict[str, int] = {}
     for batch in slices(batches):
@@ -113,28 +156,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_and_text(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id bigint, fingerprint bigint, words int")
 
 
-def _tables(masks: np.ndarray, parts: int):
+def _tables(masks: np.ndarray, parts: int, verify: bool):
     schema = pa.schema([("bucket", pa.int64()), ("fps", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            fps = np.concatenate(held)
+            rows = np.concatenate(held)
+            fps = rows[:, 0]
             held.clear()
             for t, mask in enumerate(masks):
                 if parts == 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([fps.tobytes()], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([rows.tobytes()], pa.binary())], schema=schema)
                     continue
                 part = (mix64(fps & mask) % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[by], np.arange(parts + 1))
-                rows = [(t * parts + p, fps[own].tobytes()) for p in range(parts) if len(own := by[cuts[p] : cuts[p + 1]])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                packs = [(t * parts + p, rows[own].tobytes()) for p in range(parts) if len(own := by[cuts[p] : cuts[p + 1]])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*packs), schema)], schema=schema)
 
         for batch in batches:
             if batch.num_rows:
-                held.append(batch.column(0).to_numpy().view(np.uint64))
+                held.append(np.stack([batch.column(c).to_numpy().view(np.uint64) for c in range(1 + verify)], axis=1))
             if sum(map(len, held)) >= SUB_TABLE:
                 yield from flush()
         if held:
@@ -143,11 +187,22 @@ def _tables(masks: np.ndarray, parts: int):
     return run
 
 
-def forest(fps: np.ndarray, mask: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, within each run of equal masked keys, whatever pairs within the radius connect there."""
+def forest(fps: np.ndarray, mask: np.uint64, radius: int, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect, within each run of equal masked keys, whatever near pairs connect there."""
+    i, j = forest_at(fps, mask, radius, check)
+    return fps[i], fps[j]
+
+
+def forest_at(fps: np.ndarray, mask: np.uint64, radius: int, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of the ends of forest's edges."""
+
+    def near(i, j):
+        ok = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+        return ok if check is None else ok & (np.bitwise_count(check[i] ^ check[j]) <= CHECK_RADIUS)
+
     key = fps & mask
     order = np.argsort(key, kind="stable")
-    fps, key = fps[order], key[order]
+    key = key[order]
     first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
     size = np.diff(np.append(first, len(fps)))
     a, b = [], []
@@ -157,49 +212,54 @@ def forest(fps: np.ndarray, mask: np.uint64, radius: int) -> tuple[np.ndarray, n
             break
         n = size[runs] - off
         i = np.repeat(first[runs] - starts_of(n)[:-1], n) + np.arange(int(n.sum()))
-        near = np.bitwise_count(fps[i] ^ fps[i + off]) <= radius
-        a.append(fps[i[near]])
-        b.append(fps[i[near] + off])
+        i, j = order[i], order[i + off]
+        ok = near(i, j)
+        a.append(i[ok])
+        b.append(j[ok])
     for at, n in zip(first[size > 8], size[size > 8]):
-        left = fps[at : at + n]
-        frontier: list[np.uint64] = []
+        left = order[at : at + n]
+        frontier: list[int] = []
         while len(left):
             x = frontier.pop() if frontier else left[0]
-            near = np.bitwise_count(left ^ x) <= radius
-            if near.any():
-                reached = left[near]
-                left = left[~near]
+            ok = near(left, x)
+            if ok.any():
+                reached = left[ok]
+                left = left[~ok]
                 others = reached[reached != x]
-                a.append(np.full(len(others), x, np.uint64))
+                a.append(np.full(len(others), x))
                 b.append(others)
                 frontier.extend(others)
-    empty = np.zeros(0, np.uint64)
+    empty = np.zeros(0, np.int64)
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
-def _edges(masks: np.ndarray, parts: int, radius: int):
+def _edges(masks: np.ndarray, parts: int, radius: int, verify: bool):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         t = int(table.column("bucket")[0].as_py()) // parts
-        fps = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")])
-        a, b = forest(fps, masks[t], radius)
-        fresh = np.ones(len(a), bool)
-        for lo in range(0, len(a), 100_000):
-            d = (a[lo : lo + 100_000] ^ b[lo : lo + 100_000])[:, None]
+        fps, check = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")]), None
+        if verify:
+            fps, check = np.ascontiguousarray(fps.reshape(-1, 2).T)
+        i, j = forest_at(fps, masks[t], radius, check)
+        fresh = np.ones(len(i), bool)
+        for lo in range(0, len(i), 100_000):
+            d = (fps[i[lo : lo + 100_000]] ^ fps[j[lo : lo + 100_000]])[:, None]
             fresh[lo : lo + 100_000] = ((d & masks[None, :t]) != 0).all(axis=1)
-        a, b = a[fresh].view(np.int64), b[fresh].view(np.int64)
+        node = node_of(fps, check) if verify else fps
+        a, b = node[i[fresh]].view(np.int64), node[j[fresh]].view(np.int64)
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     return run
 
 
-def near_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges ``(a, b)``, a < b, of distinct fingerprints (one bigint column, no repeats) that connect all near pairs."""
+def near_edges(distinct: DataFrame, radius: int = RADIUS, verify: bool = False) -> DataFrame:
+    """Edges ``(a, b)``, a < b, of distinct fingerprints (a bigint column, no repeats) that connect all near pairs. With
+    ``verify`` the check bits are a second column, and the ends are :func:`node_of` both."""
     masks = covering_masks(radius)
     parts = max(1, -(-distinct.count() // SUB_TABLE))
-    packs = distinct.mapInArrow(_tables(masks, parts), "bucket bigint, fps binary")
-    return packs.groupBy("bucket").applyInArrow(_edges(masks, parts, radius), "a bigint, b bigint")
+    packs = distinct.mapInArrow(_tables(masks, parts, verify), "bucket bigint, fps binary")
+    return packs.groupBy("bucket").applyInArrow(_edges(masks, parts, radius, verify), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,26 +283,32 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def duplicates(docs: DataFrame, radius: int = RADIUS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicates(docs: DataFrame, radius: int = RADIUS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
     """Pairs ``(doc_id, duplicate_of)``: each document of a near-copy group but the kept one, with the kept one.
 
     The kept document of a group has the least id. A group is a connected component of documents whose fingerprints
     differ in at most ``radius`` bits. Under ``min_words`` distinct words a fingerprint says too little: such texts are
-    copies only if fingerprint and number of distinct words are the same. Texts without words (null, empty) are never
+    copies only if fingerprint and number of distinct words are the same. With ``verify`` the check bits must be near
+    too. Texts without words (null, empty) are never
     copies of each other. Rows that share an id are one document; rows without an id are in no group. Other columns are
     ignored; an empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, id_col, text_col).where("doc_id is not null and words > 0"), "fingerprints")
+    if verify:
+        prints = id_and_text(docs, id_col, text_col).mapInArrow(_verified, "doc_id bigint, node bigint, fingerprint bigint, check bigint, words int")
+    else:
+        prints = fingerprints(docs, id_col, text_col).withColumn("node", F.col("fingerprint"))
+    prints = written(prints.where("doc_id is not null and words > 0"), "fingerprints")
     short = F.col("words") < min_words
     prints = prints.withColumn("short", F.when(short, F.col("words")).otherwise(0))
-    keyed = written(prints.groupBy("fingerprint", "short").agg(F.min("doc_id").alias("least")), "keyed")
-    roots = components(near_edges(keyed.where("short = 0").select("fingerprint"), radius))
-    labelled = keyed.join(roots.select(F.col("node").alias("fingerprint"), "root", F.lit(0).alias("short")), ["fingerprint", "short"], "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    kept = labelled.withColumn("duplicate_of", F.min("least").over(Window.partitionBy("root", "short"))).select("fingerprint", "short", "duplicate_of")
-    return prints.join(kept, ["fingerprint", "short"]).where("doc_id <> duplicate_of").groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of"))
+    entry = ["fingerprint", "check"] if verify else ["fingerprint"]
+    keyed = written(prints.groupBy("node", "short", *entry).agg(F.min("doc_id").alias("least")), "keyed")
+    roots = components(near_edges(keyed.where("short = 0").select(*entry), radius, verify))
+    labelled = keyed.join(roots.select("node", "root", F.lit(0).alias("short")), ["node", "short"], "left").withColumn("root", F.coalesce("root", "node"))
+    kept = labelled.withColumn("duplicate_of", F.min("least").over(Window.partitionBy("root", "short"))).select("node", "short", "duplicate_of")
+    return prints.join(kept, ["node", "short"]).where("doc_id <> duplicate_of").groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
     """``docs`` without the documents that :func:`duplicates` finds, columns unchanged; rows without an id stay."""
-    gone = duplicates(docs, radius, min_words, id_col, text_col).select(F.col("doc_id").alias("__gone"))
+    gone = duplicates(docs, radius, min_words, id_col, text_col, verify).select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs[id_col].cast("bigint") == F.col("__gone"), "left_anti")

@@ -108,3 +108,15 @@ def test_simhash_odd_rows(spark):
     assert kept == [0, 1, 2, 3, 4, 5, 7, 9, 10]
     assert sd.keep_one(docs).columns == docs.columns
     assert sd.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [100, 1000, 4000])
+def test_unrelated_entries_that_collide_are_not_joined(n):
+    rng = np.random.default_rng(n)  # n pairs within the radius whose check bits are those of unrelated texts
+    fps = rng.integers(0, 2**63, n, dtype=np.uint64)
+    fps = np.concatenate([fps, fps ^ np.uint64(0b111)])
+    check = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+    check[n] = check[0] ^ np.uint64(1)  # one pair of copies
+    joined = {(int(a), int(b)) for m in sd.covering_masks() for a, b in zip(*sd.forest_at(fps, m, sd.RADIUS, check))}
+    unchecked = {frozenset((int(a), int(b))) for m in sd.covering_masks() for a, b in zip(*sd.forest_at(fps, m, sd.RADIUS))}
+    assert {frozenset(x) for x in joined} == {frozenset((0, n))} and len(unchecked) >= n
