@@ -15,7 +15,8 @@ the first table in which its ends collide. Connected components of the edges are
 
 Verified (``verify``, the default): 64 bits say too little at scale, as pairs of unrelated texts within the radius grow with
 the square of their number. The fingerprint then has 64 more bits, from the other half of the MD5, which must be within
-``CHECK_RADIUS`` before two entries are joined. ``op8_simhash_dedup`` is not
+``CHECK_RADIUS`` before two entries are joined. A run of more than ``LONG_RUN`` characters (text without spaces) counts with
+all its ``GRAM``-grams, not with its beginning, and texts under ``min_words`` are compared whole. ``op8_simhash_dedup`` is not
 verified: its SQL defines copies by the 64 bits of stems.
 """
 
@@ -36,6 +37,8 @@ RADIUS = 8
 MIN_WORDS = 12
 STEM = 5
 CHECK_RADIUS = 16
+LONG_RUN = 16
+GRAM = 4
 SUB_TABLE = 150_000
 
 
@@ -75,14 +78,32 @@ def node_of(fps: np.ndarray, check: np.ndarray) -> np.ndarray:
     return mix64(fps ^ mix64(check))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _long_grams(codes: np.ndarray, words: pa.Array, lens: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Codes, features and counts of texts with long runs in place of which all their grams stand, other words being stems."""
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    features = pa.chunked_array([pc.utf8_slice_codeunits(words, 0, STEM)])
+    long = np.nonzero(size > LONG_RUN)[0]
+    if not len(long):
+        return codes, features.combine_chunks(), lens
+    grams = [[f"{GRAM}:{g}" for g in {w[i : i + GRAM] for i in range(len(w) - GRAM + 1)}] for w in words.take(pa.array(long)).to_pylist()]
+    own = np.ones(len(words), np.int64)
+    own[long] = [len(g) for g in grams]
+    at = np.arange(len(words))  # of each word's features
+    at[long] = len(words) + starts_of(own[long])[:-1]
+    features = pa.chunked_array([*features.chunks, pa.array([g for x in grams for g in x], words.type)]).combine_chunks()
+    n = own[codes]
+    return np.repeat(at[codes], n) + np.arange(int(n.sum())) - np.repeat(starts_of(n)[:-1], n), features, segment_sums(n, lens)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     cache: dict[str, bytes] = {}
     for batch in slices(batches):
         codes, words, lens = split_words(pc.utf8_lower(texts(batch)))
         words = pc.replace_substring_regex(words, r"[^\p{L}\p{N}_]+", "")
         some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
         lens, codes = segment_sums(some[codes].astype(np.int64), lens), codes[some[codes]]
-        features = pc.utf8_slice_codeunits(words, 0, STEM)
+        whole, whole_at = codes, starts_of(lens)
+        codes, features, lens = _long_grams(codes, words, lens)
         if len(cache) > 500_000:
             cache.clear()
         features = features.dictionary_encode()
@@ -103,6 +124,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ones = np.add.reduceat(np.unpackbits(digests[code[at[lo] : at[hi]]], axis=1), at[own] - at[lo], axis=0, dtype=np.int32)
                 out[own] = np.packbits(2 * ones > count[own, None], axis=1).view(">u8")
             lo = hi
+        for i in np.nonzero((count > 0) & (count < min_words))[0]:  # whole texts
+            text = " ".join(words.take(pa.array(whole[whole_at[i] : whole_at[i + 1]])).to_pylist())
+            out[i] = np.frombuffer(hashlib.md5(text.encode()).digest(), ">u8")
         fps, check = np.ascontiguousarray(out.T)
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in (node_of(fps, check), fps, check)], pa.array(count.astype(np.int32))], names=["doc_id", "node", "fingerprint", "check", "words"])
 
@@ -288,13 +312,13 @@ def duplicates(docs: DataFrame, radius: int = RADIUS, min_words: int = MIN_WORDS
 
     The kept document of a group has the least id. A group is a connected component of documents whose fingerprints
     differ in at most ``radius`` bits. Under ``min_words`` distinct words a fingerprint says too little: such texts are
-    copies only if fingerprint and number of distinct words are the same. With ``verify`` the check bits must be near
-    too. Texts without words (null, empty) are never
+    copies only if fingerprint and number of distinct words are the same. With ``verify`` the check bits must be near too,
+    and short texts be the same in lower case and without punctuation. Texts without words (null, empty) are never
     copies of each other. Rows that share an id are one document; rows without an id are in no group. Other columns are
     ignored; an empty table gives an empty result.
     """
     if verify:
-        prints = id_and_text(docs, id_col, text_col).mapInArrow(_verified, "doc_id bigint, node bigint, fingerprint bigint, check bigint, words int")
+        prints = id_and_text(docs, id_col, text_col).mapInArrow(lambda batches: _verified(batches, min_words), "doc_id bigint, node bigint, fingerprint bigint, check bigint, words int")
     else:
         prints = fingerprints(docs, id_col, text_col).withColumn("node", F.col("fingerprint"))
     prints = written(prints.where("doc_id is not null and words > 0"), "fingerprints")

@@ -110,6 +110,14 @@ def test_simhash_odd_rows(spark):
     assert sd.keep_one(docs.limit(0)).count() == 0
 
 
+def entries(spark, rows):
+    """Fingerprints and check bits as they enter the tables."""
+    from annolith.llm.shared import id_and_text
+
+    got = id_and_text(frame(spark, rows)).mapInArrow(lambda b: sd._verified(b, sd.MIN_WORDS), "doc_id bigint, node bigint, fingerprint bigint, check bigint, words int").collect()
+    return {r.doc_id: r for r in got}
+
+
 @pytest.mark.parametrize("n", [100, 1000, 4000])
 def test_unrelated_entries_that_collide_are_not_joined(n):
     rng = np.random.default_rng(n)  # n pairs within the radius whose check bits are those of unrelated texts
@@ -120,3 +128,13 @@ def test_unrelated_entries_that_collide_are_not_joined(n):
     joined = {(int(a), int(b)) for m in sd.covering_masks() for a, b in zip(*sd.forest_at(fps, m, sd.RADIUS, check))}
     unchecked = {frozenset((int(a), int(b))) for m in sd.covering_masks() for a, b in zip(*sd.forest_at(fps, m, sd.RADIUS))}
     assert {frozenset(x) for x in joined} == {frozenset((0, n))} and len(unchecked) >= n
+
+
+def test_texts_without_spaces_are_compared_whole(spark):
+    rng = np.random.default_rng(5)
+    run = lambda: "".join(rng.choice(list("天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏"), 400))
+    start, base = "天地玄黃宇", run()
+    many = lambda: " ".join(f"{i:05d}" + run()[:60] for i in range(30))
+    rows = [(1, start + run()), (2, start + run()), (3, start + "一二三"), (4, start + "四五六"), (5, start + "四五六"), (6, many()), (7, many()), (8, base), (9, base[:200] + "龍" + base[200:])]
+    assert sorted(r.doc_id for r in sd.keep_one(frame(spark, rows)).collect()) == [1, 2, 3, 4, 6, 7, 8]
+    assert entries(spark, rows)[3].node != entries(spark, rows)[4].node
