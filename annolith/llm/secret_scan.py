@@ -41,7 +41,7 @@ RULES: dict[str, tuple[str, int]] = {
     "stripe_key": (r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", 0),
     "json_web_token": (r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}", 0),
     "private_key": (r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", 0),
-    "assigned_secret": (r"""(?i)\b[\w-]{0,40}(?:secret|token|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\w-]{0,40}["']?\s{0,4}(?::=|=>|[:=])\s{0,4}["']?([A-Za-z0-9+/_.~=-]{12,})""", 1),
+    "assigned_secret": (r"""(?i)(?<![\w-])(?=[\w-]*?(?:secret|token|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key))[\w-]++["']?[ \t]*+\s{0,4}(?::=|=>|[:=])[ \t]*+\s{0,4}["']?([A-Za-z0-9+/_.~=-]{12,})""", 1),
     "url_credentials": (r"\b[a-z][a-z0-9+.-]{1,30}://[^\s/:@]{1,200}:([^\s/@]{6,200})@[\w.-]{3,}", 1),
 }
 

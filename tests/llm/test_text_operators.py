@@ -146,6 +146,13 @@ def test_every_copy_of_an_encoded_secret_is_found(wrap):
     assert [h for h in secret_scan.scan(secret_scan.redacted(text)) if h[0] == "aws_access_key"] == []
 
 
+def test_aligned_assignments_are_found():
+    names = ["db_password", "x" * 60 + "_api_key", "token" + "_y" * 40, "secret"]
+    text = "".join(f"{name:<120}{sign}{' ' * 30}{'hunter2hunter2' + str(i)}\n" for i, name in enumerate(names) for sign in "=:")
+    assert [text[h[1] : h[2]] for h in sorted(secret_scan.scan(text), key=lambda h: h[1])] == [f"hunter2hunter2{i}" for i in range(4) for _ in "=:"]
+    assert secret_scan.scan("token" * 100_000 + " " * 100_000 + "x") == []  # in linear time
+
+
 def test_scan_ends_on_cycles():
     same = secret_scan.Layer("x" * 40, np.arange(40), np.arange(40) + 1)
     calls = []
