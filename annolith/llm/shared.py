@@ -8,6 +8,7 @@ words; loops run over distinct words at most.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,13 +21,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+#: Ids that are broadcast at most, some 16 bytes each.
+BROADCAST_IDS = 2_000_000
+_folders: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``). Unset, as in tests: a temporary one, removed at exit."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Unset, as in tests in one process: a temporary one.
+
+    Executors on other machines can't read a folder of the driver's, so that an unset folder is an error there.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if there:
         return there
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="annolith-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
@@ -34,12 +43,39 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that outlives any executor."""
+def _folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark).rstrip('/')}/annolith-{sc.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that outlives any executor; its path too."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A written table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """Semi or anti join of ``df`` with the written, distinct ``ids`` (a column ``__id``): broadcast if they are few enough."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, df[f"`{id_col}`"].cast("bigint") == F.col("__id"), how)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -71,13 +107,16 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
 
 
 def split_words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Whitespace words of each text: codes in order, the dictionary they index, and per-text word counts."""
-    lists = pc.utf8_split_whitespace(text)
+    """Whitespace words of each text: codes in order, the dictionary they index, and per-text word counts.
+
+    Texts are trimmed first: where the last one of a buffer ends in white space, the split's result isn't always the same.
+    """
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(text))
     flat, lens = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     enc = flat.dictionary_encode()
     codes, words = enc.indices.to_numpy(zero_copy_only=False), enc.dictionary
     empty = pc.index(words, pa.scalar("", words.type)).as_py() if len(words) else -1
-    if empty >= 0:  # leading or trailing white space, or no text at all
+    if empty >= 0:  # no text at all
         real = codes != empty
         lens = segment_sums(real.astype(np.int64), lens)
         codes = codes[real]
