@@ -17,17 +17,18 @@ SELECT doc_id, min(i) AS start_token, max(i) + {window} AS end_token FROM grp GR
 """
 
 
-def op8(radius: int = simhash_dedup.RADIUS, min_words: int = simhash_dedup.MIN_WORDS) -> str:
+def op8(radius: int = simhash_dedup.RADIUS, min_jaccard: float = simhash_dedup.MIN_JACCARD) -> str:
     ones = " + ".join(f"CASE WHEN 2 * sum((h >> {i}) & 1) > count(*) THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END" for i in range(64))
     return f"""
-WITH RECURSIVE words AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, left(regexp_replace(unnest(string_split_regex(lower(text), '\\s+')), '[^\\p{{L}}\\p{{N}}_]+', '', 'g'), {simhash_dedup.STEM}) AS w FROM documents) WHERE w <> ''),
-hashed AS (SELECT doc_id, ('0x' || left(md5(w), 16))::UBIGINT AS h FROM words),
-prints AS (SELECT doc_id, {ones} AS fp, count(*) AS n FROM hashed GROUP BY doc_id),
-keyed AS (SELECT fp, CASE WHEN n < {min_words} THEN n ELSE 0 END AS short, min(doc_id) AS least FROM prints GROUP BY ALL),
-near AS (SELECT a.fp AS a, b.fp AS b FROM keyed a JOIN keyed b ON a.fp <> b.fp AND a.short = 0 AND b.short = 0 AND bit_count(xor(a.fp, b.fp)) <= {radius}),
-reach(a, b) AS (SELECT fp, fp FROM keyed WHERE short = 0 UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
-rooted AS (SELECT r.a AS fp, 0 AS short, min(k.least) AS root FROM reach r JOIN keyed k ON k.fp = r.b AND k.short = 0 GROUP BY r.a UNION ALL SELECT fp, short, least FROM keyed WHERE short > 0)
-SELECT p.doc_id, r.root AS duplicate_of FROM prints p JOIN rooted r ON r.fp = p.fp AND r.short = CASE WHEN p.n < {min_words} THEN p.n ELSE 0 END WHERE p.doc_id <> r.root
+WITH RECURSIVE words AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, regexp_replace(unnest(string_split_regex(lower(text), '\\s+')), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS w FROM documents) WHERE w <> ''),
+hashed AS (SELECT doc_id, w, ('0x' || left(md5(w), 16))::UBIGINT AS h FROM words),
+prints AS (SELECT doc_id, {ones} AS fp, list_sort(list(w)) AS ws FROM hashed GROUP BY doc_id),
+keyed AS (SELECT fp, ws, min(doc_id) AS least FROM prints GROUP BY ALL),
+close AS (SELECT a.least AS a, b.least AS b, len(list_intersect(a.ws, b.ws)) AS common, len(a.ws) + len(b.ws) AS total FROM keyed a JOIN keyed b ON a.least <> b.least AND bit_count(xor(a.fp, b.fp)) <= {radius}),
+near AS (SELECT a, b FROM close WHERE common >= {min_jaccard} * (total - common)),
+reach(a, b) AS (SELECT least, least FROM keyed UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+known AS (SELECT k.ws, (SELECT min(b) FROM reach WHERE reach.a = k.least) AS class_id, (SELECT count(*) FROM near WHERE near.a = k.least) AS links FROM keyed k)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(k.links, 0) AS links FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN prints p USING (doc_id) LEFT JOIN known k USING (ws)
 """
 
 

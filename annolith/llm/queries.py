@@ -47,7 +47,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.duplicates(table(spark, sf_dir, "documents"), verify=False)  # as its SQL has it
+    return simhash_dedup.classes(table(spark, sf_dir, "documents"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

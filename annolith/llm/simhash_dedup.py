@@ -1,23 +1,22 @@
 """SimHash near-dedup by covering locality-sensitive hashing.
 
 Fingerprint: 64 bits, bit i set where more of a text's distinct words have bit i set in their MD5-derived hash than
-not. Of a word only the first five letters count, so that endings and letters added at the end change nothing. Two texts are near copies if their fingerprints differ in at most ``radius`` bits.
+not. Two texts are near copies if their fingerprints differ in at most ``radius`` bits and at least ``min_jaccard`` of their
+distinct words are common: the fingerprints find candidates, the words decide.
 
 Covering: every bit position i gets a vector m(i) of radius + 1 bits. For each nonzero vector v, one table keeps the
 positions with <m(i), v> odd. The positions in which two fingerprints within the radius differ span at most ``radius``
 dimensions, so some nonzero v is orthogonal to all of them, and in its table both have the same key: no pair within the
 radius is missed. There are 2**(radius + 1) - 1 tables, each keeping about half the bits.
 
-Only distinct fingerprints enter the tables, eight bytes each and packed, so that thousands of exact copies cost one
-entry. In a bucket, fingerprints within the radius are joined by a spanning forest instead of all pairs: one is expanded
-against those not yet reached, so that a dense bucket of near copies costs about its size, and an edge is sent only from
-the first table in which its ends collide. Connected components of the edges are the groups.
+Fewer tables do for fewer fingerprints: of two pairs of halves, one differs in at most radius // 2 bits, so that the tables of
+both halves, 2 * (2**(radius // 2 + 1) - 1) of them with keys of about 16 bits, miss no pair either. They are used while keys so
+short tell fingerprints apart (``SHORT_KEYS``); the pairs found are the same.
 
-Verified (``verify``, the default): 64 bits say too little at scale, as pairs of unrelated texts within the radius grow with
-the square of their number. The fingerprint then has 64 more bits, from the other half of the MD5, which must be within
-``CHECK_RADIUS`` before two entries are joined. A run of more than ``LONG_RUN`` characters (text without spaces) counts with
-all its ``GRAM``-grams, not with its beginning, and texts under ``min_words`` are compared whole. ``op8_simhash_dedup`` is not
-verified: its SQL defines copies by the 64 bits of stems.
+Only distinct fingerprints enter the tables, eight bytes each and packed, so that thousands of copies cost one entry. A pair
+is sent from the first table in which its ends collide. A part of a table that holds far more than its share (many
+texts alike) is cut into blocks, and every pair of blocks is a task's problem. Then words are compared, and connected components
+of what is left are the classes.
 """
 
 from __future__ import annotations
@@ -31,26 +30,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, mix64, segment_sums, slices, split_words, starts_of, texts, written
+from .shared import by_ids, id_and_text, mix64, remove, segment_sums, slices, split_words, starts_of, texts, written, written_at
 
-RADIUS = 8
-MIN_WORDS = 12
-STEM = 5
-CHECK_RADIUS = 16
-LONG_RUN = 16
-GRAM = 4
+RADIUS = 9
+MIN_JACCARD = 0.5
+#: Distinct fingerprints in a part of a table, on average at most.
 SUB_TABLE = 150_000
+#: Distinct fingerprints up to which the tables of halves are used.
+SHORT_KEYS = 1 << 22
 
 
-def covering_masks(radius: int = RADIUS) -> np.ndarray:
-    """The masks of all 2**(radius + 1) - 1 tables; each keeps at least 28 of the 64 bits.
+def covering_masks(radius: int = RADIUS, bits: int = 64) -> np.ndarray:
+    """The masks of all 2**(radius + 1) - 1 tables over 64 or 32 bits; of 64, each keeps at least 28.
 
-    Row j of the m(i) is a function of the six bits of i: the six coordinates, the constant one, and up to three bent
+    Row j of the m(i) is a function of the bits of i: the coordinates, the constant one, and (over 64 bits) up to three bent
     functions Tr(b x y) over the field of eight elements, any sum of which is bent too. So every mask is an affine
-    function (weight 32 or 64) or a bent one plus an affine one (28 or 36).
+    function (half the bits or all) or a bent one plus an affine one (28 or 36 of 64).
     """
-    if not 0 <= radius <= 9:
-        raise ValueError("radius must be from 0 to 9")
+    most = {64: 9, 32: 5}[bits]
+    if not 0 <= radius <= most:
+        raise ValueError(f"radius must be from 0 to {most}")
 
     def times(x: int, y: int) -> int:  # modulo t**3 + t + 1
         z = x * (y & 1) ^ (x << 1) * (y >> 1 & 1) ^ (x << 2) * (y >> 2 & 1)
@@ -59,8 +58,8 @@ def covering_masks(radius: int = RADIUS) -> np.ndarray:
     def trace(x: int) -> int:
         return (x ^ times(x, x) ^ times(times(x, x), times(x, x))) & 1
 
-    rows = [[i >> j & 1 for i in range(64)] for j in range(6)] + [[1] * 64]
-    rows += [[trace(times(b, times(i & 7, i >> 3))) for i in range(64)] for b in (1, 2, 4)]
+    rows = [[i >> j & 1 for i in range(bits)] for j in range(bits.bit_length() - 1)] + [[1] * bits]
+    rows += [[trace(times(b, times(i & 7, i >> 3))) for i in range(64)] for b in (1, 2, 4)] * (bits == 64)
     words = np.array([sum(bit << i for i, bit in enumerate(row)) for row in rows[: radius + 1]], np.uint64)
     masks = np.zeros(1, np.uint64)
     for w in words:
@@ -68,78 +67,29 @@ def covering_masks(radius: int = RADIUS) -> np.ndarray:
     return masks[1:]
 
 
+def half_masks(radius: int = RADIUS) -> np.ndarray:
+    """The masks of the tables of both halves of the bits."""
+    low = covering_masks(radius // 2, 32)
+    return np.concatenate([low, low << np.uint64(32)])
+
+
 def word_hash(word: str) -> int:
     """The first 64 bits of the MD5 of the word."""
     return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
 
 
-def node_of(fps: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each 128-bit fingerprint."""
-    return mix64(fps ^ mix64(check))
-
+_PRINTS = "doc_id bigint, node bigint, fingerprint bigint, words array<int>"
 
-def _long_grams(codes: np.ndarray, words: pa.Array, lens: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Codes, features and counts of texts with long runs in place of which all their grams stand, other words being stems."""
-    size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-    features = pa.chunked_array([pc.utf8_slice_codeunits(words, 0, STEM)])
-    long = np.nonzero(size > LONG_RUN)[0]
-    if not len(long):
-        return codes, features.combine_chunks(), lens
-    grams = [[f"{GRAM}:{g}" for g in {w[i : i + GRAM] for i in range(len(w) - GRAM + 1)}] for w in words.take(pa.array(long)).to_pylist()]
-    own = np.ones(len(words), np.int64)
-    own[long] = [len(g) for g in grams]
-    at = np.arange(len(words))  # of each word's features
-    at[long] = len(words) + starts_of(own[long])[:-1]
-    features = pa.chunked_array([*features.chunks, pa.array([g for x in grams for g in x], words.type)]).combine_chunks()
-    n = own[codes]
-    return np.repeat(at[codes], n) + np.arange(int(n.sum())) - np.repeat(starts_of(n)[:-1], n), features, segment_sums(n, lens)
 
-
-def _verified(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    cache: dict[str, bytes] = {}
-    for batch in slices(batches):
-        codes, words, lens = split_words(pc.utf8_lower(texts(batch)))
-        words = pc.replace_substring_regex(words, r"[^\p{L}\p{N}_]+", "")
-        some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-        lens, codes = segment_sums(some[codes].astype(np.int64), lens), codes[some[codes]]
-        whole, whole_at = codes, starts_of(lens)
-        codes, features, lens = _long_grams(codes, words, lens)
-        if len(cache) > 500_000:
-            cache.clear()
-        features = features.dictionary_encode()
-        values = features.dictionary.to_pylist()
-        for w in values:
-            if w not in cache:
-                cache[w] = hashlib.md5(w.encode()).digest()
-        digests = np.frombuffer(b"".join([cache[w] for w in values]), np.uint8).reshape(-1, 16)
-        pairs = np.unique(np.repeat(np.arange(len(lens)), lens) * max(1, len(values)) + features.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes])
-        doc, code = pairs // max(1, len(values)), pairs % max(1, len(values))
-        count = np.bincount(doc, minlength=len(lens))
-        out = np.zeros((len(lens), 2), np.uint64)
-        at, lo = starts_of(count), 0
-        while lo < len(lens):
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 17), side="right")) - 1)
-            own = np.arange(lo, hi)[count[lo:hi] > 0]
-            if len(own):
-                ones = np.add.reduceat(np.unpackbits(digests[code[at[lo] : at[hi]]], axis=1), at[own] - at[lo], axis=0, dtype=np.int32)
-                out[own] = np.packbits(2 * ones > count[own, None], axis=1).view(">u8")
-            lo = hi
-        for i in np.nonzero((count > 0) & (count < min_words))[0]:  # whole texts
-            text = " ".join(words.take(pa.array(whole[whole_at[i] : whole_at[i + 1]])).to_pylist())
-            out[i] = np.frombuffer(hashlib.md5(text.encode()).digest(), ">u8")
-        fps, check = np.ascontiguousarray(out.T)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in (node_of(fps, check), fps, check)], pa.array(count.astype(np.int32))], names=["doc_id", "node", "fingerprint", "check", "words"])
-
-
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict[str, int] = {}
     for batch in slices(batches):
         codes, words, lens = split_words(pc.utf8_lower(texts(batch)))
-        plain = pc.utf8_slice_codeunits(pc.replace_substring_regex(words, r"[^\p{L}\p{N}_]+", ""), 0, STEM).dictionary_encode()
+        plain = pc.replace_substring_regex(words, r"[^\p{L}\p{N}_]+", "").dictionary_encode()
         if len(cache) > 500_000:
             cache.clear()
         values = plain.dictionary.to_pylist()
-        hashes = np.zeros(len(values) + 1, np.uint64)
+        hashes = np.zeros(max(1, len(values)), np.uint64)
         for i, w in enumerate(values):
             h = cache.get(w)
             if h is None:
@@ -147,143 +97,169 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             hashes[i] = h
         code = plain.indices.to_numpy(zero_copy_only=False)[codes] if len(codes) else codes
         doc = np.repeat(np.arange(len(lens)), lens)
-        if "" in cache:
-            empty = pc.index(plain.dictionary, pa.scalar("", plain.dictionary.type)).as_py()
-            if empty >= 0:
-                doc, code = doc[code != empty], code[code != empty]
+        some = np.array([w != "" for w in values] or [True])
+        doc, code = doc[some[code]], code[some[code]]
         pairs = np.unique(doc.astype(np.int64) * len(hashes) + code)
         doc, code = pairs // len(hashes), pairs % len(hashes)
         count = np.bincount(doc, minlength=len(lens))
         out = np.zeros(len(lens), np.uint64)
         at = starts_of(count)
         big_endian = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
-        step = 1 << 18
         lo = 0
-        while lo < len(lens):  # documents whose words together are about `step`
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + step, side="right")) - 1)
+        while lo < len(lens):  # documents whose words together are about 2**18
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 18), side="right")) - 1)
             own = np.arange(lo, hi)[count[lo:hi] > 0]
             if len(own):
                 bits = np.unpackbits(big_endian[code[at[lo] : at[hi]]], axis=1)
                 ones = np.add.reduceat(bits, at[own] - at[lo], axis=0, dtype=np.int32)
                 out[own] = np.packbits(2 * ones > count[own, None], axis=1).view(">u8").ravel()
             lo = hi
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), pa.array(count.astype(np.int32))], names=["doc_id", "fingerprint", "words"])
+        of_set = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(mix64(hashes)[code], out=of_set[1:])
+        node = mix64(out ^ mix64(of_set[at[1:]] - of_set[at[:-1]] + count.astype(np.uint64)))
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)[code]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), pa.array(out.view(np.int64)), lists], names=["doc_id", "node", "fingerprint", "words"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, 64-bit SimHash ``fingerprint`` (as signed) and number of distinct ``words``, one row a row of docs.
+    """``doc_id``, 64-bit SimHash ``fingerprint`` (as signed), ``node`` (a name of the set of words) and ``words`` (hashes
+    of the distinct ones), one row a row of docs.
 
-    Words are lower-cased, split at white space, stripped of everything but letters, digits and underscores, and cut to
-    their first five characters. A text
-    without words (null, empty, punctuation only) has fingerprint 0 and 0 words.
+    Words are lower-cased, split at white space, and stripped of everything but letters, digits and underscores. A text
+    without words (null, empty, punctuation only) has fingerprint 0 and no words.
     """
-    return id_and_text(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id bigint, fingerprint bigint, words int")
+    return id_and_text(docs, id_col, text_col).mapInArrow(_prints, _PRINTS)
 
 
-def _tables(masks: np.ndarray, parts: int, verify: bool):
-    schema = pa.schema([("bucket", pa.int64()), ("fps", pa.binary())])
+def _part(fps: np.ndarray, mask: np.uint64, parts: int) -> np.ndarray:
+    return (mix64(fps & mask) % np.uint64(parts)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = np.concatenate(held)
-            fps = rows[:, 0]
-            held.clear()
-            for t, mask in enumerate(masks):
-                if parts == 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([rows.tobytes()], pa.binary())], schema=schema)
-                    continue
-                part = (mix64(fps & mask) % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[by], np.arange(parts + 1))
-                packs = [(t * parts + p, rows[own].tobytes()) for p in range(parts) if len(own := by[cuts[p] : cuts[p + 1]])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*packs), schema)], schema=schema)
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Fingerprints in large arrays."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(batch.column(0).to_numpy().view(np.uint64))
+        if sum(map(len, held)) >= SUB_TABLE:
+            yield np.concatenate(held)
+            held = []
+    if sum(map(len, held)):
+        yield np.concatenate(held)
+
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(np.stack([batch.column(c).to_numpy().view(np.uint64) for c in range(1 + verify)], axis=1))
-            if sum(map(len, held)) >= SUB_TABLE:
-                yield from flush()
-        if held:
-            yield from flush()
+def _sizes(masks: np.ndarray, parts: int):
+    """How many fingerprints each part of each table gets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fps in _held(batches):
+            for t, mask in enumerate(masks):
+                n = np.bincount(_part(fps, mask, parts))
+                own = np.nonzero(n)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(t * parts + own), pa.array(n[own])], names=["bucket", "n"])
 
     return run
 
 
-def forest(fps: np.ndarray, mask: np.uint64, radius: int, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, within each run of equal masked keys, whatever near pairs connect there."""
-    i, j = forest_at(fps, mask, radius, check)
-    return fps[i], fps[j]
+_PACK = pa.schema([("bucket", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("block", pa.int32()), ("fps", pa.binary())])
 
 
-def forest_at(fps: np.ndarray, mask: np.uint64, radius: int, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The positions of the ends of forest's edges."""
+def _tables(masks: np.ndarray, parts: int, blocks: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fps in _held(batches):
+            for t, mask in enumerate(masks):
+                part = _part(fps, mask, parts)
+                by = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[by], np.arange(parts + 1))
+                rows = []
+                for p in np.nonzero(np.diff(cuts))[0].tolist():
+                    own, n = fps[by[cuts[p] : cuts[p + 1]]], blocks.get(t * parts + p, 1)
+                    if n == 1:
+                        rows.append((t * parts + p, 0, 0, 0, own.tobytes()))
+                        continue
+                    block = (mix64(own + np.uint64(t)) % np.uint64(n)).astype(np.int64)
+                    for x in range(n):
+                        pack = own[block == x].tobytes()
+                        rows += [(t * parts + p, min(x, y), max(x, y), x, pack) for y in range(n) if pack]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACK)], schema=_PACK)
 
-    def near(i, j):
-        ok = np.bitwise_count(fps[i] ^ fps[j]) <= radius
-        return ok if check is None else ok & (np.bitwise_count(check[i] ^ check[j]) <= CHECK_RADIUS)
+    return run
 
+
+def near_pairs(fps: np.ndarray, mask: np.uint64, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs within the radius whose masked keys are the same; with ``side``, of pairs of different sides."""
     key = fps & mask
     order = np.argsort(key, kind="stable")
     key = key[order]
-    first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+    first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(fps)))
     a, b = [], []
-    for off in range(1, 8):  # runs of up to eight: all pairs, over all runs at once
-        runs = (size > off) & (size <= 8)
-        if not runs.any():
-            break
-        n = size[runs] - off
-        i = np.repeat(first[runs] - starts_of(n)[:-1], n) + np.arange(int(n.sum()))
-        i, j = order[i], order[i + off]
-        ok = near(i, j)
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        i, j = order[i], order[j]
+        ok = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+        if side is not None:
+            ok &= side[i] != side[j]
         a.append(i[ok])
         b.append(j[ok])
-    for at, n in zip(first[size > 8], size[size > 8]):
-        left = order[at : at + n]
-        frontier: list[int] = []
-        while len(left):
-            x = frontier.pop() if frontier else left[0]
-            ok = near(left, x)
-            if ok.any():
-                reached = left[ok]
-                left = left[~ok]
-                others = reached[reached != x]
-                a.append(np.full(len(others), x))
-                b.append(others)
-                frontier.extend(others)
+
+    off, runs = 1, np.nonzero(size > 1)[0]
+    while len(runs) > 16:  # an offset at a time, over all runs at once
+        n = size[runs] - off
+        for lo, hi in _steps(n, 1 << 20):
+            i = np.repeat(first[runs[lo:hi]] - starts_of(n[lo:hi])[:-1], n[lo:hi]) + np.arange(int(n[lo:hi].sum()))
+            take(i, i + off)
+        off += 1
+        runs = runs[size[runs] > off]
+    for r in runs.tolist():  # the few longest runs, a row at a time
+        at, n = int(first[r]), int(size[r])
+        own = fps[order[at : at + n]]
+        for x in range(n - off):
+            hit = np.nonzero(np.bitwise_count(own[x + off :] ^ own[x]) <= radius)[0]
+            if len(hit):
+                take(np.full(len(hit), at + x), at + x + off + hit)
     empty = np.zeros(0, np.int64)
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
-def _edges(masks: np.ndarray, parts: int, radius: int, verify: bool):
+def _steps(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts of ``n`` into consecutive stretches that add up to about ``most``."""
+    total, lo = np.cumsum(n), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _edges(masks: np.ndarray, parts: int, radius: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         t = int(table.column("bucket")[0].as_py()) // parts
-        fps, check = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")]), None
-        if verify:
-            fps, check = np.ascontiguousarray(fps.reshape(-1, 2).T)
-        i, j = forest_at(fps, masks[t], radius, check)
+        packs = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")]
+        fps, side = np.concatenate(packs), None
+        if table.column("a")[0].as_py() != table.column("b")[0].as_py():
+            side = np.repeat(table.column("block").to_numpy(), [len(x) for x in packs])
+        i, j = near_pairs(fps, masks[t], radius, side)
         fresh = np.ones(len(i), bool)
         for lo in range(0, len(i), 100_000):
             d = (fps[i[lo : lo + 100_000]] ^ fps[j[lo : lo + 100_000]])[:, None]
             fresh[lo : lo + 100_000] = ((d & masks[None, :t]) != 0).all(axis=1)
-        node = node_of(fps, check) if verify else fps
-        a, b = node[i[fresh]].view(np.int64), node[j[fresh]].view(np.int64)
+        a, b = fps[i[fresh]].view(np.int64), fps[j[fresh]].view(np.int64)
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     return run
 
 
-def near_edges(distinct: DataFrame, radius: int = RADIUS, verify: bool = False) -> DataFrame:
-    """Edges ``(a, b)``, a < b, of distinct fingerprints (a bigint column, no repeats) that connect all near pairs. With
-    ``verify`` the check bits are a second column, and the ends are :func:`node_of` both."""
-    masks = covering_masks(radius)
-    parts = max(1, -(-distinct.count() // SUB_TABLE))
-    packs = distinct.mapInArrow(_tables(masks, parts, verify), "bucket bigint, fps binary")
-    return packs.groupBy("bucket").applyInArrow(_edges(masks, parts, radius, verify), "a bigint, b bigint")
+def candidates(distinct: DataFrame, radius: int = RADIUS, short_keys: int = SHORT_KEYS, sub_table: int = SUB_TABLE) -> DataFrame:
+    """All pairs ``(a, b)``, a < b, of distinct fingerprints (a written bigint column, no repeats) within the radius."""
+    n = distinct.count()
+    masks = half_masks(radius) if n <= short_keys else covering_masks(radius)
+    parts = max(1, -(-n // sub_table))
+    heavy = distinct.mapInArrow(_sizes(masks, parts), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 4 * sub_table)
+    blocks = {r.bucket: -(-r.n // (2 * sub_table)) for r in heavy.collect()} if parts > 1 else {}  # at most tables * parts / 4
+    packs = distinct.mapInArrow(_tables(masks, parts, blocks), "bucket bigint, a int, b int, block int, fps binary")
+    return packs.groupBy("bucket", "a", "b").applyInArrow(_edges(masks, parts, radius), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,7 +267,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014), each one shuffle, with a lineage cut a round.
     """
-    edges = written(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    edges, path = written_at(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -300,39 +277,55 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = F.min("v").over(Window.partitionBy("u"))
         small = large.select("u", "v", least.alias("m")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = written(small, "edges")
+        edges, last = written_at(small, "edges")
+        remove(spark, path)
+        path = last
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
 
 
-def duplicates(docs: DataFrame, radius: int = RADIUS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
-    """Pairs ``(doc_id, duplicate_of)``: each document of a near-copy group but the kept one, with the kept one.
+def classes(docs: DataFrame, radius: int = RADIUS, min_jaccard: float = MIN_JACCARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: ``doc_id``, ``class_id`` (the least id of its class) and ``links``.
+
+    Documents with the same set of words are copies of each other, whatever the order. Different sets are linked if
+    fingerprints differ in at most ``radius`` bits and the sets' Jaccard index is ``min_jaccard`` or more; ``links`` counts
+    the other sets that a document's own is linked to, however many copies each has. A class is a connected component. The
+    same holds for texts of any length, long or of one word.
 
-    The kept document of a group has the least id. A group is a connected component of documents whose fingerprints
-    differ in at most ``radius`` bits. Under ``min_words`` distinct words a fingerprint says too little: such texts are
-    copies only if fingerprint and number of distinct words are the same. With ``verify`` the check bits must be near too,
-    and short texts be the same in lower case and without punctuation. Texts without words (null, empty) are never
-    copies of each other. Rows that share an id are one document; rows without an id are in no group. Other columns are
-    ignored; an empty table gives an empty result.
+    A text without words (null, empty, punctuation only) is its own class, without links. Rows that share an id are one
+    document: the least class and the most links of its rows. Rows without an id are in no class and not returned. Ties
+    don't occur: whatever is within both bounds is linked. Other columns are ignored; an empty table gives an empty result.
     """
-    if verify:
-        prints = id_and_text(docs, id_col, text_col).mapInArrow(lambda batches: _verified(batches, min_words), "doc_id bigint, node bigint, fingerprint bigint, check bigint, words int")
-    else:
-        prints = fingerprints(docs, id_col, text_col).withColumn("node", F.col("fingerprint"))
-    prints = written(prints.where("doc_id is not null and words > 0"), "fingerprints")
-    short = F.col("words") < min_words
-    prints = prints.withColumn("short", F.when(short, F.col("words")).otherwise(0))
-    entry = ["fingerprint", "check"] if verify else ["fingerprint"]
-    keyed = written(prints.groupBy("node", "short", *entry).agg(F.min("doc_id").alias("least")), "keyed")
-    roots = components(near_edges(keyed.where("short = 0").select(*entry), radius, verify))
-    labelled = keyed.join(roots.select("node", "root", F.lit(0).alias("short")), ["node", "short"], "left").withColumn("root", F.coalesce("root", "node"))
-    kept = labelled.withColumn("duplicate_of", F.min("least").over(Window.partitionBy("root", "short"))).select("node", "short", "duplicate_of")
-    return prints.join(kept, ["node", "short"]).where("doc_id <> duplicate_of").groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of"))
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
-    """``docs`` without the documents that :func:`duplicates` finds, columns unchanged; rows without an id stay."""
-    gone = duplicates(docs, radius, min_words, id_col, text_col, verify).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("bigint") == F.col("__gone"), "left_anti")
+    prints = written(fingerprints(docs, id_col, text_col).where("doc_id is not null"), "fingerprints")
+    some = prints.where(F.size("words") > 0)
+    keyed = written(some.groupBy("node", "fingerprint").agg(F.min("doc_id").alias("least")), "keyed")
+    distinct = written(keyed.select("fingerprint").distinct(), "distinct")
+    pairs = candidates(distinct, radius)
+    end = lambda c: keyed.select(F.col("fingerprint").alias(f"f{c}"), F.col("node").alias(c), F.col("least").alias(f"least_{c}"))
+    apart = pairs.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(end("a"), "fa").join(end("b"), "fb").select("a", "b", "least_a", "least_b")
+    together = end("a").join(end("b"), (F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b"))).select("a", "b", "least_a", "least_b")
+    found = written(apart.union(together), "candidates")
+    # the words of one document of each set that has a candidate
+    ids = written(found.select(F.explode(F.array("least_a", "least_b")).alias("__id")).distinct(), "ids")
+    sets = by_ids(some, ids, "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+    sets = written(sets, "sets")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("words").alias(f"w{c}"))
+    common = F.size(F.array_intersect("wa", "wb"))
+    near = found.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(common >= F.lit(min_jaccard) * (F.size("wa") + F.size("wb") - common)).select("a", "b")
+    near = written(near, "near")
+    links = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    labelled = keyed.join(components(near), "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("class_id"))
+    known = labelled.join(least, "root").select("node", "class_id", "links")
+    # a set's copies may be most of all rows: the smaller side goes out by node, and AQE splits what is left too large
+    out = prints.select("doc_id", "node").join(known, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, min_jaccard: float = MIN_JACCARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents whose class (see :func:`classes`) has a lesser id, columns unchanged; rows without an
+    id stay, and so do all rows of an id that is kept."""
+    gone = classes(docs, radius, min_jaccard, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("__id"))
+    return by_ids(docs, written(gone, "gone"), "left_anti", id_col)

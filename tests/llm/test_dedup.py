@@ -1,12 +1,14 @@
 """Substring dedup and SimHash near-dedup against brute force; odd rows."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
 
 from annolith.llm import simhash_dedup as sd
 from annolith.llm import substring_dedup as sub
+from annolith.llm.shared import written
 
 SCHEMA = "doc_id long, text string, bucket int, fingerprint int"
 
@@ -53,88 +55,109 @@ def test_substring_odd_rows(spark):
     assert sub.repeated_spans(frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("radius", [0, 2, 5, 8])
+@pytest.mark.parametrize("radius", [0, 2, 5, 8, 9])
 def test_masks_cover_every_pair_within_the_radius(radius):
-    masks = sd.covering_masks(radius)
-    assert len(masks) == 2 ** (radius + 1) - 1
+    masks, halves = sd.covering_masks(radius), sd.half_masks(radius)
+    assert len(masks) == 2 ** (radius + 1) - 1 and len(halves) == 2 * (2 ** (radius // 2 + 1) - 1)
+    assert min(int(m).bit_count() for m in masks) >= 28 and min(int(m).bit_count() for m in halves) >= 16
     rng = np.random.default_rng(radius)
     for _ in range(300):
         bits = rng.choice(64, radius, replace=False)
         diff = np.uint64(sum(1 << int(b) for b in bits))
-        assert ((masks & diff) == 0).any()
-
-
-def test_forest_connects_what_pairs_connect():
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    fps = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64))) for _ in range(4)]]))
-    masks = sd.covering_masks(4)
-    edges = set()
-    for m in masks:
-        a, b = sd.forest(fps, m, 4)
-        edges |= set(zip(a.tolist(), b.tolist()))
-
-    def groups(pairs):
-        root = {int(f): int(f) for f in fps}
+        assert ((masks & diff) == 0).any() and ((halves & diff) == 0).any()
+
+
+def some_fingerprints(seed, n):
+    rng = np.random.default_rng(seed)
+    flip = lambda k: np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False)))
+    base = rng.integers(0, 2**63, n, dtype=np.uint64)
+    near = [np.array([x ^ flip(int(rng.integers(1, 12))) for x in base]) for _ in range(3)]
+    crowd = np.array([base[0] ^ flip(int(rng.integers(0, 5))) for _ in range(60)])
+    return np.unique(np.concatenate([base, *near, crowd]))
+
+
+def brute_pairs(fps, radius):
+    return sorted((min(a, b), max(a, b)) for a, b in itertools.combinations(fps.view(np.int64).tolist(), 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= radius)
+
+
+@pytest.mark.parametrize(("short_keys", "sub_table"), [(1 << 22, 150_000), (0, 150_000), (1 << 22, 40), (1 << 22, 5)])
+def test_candidates_are_all_pairs_within_the_radius(spark, short_keys, sub_table):
+    fps = some_fingerprints(1, 40)
+    frame_ = written(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fingerprint bigint"), "fps")
+    got = sd.candidates(frame_, 9, short_keys, sub_table).collect()
+    want = brute_pairs(fps, 9)
+    assert sorted((r.a, r.b) for r in got) == want and len(want) > 1000  # each pair once
+
+
+def test_near_pairs_of_sides_are_those_between_them():
+    fps = some_fingerprints(2, 30)
+    side = np.arange(len(fps)) % 2
+    i, j = sd.near_pairs(fps, np.uint64(0), 9, side)
+    got = sorted((min(a, b), max(a, b)) for a, b in zip(fps[i].view(np.int64).tolist(), fps[j].view(np.int64).tolist()))
+    of = dict(zip(fps.view(np.int64).tolist(), side.tolist()))
+    assert got == [(a, b) for a, b in brute_pairs(fps, 9) if of[a] != of[b]]
+
+
+def brute_classes(rows, radius=sd.RADIUS, share=sd.MIN_JACCARD):
+    """Class and links of each id by comparing all sets of words."""
+    sets = {i: frozenset(w for w in (re.sub(r"\W+", "", x) for x in (t or "").lower().split()) if w) for i, t in rows if i is not None}
+    def print_of(ws):
+        n = [sum(sd.word_hash(w) >> b & 1 for w in ws) for b in range(64)]
+        return sum(1 << b for b in range(64) if 2 * n[b] > len(ws))
+    prints = {ws: print_of(ws) for ws in set(sets.values()) if ws}
+    near = {ws: [v for v in prints if v != ws and (prints[v] ^ prints[ws]).bit_count() <= radius and len(v & ws) >= share * len(v | ws)] for ws in prints}
+    out = {}
+    for i, ws in sets.items():
+        if not ws:
+            out[i] = (i, 0)
+            continue
+        reached, todo = {ws}, [ws]
+        for x in todo:
+            todo += [v for v in near[x] if v not in reached]
+            reached |= set(near[x])
+        out[i] = (min(k for k, v in sets.items() if v in reached), len(near[ws]))
+    return out
+
+
+def found_classes(spark, rows):
+    return {r.doc_id: (r.class_id, r.links) for r in sd.classes(frame(spark, rows)).collect()}
+
+
+def test_classes_are_brute_force(spark):
+    rng = np.random.default_rng(3)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(vocab, int(rng.integers(3, 200)))) for _ in range(40)]
+    rows = list(enumerate(texts))
+    for k in range(4):  # chains of copies, each with some words changed
+        texts = [" ".join(w if rng.random() > 0.04 else str(rng.choice(vocab)) for w in t.split()) for t in texts]
+        rows += [(100 * (k + 1) + i, t) for i, t in enumerate(texts)]
+    rows += [(1000 + i, rows[0][1]) for i in range(50)]
+    got = found_classes(spark, rows)
+    assert got == brute_classes(rows) and any(n > 2 for _, n in got.values())
+    kept = sorted(r.doc_id for r in sd.keep_one(frame(spark, rows)).collect())
+    assert kept == sorted(i for i, (c, _) in got.items() if i == c)
 
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
 
-        for a, b in pairs:
-            root[find(a)] = find(b)
-        return sorted(sorted(int(f) for f in fps if find(int(f)) == r) for r in {find(int(f)) for f in fps})
+def test_texts_without_common_words_are_never_copies(spark):
+    pairs = ["integration internet commerce gardening flowering", "integer interest commitment gardeners flowerers"]
+    rows = [(1, " ".join(f"{w}{i}" for w in pairs[0].split() for i in range(3))), (2, " ".join(f"{w}x{i}" for w in pairs[1].split() for i in range(3)))]
+    rows += [(3, "one two three four five six seven eight"), (4, "one two three four five six seven eight nine"), (5, "天地玄黃宇宙洪荒日月盈昃"), (6, "天地玄黃宇寒來暑往秋收冬藏")]
+    got = found_classes(spark, rows)
+    assert got == brute_classes(rows) and [got[i][0] for i in (1, 2, 5, 6)] == [1, 2, 5, 6]
 
-    near = [(int(a), int(b)) for a, b in itertools.combinations(fps, 2) if (int(a) ^ int(b)).bit_count() <= 4]
-    assert groups(edges) == groups(near)
 
-
-def test_simhash_keeps_one_of_each_group(spark):
-    rng = np.random.default_rng(3)
-    vocab = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(3000)]
-    texts = [" ".join(rng.choice(vocab, 200)) for _ in range(20)]
-    rows = [(i, t) for i, t in enumerate(texts)]
-    rows += [(100 + i, t.replace(t.split()[5], "changed", 1)) for i, t in enumerate(texts[:10])] + [(200 + i, texts[0]) for i in range(50)]
-    kept = sorted(r.doc_id for r in sd.keep_one(frame(spark, rows)).collect())
-    assert kept == list(range(20))
+@pytest.mark.parametrize("n", [200, 800])
+def test_unrelated_documents_stay_at_growing_sizes(spark, sf_dir, n):
+    rng = np.random.default_rng(n)  # the same common words in all, rare ones of their own
+    rows = [(i, " ".join([*rng.choice(["the", "of", "and", "to", "in", "is", "it", "for"], 30), *(f"w{i}x{k}" for k in range(40))])) for i in range(n)]
+    assert all(c == i and k == 0 for i, (c, k) in found_classes(spark, rows).items())
 
 
 def test_simhash_odd_rows(spark):
     text = " ".join(f"word{i}x" for i in range(100))
-    rows = [(1, None), (2, None), (3, ""), (4, ""), (None, text), (5, text), (6, text), (6, text), (7, "a b"), (8, "a b"), (9, "... !!!"), (10, "w " * 100_000)]
+    rows = [(1, None), (2, None), (3, ""), (4, ""), (None, text), (5, text), (6, text), (6, text), (7, "a b"), (8, "a b"), (9, "... !!!"), (10, "w " * 100_000), (11, "b, A"), (12, " ".join(f"long{i}" for i in range(30_000)))]
     docs = frame(spark, rows)
-    kept = sorted((r.doc_id or 0) for r in sd.keep_one(docs).collect())
-    assert kept == [0, 1, 2, 3, 4, 5, 7, 9, 10]
+    assert found_classes(spark, rows) == brute_classes(rows) == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (5, 0), 7: (7, 0), 8: (7, 0), 9: (9, 0), 10: (10, 0), 11: (7, 0), 12: (12, 0)}
+    assert sorted((r.doc_id or 0) for r in sd.keep_one(docs).collect()) == [0, 1, 2, 3, 4, 5, 7, 9, 10, 12]
     assert sd.keep_one(docs).columns == docs.columns
-    assert sd.keep_one(docs.limit(0)).count() == 0
-
-
-def entries(spark, rows):
-    """Fingerprints and check bits as they enter the tables."""
-    from annolith.llm.shared import id_and_text
-
-    got = id_and_text(frame(spark, rows)).mapInArrow(lambda b: sd._verified(b, sd.MIN_WORDS), "doc_id bigint, node bigint, fingerprint bigint, check bigint, words int").collect()
-    return {r.doc_id: r for r in got}
-
-
-@pytest.mark.parametrize("n", [100, 1000, 4000])
-def test_unrelated_entries_that_collide_are_not_joined(n):
-    rng = np.random.default_rng(n)  # n pairs within the radius whose check bits are those of unrelated texts
-    fps = rng.integers(0, 2**63, n, dtype=np.uint64)
-    fps = np.concatenate([fps, fps ^ np.uint64(0b111)])
-    check = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
-    check[n] = check[0] ^ np.uint64(1)  # one pair of copies
-    joined = {(int(a), int(b)) for m in sd.covering_masks() for a, b in zip(*sd.forest_at(fps, m, sd.RADIUS, check))}
-    unchecked = {frozenset((int(a), int(b))) for m in sd.covering_masks() for a, b in zip(*sd.forest_at(fps, m, sd.RADIUS))}
-    assert {frozenset(x) for x in joined} == {frozenset((0, n))} and len(unchecked) >= n
-
-
-def test_texts_without_spaces_are_compared_whole(spark):
-    rng = np.random.default_rng(5)
-    run = lambda: "".join(rng.choice(list("天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏"), 400))
-    start, base = "天地玄黃宇", run()
-    many = lambda: " ".join(f"{i:05d}" + run()[:60] for i in range(30))
-    rows = [(1, start + run()), (2, start + run()), (3, start + "一二三"), (4, start + "四五六"), (5, start + "四五六"), (6, many()), (7, many()), (8, base), (9, base[:200] + "龍" + base[200:])]
-    assert sorted(r.doc_id for r in sd.keep_one(frame(spark, rows)).collect()) == [1, 2, 3, 4, 6, 7, 8]
-    assert entries(spark, rows)[3].node != entries(spark, rows)[4].node
+    assert sd.keep_one(docs.limit(0)).count() == 0 and sd.classes(docs.limit(0)).count() == 0
