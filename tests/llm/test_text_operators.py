@@ -1,14 +1,21 @@
 """SentencePiece codec, language identification, secret scans and quality rules: brute force, round trips, odd rows."""
 
 import base64
+import bz2
+import functools
 import gzip
+import hashlib
+import json
+import lzma
 import os
 import re
 import urllib.parse
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from annolith.llm import language_id, quality_forest, secret_scan
 from annolith.llm import sentencepiece_codec as sp
@@ -164,12 +171,112 @@ def test_scan_ends_on_cycles():
     assert secret_scan.scan("x" * 40, to_itself) == [] and len(calls) == 2
 
 
+def mime(data):
+    return base64.encodebytes(data).decode().strip()
+
+
+LATIN = "contraseña ünd "
+CASES = {
+    "latin-1": lambda s: base64.b64encode((LATIN + s).encode("latin-1")).decode(),
+    "utf-16-le": lambda s: base64.b64encode(s.encode("utf-16-le")).decode(),
+    "utf-16": lambda s: base64.b64encode((LATIN + s).encode("utf-16")).decode(),
+    "utf-16-be": lambda s: base64.b64encode(b"\x07" + (s + "é").encode("utf-16-be")).decode(),
+    "wrapped gzip": lambda s: mime(gzip.compress((s + "".join(map(str, range(400)))).encode())),
+    "wrapped": lambda s: mime(("x" * 40 + s + "y" * 80).encode()),
+    "wrapped by blanks": lambda s: mime(("x" * 40 + s + "y" * 80).encode()).replace("\n", " "),
+    "narrow lines": lambda s: "\n".join(re.findall(".{1,10}", base64.b64encode(s.encode()).decode())),
+    "quoted in JSON": lambda s: json.dumps(mime(("x" * 40 + s + "y" * 80).encode())).replace("/", "\\/"),
+    "glued name": lambda s: "v1_" + base64.b64encode(s.encode()).decode(),
+    "glued path": lambda s: "https://x.com/callback/" + base64.b64encode(s.encode()).decode() + "/more",
+    "glued gzip": lambda s: "path/to/" + base64.b64encode(gzip.compress(s.encode())).decode(),
+    "second member": lambda s: base64.b64encode(gzip.compress(b"nothing here") + gzip.compress(s.encode())).decode(),
+    "across members": lambda s: base64.b64encode(gzip.compress(s[:15].encode()) + gzip.compress(s[15:].encode())).decode(),
+    "after other bytes": lambda s: base64.b64encode(b"\x00\x01\x02head" + bz2.compress(s.encode()) + b"tail").decode(),
+    "cut off": lambda s: base64.b64encode(zlib.compress((s + "".join(map(str, range(3000)))).encode())[:1500]).decode(),
+    "70 times zlib": lambda s: base64.b64encode(functools.reduce(lambda d, _: zlib.compress(d), range(70), s.encode())).decode(),
+    "unprintable": lambda s: base64.b64encode(bytes(range(256)) + s.encode() + bytes(range(255, 0, -1))).decode(),
+    "percent gzip": lambda s: "".join(f"%{b:02X}" for b in gzip.compress(s.encode())),
+    "value on the next line": lambda s: "password:\n" + "".join(f"%{ord(c):02x}" for c in "hunter2hunter2") + " " + base64.b64encode(s.encode()).decode(),
+    "xz in zstd": lambda s: base64.b64encode(zstandard.compress(lzma.compress(s.encode()))).decode(),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_secrets_however_wrapped(name):
+    hidden = CASES[name](f"key {KEY} end")
+    text = f"before {hidden}\nbetween\n{hidden}\nafter"
+    hits = [h for h in secret_scan.scan(text) if h[0] == "aws_access_key"]
+    starts = [m.start() for m in re.finditer(re.escape(hidden), text)]
+    assert {max(s for s in starts if s <= h[1]) for h in hits} == set(starts) and len(starts) == 2  # each copy
+    assert {h[5] for h in hits} == {hashlib.sha256(KEY.encode()).hexdigest()}
+    clean = secret_scan.redacted(text)
+    assert secret_scan.scan(clean) == [] and clean.startswith("before ") and (name == "cut off" or clean.endswith("after") and "between" in clean)  # where damaged data end isn't known
+
+
+ENCODERS = [
+    lambda s: base64.b64encode(s.encode()).decode(),
+    lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("="),
+    lambda s: mime(s.encode()),
+    lambda s: "".join(f"%{b:02X}" for b in s.encode()),
+    lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+    lambda s: "".join(f"&#{ord(c)};" for c in s),
+    lambda s: base64.b64encode(gzip.compress(s.encode())).decode(),
+    lambda s: base64.b64encode(zlib.compress(s.encode())).decode(),
+    lambda s: base64.b64encode(lzma.compress(s.encode())).decode(),
+    lambda s: base64.b64encode(zstandard.compress(s.encode())).decode(),
+    lambda s: base64.b64encode(s.encode("utf-16")).decode(),
+    lambda s: json.dumps(s),
+]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_secrets_encoded_over_and_over_at_random_places(spark, seed):
+    rng = np.random.default_rng(seed)
+    plain = "".join(rng.choice(list("abc def. "), 300))
+    text, keys = plain, []
+    for _ in range(int(rng.integers(1, 4))):
+        key = "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16))
+        part = f"{''.join(rng.choice(list('pq ñé'), int(rng.integers(0, 30))))} {key} {''.join(rng.choice(list('rs t'), int(rng.integers(0, 30))))}"
+        for _ in range(int(rng.integers(0, 5))):
+            part = f"{''.join(rng.choice(list('uv w/-_'), int(rng.integers(0, 12))))} " * int(rng.integers(2)) + ENCODERS[int(rng.integers(len(ENCODERS)))](part)
+        at = int(rng.integers(len(text)))
+        at = text.find(" ", at) + 1 or len(text)
+        text = f"{text[:at]}\n<{part}>\n{text[at:]}" if not keys else f"{text}\n<{part}>\n"
+        keys.append(key)
+    digests = {h[5] for h in secret_scan.scan(text)}
+    assert all(hashlib.sha256(k.encode()).hexdigest() in digests for k in keys)
+    clean = secret_scan.redacted(text)
+    assert secret_scan.scan(clean) == [] and not any(k in clean for k in keys)
+    assert secret_scan._gated(pa.array([text])) == [0]
+
+
+def test_what_inflates_to_much_is_scanned_in_windows(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 1 << 16)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
+    inner = b"x " * 500_000 + KEY.encode() + b" y" * 500_000
+    sizes = [len(w) for w, *_ in secret_scan.inflated(gzip.compress(inner), 0, "gzip")]
+    assert max(sizes) <= 1 << 16 and sum(sizes) >= len(inner)
+    text = "a " + base64.b64encode(gzip.compress(inner)).decode()
+    assert [h[0] for h in secret_scan.scan(text)] == ["aws_access_key"]
+
+
+def test_no_rule_matches_fewer_than_16_characters():
+    short = ["AKIA" + "A" * 16, "ghp_" + "a" * 36, "xoxb-" + "a" * 12, "AIza" + "a" * 35, "sk_live_" + "a" * 16, "eyJ" + "a" * 8 + ".eyJ" + "a" * 8 + "." + "a" * 8, "-----BEGIN PRIVATE KEY-----", "pwd=" + "a" * 12, "x://u:123456@abc"]
+    for text, name in zip(short, secret_scan.RULES):
+        assert len(text) >= 16 and [h[0] for h in secret_scan.scan(text)] == [name], text
+        assert secret_scan.scan(text[:-1]) == [] or name == "private_key"
+
+
 def test_secret_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, f"a {KEY}"), (3, f"b {KEY}"), (3, f"b {KEY}"), (4, "word " * 60_000 + KEY)]
     docs = frame(spark, rows)
     assert sorted((r.doc_id or 0) for r in secret_scan.secrets(docs).collect()) == [0, 3, 3, 4]
     red = secret_scan.redact(docs).collect()
     assert len(red) == 6 and not any(KEY in (r.text or "") for r in red) and any(r.text is None for r in red)
+    odd = frame(spark, rows).selectExpr("doc_id", "text", "length(text) AS n_chars", "1 AS rule", "2 AS start", "3 AS path", "4 AS `end`", "null AS lang")
+    assert secret_scan.secrets(odd).count() == 4
+    back = secret_scan.redact(odd).collect()
+    assert secret_scan.redact(odd).columns == odd.columns and all(r.n_chars == (None if r.text is None else len(r.text)) and (r.rule, r.start, r.path, r.lang) == (1, 2, 3, None) for r in back)
     assert secret_scan.secrets(docs.limit(0)).count() == 0 and secret_scan.redact(docs.limit(0)).columns == docs.columns
 
 
