@@ -1,14 +1,20 @@
 """LM scoring with a hidden Markov language model over words.
 
-1. Count. Every slice of documents sends its distinct words (as 64-bit hashes) with their counts; Spark adds them up. What
-   is gathered grows with the corpus. Words whose share of all tokens is ``min_share`` or more are symbols of their own,
-   which are at most 1 / ``min_share`` at any size; every other word is the symbol of its spelling class, one of
-   ``RARE_CLASSES`` by its last two characters and its length.
-2. Encode. Documents are written once as symbol numbers, by slices, longest document first and time-major: all first
-   tokens, then all second tokens, and so on. In this layout a step of the recursion is one contiguous block.
+1. Code. Each task codes its documents once: a dictionary of word hashes, and the words as numbers in it. Documents are sorted by
+   length, cut into slices of about ``SLICE_TOKENS``, and laid out time-major: all first tokens, then all second tokens, and so on.
+   In this layout a step of the recursion is one contiguous block of many documents.
+2. Count. Every slice sends its words with their counts; Spark adds them up. This table, as large as the corpus's vocabulary,
+   stays distributed. Words whose share of all tokens is ``min_share`` or more are symbols of their own, at most 1 / ``min_share``
+   at any size; every other word belongs to a spelling class, one of ``RARE_CLASSES`` by its last two characters and its length.
 3. Train. Baum-Welch: each task runs scaled forward and backward over its slices and sends expected counts, which Spark
-   adds up by symbol. The model has 1 / ``min_share`` rows at most, so that the driver holds it and broadcasts it.
-4. Score. The scaled forward recursion gives the exact likelihood of each document: the sum over all state paths.
+   adds up by blocks of symbols; until an iteration gains less than ``TOLERANCE`` of the log-likelihood. The model has
+   1 / ``min_share`` + ``RARE_CLASSES`` rows at most, so that the driver holds it and broadcasts it.
+4. Score. A state emits a rare word with P(class | state) * P(word | class). The latter is the word's share of its class in
+   the table of all words, to which the slices' rare words are joined. The scaled forward recursion, in double precision, gives
+   the exact likelihood of each document's words: the sum over all state paths.
+
+A word is its 64-bit hash with its spelling class. Loops run over time steps and states, never over words or documents;
+memory is bounded by blocks of ``BLOCK`` tokens, before which the state of the recursion is kept, whatever the length of a text.
 """
 
 from __future__ import annotations
@@ -26,11 +32,17 @@ from pyspark.sql import functions as F
 from .shared import hash_strings, id_and_text, mix64, slices, split_words, texts, written
 
 STATES = 8
-ITERATIONS = 4
+#: Training ends when an iteration gains less than this share of the log-likelihood.
+TOLERANCE = 1e-3
 MIN_SHARE = 1e-5
 RARE_CLASSES = 256
-_SLICE = 4 << 20
+SLICE_TOKENS = 1 << 21
+#: Tokens that a task gathers before it sorts and cuts them.
+HELD_TOKENS = 1 << 23
+#: Tokens whose forward variables are held at once.
+BLOCK = 1 << 21
 _PRIOR = 1.0
+_SEND = 512
 
 
 @dataclass
@@ -42,6 +54,9 @@ class Model:
     move: np.ndarray
     emit: np.ndarray
 
+    def single(self) -> Model:
+        return Model(self.keys, *(np.ascontiguousarray(x, np.float32) for x in (self.start, self.move, self.emit)))
+
 
 def rare_class(words: pa.Array) -> np.ndarray:
     """The spelling class of each word."""
@@ -50,119 +65,206 @@ def rare_class(words: pa.Array) -> np.ndarray:
     return (mix64(tail + size * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(RARE_CLASSES)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        codes, words, _ = split_words(pc.utf8_lower(texts(batch)))
-        n = np.bincount(codes, minlength=len(words))
-        own = np.nonzero(n)[0]
-        words = words.take(pa.array(own))
-        yield pa.RecordBatch.from_arrays([pa.array(hash_strings(words).view(np.int64)), pa.array(rare_class(words)), pa.array(n[own].astype(np.int64))], names=["word", "class", "n"])
-
-
-def vocabulary(docs: DataFrame, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the words that are symbols, and the counts of all symbols: those words', then the classes'."""
-    if not 0 < min_share <= 1:
-        raise ValueError("min_share must be above 0 and at most 1")
-    counted = written(id_and_text(docs, id_col, text_col).mapInArrow(_count, "word bigint, class bigint, n bigint").groupBy("word", "class").agg(F.sum("n").alias("n")), "words")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    common = F.col("n") >= F.lit(min_share * total)
-    got = counted.groupBy(F.when(common, F.col("word")).alias("word"), F.when(~common, F.col("class")).alias("class")).agg(F.sum("n").alias("n")).toArrow()  # at most 1 / min_share + RARE_CLASSES rows
-    n = got.column("n").to_numpy().astype(np.float64)
-    word = got.column("word").is_valid().to_numpy()
-    keys = got.column("word").fill_null(0).to_numpy().view(np.uint64)
-    order = np.argsort(keys[word])
-    rare = np.zeros(RARE_CLASSES)
-    rare[got.column("class").fill_null(0).to_numpy()[~word]] = n[~word]
-    return keys[word][order], np.concatenate([n[word][order], rare])
-
-
-def symbols_of(keys: np.ndarray, words: pa.Array) -> np.ndarray:
-    """The symbol of each word."""
-    h = hash_strings(words)
-    at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-    known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-    return np.where(known, at, len(keys) + rare_class(words)).astype(np.int32)
-
-
 def time_major(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For document lengths in descending order: the position in document order of each token in time-major order, and
     the number of documents that have a token at each time."""
-    steps = int(lens.max(initial=0))
-    active = np.searchsorted(-lens, -np.arange(steps), side="left")  # documents longer than t
-    t = np.repeat(np.arange(steps), active)
+    active = _active(lens)
+    t = np.repeat(np.arange(len(active)), active)
     starts = np.cumsum(active) - active
     rank = np.arange(len(t)) - np.repeat(starts, active)
     begin = np.cumsum(lens) - lens
     return begin[rank] + t, active
 
 
-_ENCODED = "ids binary, valid binary, lens binary, symbols binary"
-_ENCODED_FIELDS = pa.schema([(c, pa.binary()) for c in ("ids", "valid", "lens", "symbols")])
+def _active(lens: np.ndarray) -> np.ndarray:
+    """The number of documents longer than t, for each t."""
+    return np.searchsorted(-lens, -np.arange(int(lens.max(initial=0))), side="left")
+
+
+_CODED = "slice bigint, ids binary, valid binary, lens binary, codes binary, words binary, classes binary, counts binary"
+_CODED_FIELDS = pa.schema([("slice", pa.int64()), *[(c, pa.binary()) for c in ("ids", "valid", "lens", "codes", "words", "classes", "counts")]])
 
 
-def encode(docs: DataFrame, keys: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a slice of documents: ids, whether they are valid, token counts in descending order, symbols time-major."""
-    held = docs.sparkSession.sparkContext.broadcast(keys)  # at most 1 / min_share
+def code(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_tokens: int = SLICE_TOKENS) -> DataFrame:
+    """One row a slice of documents: ids, whether they are valid, token counts in descending order, words as numbers
+    time-major, and of the slice's distinct words hashes, classes and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=_SLICE):
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple[np.ndarray, ...]] = []
+        tokens = 0
+        for batch in slices(batches):
             codes, words, lens = split_words(pc.utf8_lower(texts(batch)))
-            symbols = symbols_of(held.value, words)[codes] if len(codes) else np.zeros(0, np.int32)
-            order = np.argsort(-lens, kind="stable")
-            begin = (np.cumsum(lens) - lens)[order]
-            place, _ = time_major(lens[order])
-            tokens = np.repeat(begin, lens[order]) + np.arange(len(codes)) - np.repeat(np.cumsum(lens[order]) - lens[order], lens[order])
             ids = batch.column(0)
-            row = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[order], ids.is_valid().to_numpy(zero_copy_only=False)[order], lens[order].astype(np.int64), symbols[tokens[place]]]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], schema=_ENCODED_FIELDS)
+            held.append((ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_valid().to_numpy(zero_copy_only=False), lens, codes.astype(np.int32), hash_strings(words), rare_class(words)))
+            tokens += len(codes)
+            if tokens >= HELD_TOKENS:
+                for row in _slices_of(held, slice_tokens):
+                    yield _coded_row(number, row)
+                    number += 1
+                held, tokens = [], 0
+        if held:
+            for row in _slices_of(held, slice_tokens):
+                yield _coded_row(number, row)
+                number += 1
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, _CODED)
+
+
+def _coded_row(number: int, row: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in row]], schema=_CODED_FIELDS)
+
+
+def _slices_of(held: list[tuple[np.ndarray, ...]], slice_tokens: int) -> Iterator[list[np.ndarray]]:
+    ids, valid, lens = (np.concatenate([h[i] for h in held]) for i in range(3))
+    words, place, at = np.unique(np.concatenate([h[4] for h in held]), return_index=True, return_inverse=True)
+    classes = np.concatenate([h[5] for h in held])[place]
+    shift = np.cumsum([0, *[len(h[4]) for h in held]])
+    codes = np.concatenate([at[h[3] + s] for h, s in zip(held, shift)]) if len(words) else np.zeros(0, np.int64)
+    order = np.argsort(-lens, kind="stable")
+    begin = (np.cumsum(lens) - lens)[order]
+    size = lens[order]
+    total, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + slice_tokens, side="right")))
+        own = size[lo:hi]
+        where, _ = time_major(own)
+        tokens = np.repeat(begin[lo:hi] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        mine = codes[tokens[where]]
+        n = np.bincount(mine, minlength=len(words))
+        there = np.nonzero(n)[0]
+        number = np.zeros(len(words), np.int32)
+        number[there] = np.arange(len(there), dtype=np.int32)
+        yield [ids[order[lo:hi]], valid[order[lo:hi]], own.astype(np.int64), number[mine], words[there], classes[there].astype(np.int16), n[there].astype(np.int64)]
+        lo = hi
+
+
+_KINDS = {"ids": np.int64, "valid": bool, "lens": np.int64, "codes": np.int32, "words": np.uint64, "classes": np.int16, "counts": np.int64}
+
+
+def _rows(table: pa.RecordBatch | pa.Table, *names: str) -> Iterator[list[np.ndarray]]:
+    for i in range(table.num_rows):
+        yield [np.frombuffer(table.column(c)[i].as_buffer(), _KINDS[c]) for c in names]
+
+
+def count(coded: DataFrame) -> DataFrame:
+    """``word``, ``class`` and ``n`` of every word of a written :func:`code` table; distributed, written."""
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, _ENCODED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, classes, n in _rows(batch, "words", "classes", "counts"):
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(classes), pa.array(n)], names=["word", "class", "n"])
 
+    each = coded.select("words", "classes", "counts").mapInArrow(run, "word bigint, class smallint, n bigint")
+    return written(each.groupBy("word", "class").agg(F.sum("n").alias("n")), "words")
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ids, valid, lens, symbols = (batch.column(c)[i].as_buffer() for c in range(4))
-            yield np.frombuffer(ids, np.int64), np.frombuffer(valid, bool), np.frombuffer(lens, np.int64), np.frombuffer(symbols, np.int32)
+
+def vocabulary(counted: DataFrame, min_share: float = MIN_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words that are symbols, and the counts of all symbols: those words', then the classes'."""
+    if not 0 < min_share <= 1:
+        raise ValueError("min_share must be above 0 and at most 1")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    common = F.col("n") >= F.lit(min_share * total)
+    got = counted.groupBy(F.when(common, F.col("word")).alias("word"), F.when(~common, F.col("class")).alias("class")).agg(F.sum("n").alias("n")).toArrow()  # at most 1 / min_share + RARE_CLASSES rows
+    n = got.column("n").to_numpy().astype(np.float64)
+    word = got.column("word").is_valid().to_numpy()
+    keys = got.column("word").fill_null(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys[word])
+    rare = np.zeros(RARE_CLASSES)
+    rare[got.column("class").fill_null(0).to_numpy()[~word]] = n[~word]
+    return keys[word][order], np.concatenate([n[word][order], rare])
 
 
-def forward(model: Model, symbols: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward recursion over time-major ``symbols``: emissions, scaled alphas, scales, documents at each time."""
-    active = np.searchsorted(-lens, -np.arange(int(lens.max(initial=0))), side="left")
-    emit = model.emit[symbols]
-    alpha, scale = np.empty_like(emit), np.empty(len(symbols))
-    at, before = 0, None
-    for n in active.tolist():
-        a = emit[at : at + n] * (model.start if before is None else before[:n] @ model.move)
-        c = a.sum(axis=1)
+def symbols_of(keys: np.ndarray, words: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The symbol of each word, by its hash and class."""
+    at = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
+    known = keys[at] == words if len(keys) else np.zeros(len(words), bool)
+    return np.where(known, at, len(keys) + classes).astype(np.int32)
+
+
+def _blocks(active: np.ndarray, block: int) -> list[tuple[int, int, int, int]]:
+    """Stretches of time of about ``block`` tokens: (first time, last + 1, first token, last + 1)."""
+    ends = np.cumsum(active)
+    out, t = [], 0
+    while t < len(active):
+        at = int(ends[t - 1]) if t else 0
+        to = max(t + 1, int(np.searchsorted(ends, at + block, side="right")))
+        out.append((t, to, at, int(ends[to - 1])))
+        t = to
+    return out
+
+
+def _forward(m: Model, emit: np.ndarray, active: list[int], before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward variables and scales of consecutive times; ``emit`` holds the tokens' emissions, ``before`` what the
+    time before has (none at the start)."""
+    alpha, scale, one = np.empty_like(emit), np.empty(len(emit), emit.dtype), np.ones(emit.shape[1], emit.dtype)
+    at = 0
+    for n in active:
+        a = alpha[at : at + n]
+        if before is None:
+            np.multiply(emit[at : at + n], m.start, out=a)
+        else:
+            np.matmul(before[:n], m.move, out=a)
+            a *= emit[at : at + n]
+        c = a @ one
         scale[at : at + n] = c
-        before = alpha[at : at + n] = a / c[:, None]
+        a /= c[:, None]
+        before = a
         at += n
-    return emit, alpha, scale, active
+    return alpha, scale
 
 
-def log_likelihoods(scale: np.ndarray, active: np.ndarray, n_docs: int) -> np.ndarray:
-    rank = np.arange(len(scale)) - np.repeat(np.cumsum(active) - active, active)
-    return np.bincount(rank, weights=np.log(scale), minlength=n_docs).astype(np.float64)
+def log_likelihoods(m: Model, symbols: np.ndarray, lens: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Of each document's symbols (time-major, lengths descending): the log of the sum over all state paths."""
+    active, out, before = _active(lens), np.zeros(len(lens)), None
+    for t, to, lo, hi in _blocks(active, block):
+        alpha, scale = _forward(m, m.emit[symbols[lo:hi]], active[t:to].tolist(), before)
+        before = alpha[len(alpha) - active[to - 1] :].copy()
+        rank = np.arange(hi - lo) - np.repeat(np.cumsum(active[t:to]) - active[t:to], active[t:to])
+        own = np.bincount(rank, weights=np.log(scale))
+        out[: len(own)] += own
+    return out
 
 
-def expected_counts(model: Model, symbols: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch's expected counts (start, move, emit) over all documents of a slice, and their log-likelihood."""
-    emit, alpha, scale, active = forward(model, symbols, lens)
-    k = len(model.start)
-    move = np.zeros((k, k))
-    gamma = np.empty_like(alpha)
-    ahead, at = None, len(symbols)
-    for n in active[::-1].tolist():
-        at -= n
-        beta = np.ones((n, k))
-        if ahead is not None:
-            beta[: len(ahead)] = ahead @ model.move.T
-            move += alpha[at : at + len(ahead)].T @ ahead
-        gamma[at : at + n] = alpha[at : at + n] * beta
-        ahead = emit[at : at + n] * beta / scale[at : at + n, None]
-    counts = np.stack([np.bincount(symbols, weights=gamma[:, s], minlength=len(model.emit)) for s in range(k)], axis=1)
-    return gamma[: int(active[0]) if len(active) else 0].sum(axis=0), move * model.move, counts, float(np.log(scale).sum())
+def expected_counts(m: Model, symbols: np.ndarray, lens: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch's expected counts (start, move, emit) over all documents of a slice, and their log-likelihood.
+
+    With more than one block the forward pass keeps what it has before each, and is run again when the backward pass gets there.
+    """
+    active, k = _active(lens), len(m.start)
+    start, move, counts, ll = np.zeros(k), np.zeros((k, k)), np.zeros((len(m.emit), k)), 0.0
+    blocks = _blocks(active, block)
+    before: list[np.ndarray | None] = [None]
+    for t, to, lo, hi in blocks:
+        emit = m.emit[symbols[lo:hi]]
+        alpha, scale = _forward(m, emit, active[t:to].tolist(), before[-1])
+        before.append(alpha[len(alpha) - active[to - 1] :].copy())
+        ll += float(np.log(scale).sum(dtype=np.float64))
+    ahead, back = None, np.ascontiguousarray(m.move.T)
+    for i in range(len(blocks) - 1, -1, -1):
+        t, to, lo, hi = blocks[i]
+        steps = active[t:to].tolist()
+        if i < len(blocks) - 1:
+            emit = m.emit[symbols[lo:hi]]
+            alpha, scale = _forward(m, emit, steps, before[i])
+        at = hi - lo
+        for n in reversed(steps):
+            at -= n
+            a = alpha[at : at + n]
+            x = emit[at : at + n]
+            if ahead is not None:
+                more = len(ahead)
+                move += a[:more].T @ ahead
+                beta = ahead @ back
+                a[:more] *= beta  # gamma, in place; beta is one for documents that end here
+                x[:more] *= beta
+            x /= scale[at : at + n, None]
+            ahead = x
+        for s in range(k):
+            counts[:, s] += np.bincount(symbols[lo:hi], weights=alpha[:, s], minlength=len(counts))
+        if not i:
+            start += alpha[: active[0]].sum(axis=0, dtype=np.float64)
+    return start, move * m.move, counts, ll
 
 
 def initial(keys: np.ndarray, counts: np.ndarray, states: int = STATES) -> Model:
@@ -174,75 +276,110 @@ def initial(keys: np.ndarray, counts: np.ndarray, states: int = STATES) -> Model
     return Model(keys, np.full(states, 1 / states), 0.5 * np.eye(states) + 0.5 / states, emit / emit.sum(axis=0))
 
 
-def step(encoded: DataFrame, model: Model, share: np.ndarray) -> tuple[Model, float, int]:
+_SENT = "part bigint, data binary"
+_SENT_FIELDS = pa.schema([("part", pa.int64()), ("data", pa.binary())])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    parts = [np.frombuffer(x.as_buffer(), np.float64) for x in table.column("data")]
+    return pa.table([table.column("part").slice(0, 1), pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())], schema=_SENT_FIELDS)
+
+
+def step(coded: DataFrame, model: Model, share: np.ndarray) -> tuple[Model, float, int]:
     """One Baum-Welch iteration: the new model, and the log-likelihood and number of tokens under the old one."""
-    k = len(model.start)
-    held = encoded.sparkSession.sparkContext.broadcast(model)
-    columns = [f"c{s}" for s in range(k)]
+    k, size = len(model.start), len(model.emit)
+    held = coded.sparkSession.sparkContext.broadcast(model.single())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        start, move, emit, sums = np.zeros(k), np.zeros((k, k)), np.zeros((len(m.emit), k)), np.zeros(k)
-        for _, _, lens, symbols in _rows(batches):
-            if len(symbols):
-                a, b, c, ll = expected_counts(m, symbols, lens)
-                start += a
-                move += b
-                emit += c
-                sums[0] += ll
-                sums[-1] += len(symbols)
-        own = np.nonzero(emit.any(axis=1))[0]
-        key = np.concatenate([[-1, -2], -3 - np.arange(k), own])
-        rows = np.concatenate([sums[None], start[None], move, emit[own]])
-        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.full(len(key), TaskContext.get().partitionId(), np.int64)), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], names=["symbol", "task", *columns])
-
-    sent = encoded.mapInArrow(run, ", ".join(["symbol bigint", "task bigint", *[f"{c} double" for c in columns]]))
-    got = sent.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # a row a symbol of the model
+        head, emit = np.zeros(2 + k + k * k), np.zeros((size, k))
+        for batch in batches:
+            for lens, codes, words, classes in _rows(batch, "lens", "codes", "words", "classes"):
+                if len(codes):
+                    a, b, c, ll = expected_counts(m, symbols_of(m.keys, words, classes)[codes], lens)
+                    head += np.concatenate([[ll, len(codes)], a, b.ravel()])
+                    emit += c
+        if head[1]:
+            data = [head.tobytes(), *[emit[lo : lo + _SEND].tobytes() for lo in range(0, size, _SEND)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(data) - 1)), pa.array(data, pa.binary())], schema=_SENT_FIELDS)
+
+    sent = coded.select("lens", "codes", "words", "classes").mapInArrow(run, _SENT)
+    got = sent.groupBy("part").applyInArrow(_added, _SENT).collect()  # the size of the model
     held.unpersist()
-    symbol = got.column("symbol").to_numpy()
-    rows = np.stack([got.column(c).to_numpy() for c in columns], axis=1)
-    full = np.zeros((len(model.emit) + k + 2, k))
-    full[np.where(symbol < 0, -1 - symbol, symbol + k + 2)] = rows
-    sums, start, move, emit = full[0], full[1] + _PRIOR, full[2 : k + 2] + _PRIOR, full[k + 2 :] + _PRIOR * share[:, None]
-    new = Model(model.keys, start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    return new, float(sums[0]), int(round(sums[-1]))
-
-
-def train(encoded: DataFrame, keys: np.ndarray, counts: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
-    """Baum-Welch over all of ``encoded`` (a table that can be read again): the model, and each iteration's log-likelihood
-    before it. Without tokens the initial model is returned."""
+    if not got:
+        return model, 0.0, 0
+    by = {r.part: np.frombuffer(r.data, np.float64) for r in got}
+    head, emit = by.pop(-1), np.concatenate([by[i] for i in sorted(by)]).reshape(size, k) + _PRIOR * share[:, None]
+    start, move = head[2 : 2 + k] + _PRIOR, head[2 + k :].reshape(k, k) + _PRIOR
+    return Model(model.keys, start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)), float(head[0]), int(head[1])
+
+
+def train(coded: DataFrame, keys: np.ndarray, counts: np.ndarray, states: int = STATES, tolerance: float = TOLERANCE) -> tuple[Model, list[float]]:
+    """Baum-Welch over all of ``coded`` (a table that can be read again): the model, and the log-likelihood before each
+    iteration. It ends when one gains less than ``tolerance`` of it. Without tokens the initial model is returned."""
     if states < 2:
         raise ValueError("there must be at least two states")
+    if tolerance <= 0:
+        raise ValueError("tolerance must be above 0")
     model, seen = initial(keys, counts, states), []
     share = (counts + 0.5) / (counts + 0.5).sum()
-    for _ in range(iterations):
-        model, ll, n = step(encoded, model, share)
+    while True:
+        new, ll, n = step(coded, model, share)
         seen.append(ll)
         if not n:
-            return initial(keys, counts, states), seen
-    return model, seen
-
-
-def score_encoded(encoded: DataFrame, model: Model) -> DataFrame:
-    held = encoded.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, valid, lens, symbols in _rows(batches):
-            _, _, scale, active = forward(held.value, symbols, lens)
-            ll = log_likelihoods(scale, active, len(lens))
+            return model, seen
+        if len(seen) > 1 and ll - seen[-2] < tolerance * abs(ll):
+            return new, seen
+        model = new
+
+
+_SCORES = "doc_id bigint, n_tokens bigint, log_likelihood double, perplexity double"
+
+
+def score_coded(coded: DataFrame, model: Model, counted: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Scores of all documents of a written :func:`code` table. ``counted`` and ``counts``: :func:`count`'s table of the corpus that
+    the model was trained on, and :func:`vocabulary`'s counts. Rare words: see :func:`score`."""
+    held = coded.sparkSession.sparkContext.broadcast((model, counts[len(model.keys) :]))
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = held.value[0].keys
+        for batch in batches:
+            for i, (words, classes) in enumerate(_rows(batch, "words", "classes")):
+                at = np.nonzero(symbols_of(keys, words, classes) >= len(keys))[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column(0)[i].as_py(), np.int64)), pa.array(at.astype(np.int32)), pa.array(words[at].view(np.int64)), pa.array(classes[at])], names=["slice", "at", "word", "class"])
+
+    asked = coded.select("slice", "words", "classes").mapInArrow(rare, "slice bigint, at int, word bigint, class smallint")
+    known = asked.join(counted, ["word", "class"]).select("slice", "at", "n")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        m, totals = held.value
+        out = []
+        for ids, valid, lens, codes, words, classes in _rows(left, "ids", "valid", "lens", "codes", "words", "classes"):
+            symbols = symbols_of(m.keys, words, classes)
+            n = np.ones(len(words))
+            n[right.column("at").to_numpy()] = right.column("n").to_numpy()
+            share = np.where(symbols >= len(m.keys), np.log(n) - np.log(totals[classes] + 1), 0.0)
+            active = _active(lens)
+            rank = np.arange(len(codes)) - np.repeat(np.cumsum(active) - active, active)
+            ll = log_likelihoods(m, symbols[codes], lens) + np.bincount(rank, weights=share[codes], minlength=len(lens))
             none = lens == 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid), pa.array(lens), pa.array(ll), pa.array(np.exp(-ll / np.maximum(lens, 1)), mask=none)], names=["doc_id", "n_tokens", "log_likelihood", "perplexity"])
+            out.append(pa.table([pa.array(ids, mask=~valid), pa.array(lens), pa.array(ll), pa.array(np.exp(-ll / np.maximum(lens, 1)), mask=none)], names=["doc_id", "n_tokens", "log_likelihood", "perplexity"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "perplexity"])
 
-    return encoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, log_likelihood double, perplexity double")
+    whole = coded.drop("counts")
+    return whole.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(run, _SCORES)
 
 
-def score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train on all of ``docs`` and score all of it: one row a row of ``docs``, with the exact log-likelihood of its symbols.
+def score(docs: DataFrame, states: int = STATES, tolerance: float = TOLERANCE, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Train on all of ``docs`` and score all of it: one row a row of ``docs``, with the exact log-likelihood of its words.
 
-    Tokens are the white-space separated words in lower case. A null or empty text has no tokens, log-likelihood 0 and a
-    null perplexity. Repeated rows are counted and scored each; a null id is returned as null; other columns are ignored.
+    Tokens are the white-space separated words in lower case. A rare word w of class c has the probability n(w) / (N(c) + 1) in its
+    class, n and N being counts over all of ``docs``; all words of the class that were never seen share 1 / (N(c) + 1).
+    A null or empty text has no tokens, log-likelihood 0 and a null perplexity. Repeated rows are counted and scored each
+    (so ties are scored alike); a null id is returned as null; a text may be of any length; other columns are ignored.
     An empty table gives an empty result.
     """
-    keys, counts = vocabulary(docs, min_share, id_col, text_col)
-    encoded = written(encode(docs, keys, id_col, text_col), "encoded")
-    return score_encoded(encoded, train(encoded, keys, counts, states, iterations)[0])
+    coded = written(code(docs, id_col, text_col), "coded")
+    counted = count(coded)
+    keys, counts = vocabulary(counted, min_share)
+    return score_coded(coded, train(coded, keys, counts, states, tolerance)[0], counted, counts)
