@@ -48,17 +48,32 @@ def annotation(**fields: Column) -> Column:
     return F.struct(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ANNOTATION.fields])
 
 
+def settled(value: Column) -> Column:
+    """The value, as an expression that no optimizer copies or moves into another one: it is computed once a row, and a Python
+    function over it gets a plain column (one over expressions with lambdas isn't always planned)."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def append(docs: DataFrame, annotations: Column) -> DataFrame:
-    return docs.withColumn("annotations", F.concat(F.coalesce("annotations", no_annotations()), F.coalesce(annotations, no_annotations())))
+    return docs.withColumn("annotations", settled(F.concat(F.coalesce("annotations", no_annotations()), F.coalesce(annotations, no_annotations()))))
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc_key``, which tells documents apart whatever their ids are, null or repeated. Keys follow the rows
+    of the scan, so that two uses of one plan agree; streams have none."""
+    return docs if "doc_key" in docs.columns or docs.isStreaming else docs.withColumn("doc_key", F.monotonically_increasing_id())
 
 
 def flatten(docs: DataFrame) -> DataFrame:
-    """One row an annotation: ``doc_id``, ``ord`` (its place in the document) and the fields."""
-    return docs.select("doc_id", F.posexplode("annotations").alias("ord", "a")).select("doc_id", "ord", *[F.col(f"a.{c}").alias(c) for c in FIELDS])
+    """One row an annotation: ``doc_id``, ``doc_key`` (see :func:`with_key`), ``ord`` (its place in the document) and the fields."""
+    docs = with_key(docs)
+    own = [c for c in ("doc_id", "doc_key") if c in docs.columns]
+    return docs.select(*own, F.posexplode("annotations").alias("ord", "a")).select(*own, "ord", *[F.col(f"a.{c}").alias(c) for c in FIELDS])
 
 
 def nest(docs: DataFrame, flat: DataFrame) -> DataFrame:
-    """The reverse of :func:`flatten`; documents without annotations stay, with none."""
+    """The reverse of :func:`flatten` of the same ``docs``; documents without annotations stay, with none."""
     made = F.array_sort(F.collect_list(F.struct("ord", F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ANNOTATION.fields]).alias("a"))))
-    arrays = flat.groupBy("doc_id").agg(F.transform(made, lambda x: x["a"]).alias("annotations"))
-    return docs.drop("annotations").join(arrays, "doc_id", "left").withColumn("annotations", F.coalesce("annotations", no_annotations()))
+    arrays = flat.groupBy("doc_key").agg(F.transform(made, lambda x: x["a"]).alias("annotations"))
+    joined = with_key(docs).drop("annotations").join(arrays, "doc_key", "left").withColumn("annotations", F.coalesce("annotations", no_annotations()))
+    return joined.select(*docs.columns)

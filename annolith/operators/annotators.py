@@ -1,8 +1,7 @@
 """Annotators: each takes documents and returns them with annotations appended to the array. None of them shuffles.
 
-Ontology and pattern rules become built-in expressions, one for each rule, with the rule's metadata as a literal. Times and
-quantities are parsed by a grammar in an Arrow-batched function; their filters and projections are built-in expressions
-again. Entities and links come from columns that a model or service filled before.
+Ontology terms and pattern rules are found in one pass over the text, in Arrow batches, whatever their number. Times and
+quantities are parsed by a grammar in an Arrow-batched function; their filters and projections are built-in expressions. Entities and links come from columns that a model or service filled before.
 """
 
 from __future__ import annotations
@@ -19,9 +18,11 @@ from pyspark.sql import types as T
 
 from ..functions import grammar
 from ..functions.language import QuantityRules, TemporalRules, quantity_rules, temporal_rules
-from ..functions.spans import bounded, literal_pattern, once, overlaps, spans, strip, surface
-from ..model import annotation, append, no_annotations
-from .resolve import resolve_conflicts, resolve_layer
+from ..functions.matching import Term
+from ..functions.matching import annotations as annotations_of
+from ..functions.spans import strip, surface
+from ..model import annotation, append
+from .resolve import resolve_layer
 
 TOKENS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType() if c in ("start", "end") else T.StringType()) for c in ("text", "start", "end", "lemma", "upos", "xpos", "feats", "deprel", "head")]))
 ENTITIES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("type", T.StringType())]))
@@ -31,16 +32,6 @@ def dump(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-def found(pattern: str, ignore_case: bool = True, **fields: Column) -> Column:
-    """An annotation for each match of ``pattern`` in the text."""
-    text = F.col("text")
-    return F.transform(spans(text, pattern, ignore_case), lambda s: annotation(start=s["start"], end=s["end"], text=surface(text, s["start"], s["end"]), **fields))
-
-
-def joined(arrays: list[Column]) -> Column:
-    return F.concat(*[F.coalesce(a, no_annotations()) for a in arrays]) if arrays else no_annotations()
-
-
 # ---------------------------------------------------------------- patterns
 
 
@@ -71,7 +62,7 @@ def pattern_rules(config: dict[str, Any], layer: str = "pattern") -> list[Patter
         elif "patterns" in raw:
             patterns = [raw["patterns"]] if isinstance(raw["patterns"], str) else [str(p) for p in raw["patterns"]]
         else:
-            raise ValueError(f"Pattern rule without 'pattern' or 'patterns': {raw}")
+            raise ValueError(f"Rule {index} names neither a pattern nor patterns: {raw}")
         if match not in ("regex", "phrase"):
             raise ValueError(f"Unsupported match type: {match}")
         rules.append(
@@ -83,11 +74,6 @@ def pattern_rules(config: dict[str, Any], layer: str = "pattern") -> list[Patter
     return rules
 
 
-def without_overlaps(x: Column) -> Column:
-    """Of the annotations ``got`` those that overlap no span of ``taken``."""
-    return F.filter(x["got"], lambda a: ~F.exists(x["taken"], lambda s: overlaps(a["start"], a["end"], s["start"], s["end"])))
-
-
 @dataclass
 class PatternAnnotator:
     rules: list[PatternRule]
@@ -96,24 +82,21 @@ class PatternAnnotator:
     word_boundaries: bool = True
     source: str = "pattern"
 
-    def candidates(self) -> Column:
-        """Matches of all rules in the order of rules and patterns, without those that overlap a rule's exceptions."""
+    def terms(self) -> list[Term]:
+        """A term for each pattern, in the order of rules and patterns."""
         out = []
         for rule in self.rules:
             ignore = self.ignore_case if rule.case_sensitive is None else not rule.case_sensitive
             edges = self.word_boundaries if rule.word_boundaries is None else rule.word_boundaries
-            barred = [spans(F.col("text"), literal_pattern(e, fold=ignore), False) for e in rule.exceptions]
             for pattern in rule.patterns:
                 about = rule.metadata | {"rule_id": rule.id, "matched_value": pattern, "match_type": rule.match, "priority": rule.priority}
-                regex = pattern if rule.match == "regex" else literal_pattern(pattern, edges, ignore)
-                got = found(regex, ignore and rule.match == "regex", label=F.lit(rule.label), layer=F.lit(rule.layer), source=F.lit(self.source), type=F.lit(rule.type), subtype=F.lit(rule.subtype), metadata=F.lit(dump(about)))
-                for taken in barred:
-                    got = once(F.struct(got.alias("got"), taken.alias("taken")), without_overlaps)
-                out.append(got)
-        return joined(out)
+                phrase = rule.match == "phrase"
+                out.append(Term(pattern, rule.label, rule.layer, self.source, rule.type, rule.subtype, dump(about), phrase, ignore, phrase and edges, tuple(rule.exceptions), rule.priority))
+        return out
 
     def annotate(self, docs: DataFrame) -> DataFrame:
-        return append(docs, resolve_conflicts(self.candidates(), self.conflict_strategy))
+        """Matches of all rules, without those that overlap a rule's exceptions, as the conflict strategy leaves them."""
+        return append(docs, annotations_of(F.col("text"), self.terms(), self.conflict_strategy))
 
 
 # ---------------------------------------------------------------- ontology
@@ -132,8 +115,8 @@ class OntologyAnnotator:
     match_name: bool = False
     match_name_camel_case: bool = True
 
-    def terms(self) -> list[tuple[Any, str, str, str]]:
-        """(concept, regular expression, source of the match, matched value) in the order of annotations."""
+    def terms(self) -> list[Term]:
+        """Labels, aliases, names and expressions of all concepts, in the order of annotations."""
         import re
 
         out = []
@@ -144,16 +127,13 @@ class OntologyAnnotator:
                 split = re.sub(r"(?<!^)(?=[A-Z])", " ", c.name)
                 if self.match_name_camel_case and split != c.name:
                     terms.append((split, "name_camel_case"))
-            out += [(c, literal_pattern(t, fold=True), kind, t) for t, kind in terms if t]
-            out += [(c, bounded(p), "regex", p) for p in c.patterns if self.match_patterns]
+            for value, kind in [(t, k) for t, k in terms if t] + [(p, "regex") for p in c.patterns if self.match_patterns]:
+                about = {"concept_id": c.uri, "concept_uri": c.uri, "concept_name": c.name, "entity_type": c.entity_type, "match_source": kind, "matched_value": value}
+                out.append(Term(value, c.name, self.layer, self.source, "ontology", None, dump(about), kind != "regex"))
         return out
 
     def annotate(self, docs: DataFrame) -> DataFrame:
-        arrays = []
-        for c, regex, kind, value in self.terms():
-            about = {"concept_id": c.uri, "concept_uri": c.uri, "concept_name": c.name, "entity_type": c.entity_type, "match_source": kind, "matched_value": value}
-            arrays.append(found(regex, kind == "regex", label=F.lit(c.name), layer=F.lit(self.layer), source=F.lit(self.source), type=F.lit("ontology"), metadata=F.lit(dump(about))))
-        return append(docs, joined(arrays))
+        return append(docs, annotations_of(F.col("text"), self.terms()))
 
 
 # ---------------------------------------------------------------- tokens and entities
@@ -190,7 +170,7 @@ def parsed(dims: list[str], language: str, timezone: str, ref_time: str | None)
     def parse(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else dump([r | {"value": dump(r["value"])} for r in grammar.parse(t, set(dims), language, ref)]))
 
-    return F.from_json(parse(F.col("text")), _RESULT)
+    return F.from_json(parse.asNondeterministic()(F.col("text")), _RESULT)  # so that it isn't copied: once a text
 
 
 @dataclass

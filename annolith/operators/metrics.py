@@ -1,18 +1,25 @@
-"""Corpus metrics over flat annotations (``doc_id``, ``ord`` and the fields): summaries, salience, TF-IDF, propagation.
+"""Corpus metrics over flat annotations (``doc_id``, ``doc_key``, ``ord`` and the fields): summaries, salience, TF-IDF, propagation.
 
-The number of documents comes from the documents table, as documents without annotations count too. Where values tie, the
-order of first appearance decides: by ``doc_id``, then ``ord``.
+The number of documents comes from the documents table, as documents without annotations count too. Documents are counted as
+they are, told apart by ``doc_key``: ids may be null or repeated. Where values tie, the order of first appearance decides: by
+``doc_id``, then ``doc_key``, then ``ord``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.spans import canonical, distance_weight, meta, smoothed_idf
+from ..model import FIELDS, no_annotations, with_key
+
 
 def _first() -> Column:
-    return F.min(F.struct("doc_id", "ord"))
+    return F.min(F.struct("doc_id", "doc_key", "ord"))
 
 
 def _empty(c: str) -> Column:
@@ -27,10 +34,11 @@ def total(docs: DataFrame) -> Column:
 # ---------------------------------------------------------------- summary
 
 
-def summary_totals(docs: DataFrame, flat: DataFrame) -> DataFrame:
-    counts = flat.agg(F.count("*").alias("annotations"), F.countDistinct("doc_id").alias("documents_with_annotations"))
-    n = docs.agg(F.count("*").alias("documents"))
-    return n.crossJoin(counts).select(
+def summary_totals(docs: DataFrame) -> DataFrame:
+    """Documents with and without annotations, and annotations; one pass, no shuffle of rows."""
+    size = F.size(F.coalesce("annotations", no_annotations()))
+    n = docs.agg(F.count("*").alias("documents"), F.count_if(size > 0).alias("documents_with_annotations"), F.coalesce(F.sum(size), F.lit(0)).alias("annotations"))
+    return n.select(
         "documents",
         "documents_with_annotations",
         (F.col("documents") - F.col("documents_with_annotations")).alias("documents_without_annotations"),
@@ -41,7 +49,7 @@ def summary_totals(docs: DataFrame, flat: DataFrame) -> DataFrame:
 
 def summary_counts(flat: DataFrame) -> DataFrame:
     """All four counts in one pass: ``grouping`` says of what, the other columns are null where they don't apply."""
-    keyed = flat.select(_empty("text").alias("text"), _empty("layer").alias("layer"), _empty("label").alias("label"), "doc_id", "ord")
+    keyed = flat.select(_empty("text").alias("text"), _empty("layer").alias("layer"), _empty("label").alias("label"), "doc_id", "doc_key", "ord")
     layer, label, text = F.col("layer"), F.col("label"), F.col("text")
     got = keyed.groupingSets([[layer], [label], [layer, label], [text, layer, label]], text, layer, label).agg(F.count("*").alias("count"), _first().alias("first"), F.grouping_id().alias("g"))
     names = F.create_map(*[F.lit(x) for x in (5, "layer", 6, "label", 4, "layer_label", 0, "annotation")])
@@ -70,17 +78,17 @@ def most_common(flat: DataFrame, keys: list[str], value: Column, name: str) -> D
 
 def salience_scores(docs: DataFrame, flat: DataFrame, layer: str | None = None, label: str | None = None) -> DataFrame:
     """TF, DF, smoothed IDF and score of every (layer, label, canonical); the filters do not change the document count."""
-    keyed = flat.select("doc_id", "ord", _empty("layer").alias("layer"), _empty("label").alias("label"), canonical(F.col("text"), F.col("metadata")).alias("canonical"), _empty("text").alias("text"))
+    keyed = flat.select("doc_id", "doc_key", "ord", _empty("layer").alias("layer"), _empty("label").alias("label"), canonical(F.col("text"), F.col("metadata")).alias("canonical"), _empty("text").alias("text"))
     if layer is not None:
         keyed = keyed.where(F.col("layer") == layer)
     if label is not None:
         keyed = keyed.where(F.col("label") == label)
     keys = ["layer", "label", "canonical"]
     # one shuffle by key and document does for terms, documents and displays
-    each = keyed.groupBy(*keys, "doc_id", "text").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
-    shown = each.groupBy(*keys, "text").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "ord")).alias("first"))
+    each = keyed.groupBy(*keys, "doc_id", "doc_key", "text").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    shown = each.groupBy(*keys, "text").agg(F.sum("n").alias("n"), _first().alias("first"))
     shown = shown.groupBy(*keys).agg(F.min_by("text", F.struct(-F.col("n"), "first")).alias("display"), F.sum("n").alias("tf"), F.min("first").alias("first"))
-    df = each.groupBy(*keys).agg(F.countDistinct("doc_id").alias("df"))
+    df = each.groupBy(*keys).agg(F.countDistinct("doc_key").alias("df"))
     n = total(docs)
     scored = shown.join(df, keys).withColumn("idf", smoothed_idf(n, F.col("df")))
     return scored.withColumn("score", F.col("tf") * F.col("idf"))
@@ -94,16 +102,54 @@ def salience(docs: DataFrame, flat: DataFrame, top: int = 20, layer: str | None
 # ---------------------------------------------------------------- TF-IDF
 
 
-def tfidf(docs: DataFrame, flat: DataFrame, layer: str = "ontology") -> DataFrame:
-    """``flat`` with each annotation of the layer scored by its label: tf in the document times ln(N / df), 1 where df is 1."""
-    own = F.col("layer") == layer
-    per = flat.where(own).groupBy("doc_id", "label").agg(F.count("*").alias("tf"))
-    df = per.groupBy("label").agg(F.count("*").alias("df"))
+_TF = T.ArrayType(T.StructType([T.StructField("tf", T.IntegerType()), T.StructField("first", T.BooleanType())]))
+_TF_ARROW = pa.list_(pa.struct([("tf", pa.int32()), ("first", pa.bool_())]))
+
+
+def term_frequencies(annotations: Column, layer: str) -> Column:
+    """For each annotation of the layer how often its label is the document's, and whether it is the label's first; null for others."""
+
+    @F.arrow_udf(_TF)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for labels, layers in zip(*(c.to_pylist() for c in batch.flatten())):
+                if labels is None:
+                    out.append(None)
+                    continue
+                count: dict[str | None, int] = {}
+                for x, y in zip(labels, layers):
+                    if y == layer:
+                        count[x] = count.get(x, 0) + 1
+                seen: set[str | None] = set()
+                row = []
+                for x, y in zip(labels, layers):
+                    row.append({"tf": count[x], "first": x not in seen} if y == layer else None)
+                    if y == layer:
+                        seen.add(x)
+                out.append(row)
+            yield pa.array(out, _TF_ARROW)
+
+    return run.asNondeterministic()(F.struct(annotations["label"].alias("label"), annotations["layer"].alias("layer")))
+
+
+def tfidf(docs: DataFrame, layer: str = "ontology") -> DataFrame:
+    """Flat annotations, each of the layer scored by its label: tf in the document times ln(N / df), 1 where df is 1.
+
+    tf is counted within a document's array; only labels are shuffled, and annotations meet them in one join, which Spark
+    makes a broadcast where the labels are few.
+    """
+    docs = with_key(docs)
+    tf = term_frequencies(F.col("annotations"), layer)
+    each = docs.select("doc_id", "doc_key", F.posexplode(F.arrays_zip("annotations", tf.alias("t"))).alias("ord", "x"))
+    flat = each.select("doc_id", "doc_key", "ord", *[F.col(f"x.annotations.{c}").alias(c) for c in FIELDS], F.col("x.t.tf").cast("bigint").alias("tf"), F.col("x.t.first").alias("__first"))
+    key = F.coalesce(F.concat(F.lit("="), "label"), F.lit("")).alias("__l")
+    df = flat.where("__first").groupBy(key).agg(F.count("*").alias("df"))
     n = total(docs)
-    idf = F.when(F.col("df") > 1, F.ln(n / F.col("df"))).otherwise(F.lit(1.0))
-    scores = per.join(df, "label").withColumn("idf", idf).withColumn("tfidf", F.col("tf") * F.col("idf"))
-    joined = flat.join(scores.select(F.col("doc_id").alias("__d"), F.col("label").alias("__l"), "tf", "df", "idf", "tfidf"), own & (F.col("doc_id") == F.col("__d")) & F.col("label").eqNullSafe(F.col("__l")), "left")
-    return joined.withColumn("score", F.coalesce("tfidf", "score")).drop("__d", "__l")
+    joined = flat.withColumn("__l", F.when(F.col("tf").isNotNull(), key)).join(df, "__l", "left")
+    idf = F.when(F.col("df") > 1, F.ln(n / F.col("df"))).when(F.col("df") == 1, F.lit(1.0))
+    scored = joined.withColumn("idf", idf).withColumn("tfidf", F.col("tf") * F.col("idf"))
+    return scored.withColumn("score", F.coalesce("tfidf", "score")).drop("__l", "__first")
 
 
 def with_scores_in_metadata(scored: DataFrame) -> DataFrame:
@@ -123,12 +169,12 @@ def extended_tfidf(scored: DataFrame, distances: DataFrame, decay: float = 0.5,
     if aggregation not in ("sum", "max"):
         raise ValueError(f"Unsupported aggregation: {aggregation}")
     concept = F.coalesce(F.nullif(meta(F.col("metadata"), "concept_id"), F.lit("")), F.col("label"))
-    own = scored.where((F.col("layer") == layer) & F.col("score").isNotNull()).select("doc_id", concept.alias("src"), "score")
+    own = scored.where((F.col("layer") == layer) & F.col("score").isNotNull()).select("doc_id", "doc_key", concept.alias("src"), "score")
     # a concept's annotations in a document spread alike, so that they are combined before the join
-    own = own.groupBy("doc_id", "src").agg((F.sum if aggregation == "sum" else F.max)("score").alias("score"))
-    spread = own.join(distances, "src").select("doc_id", F.col("dst").alias("concept"), (F.col("score") * distance_weight(decay_function, F.col("distance"), decay)).alias("c"))
+    own = own.groupBy("doc_id", "doc_key", "src").agg((F.sum if aggregation == "sum" else F.max)("score").alias("score"))
+    spread = own.join(distances, "src").select("doc_id", "doc_key", F.col("dst").alias("concept"), (F.col("score") * distance_weight(decay_function, F.col("distance"), decay)).alias("c"))
     combined = F.sum("c") if aggregation == "sum" else F.greatest(F.lit(0.0), F.max("c"))
-    return spread.groupBy("doc_id", "concept").agg(combined.alias("score"))
+    return spread.groupBy("doc_id", "doc_key", "concept").agg(combined.alias("score")).drop("doc_key")
 
 
 # ---------------------------------------------------------------- extended salience
@@ -137,10 +183,10 @@ def extended_tfidf(scored: DataFrame, distances: DataFrame, decay: float = 0.5,
 def observed_concepts(docs: DataFrame, flat: DataFrame, layer: str) -> DataFrame:
     """TF, DF, IDF and score of every concept that annotations of the layer name."""
     uri = F.nullif(meta(F.col("metadata"), "concept_uri"), F.lit(""))
-    own = flat.where(F.col("layer") == layer).select("doc_id", "ord", uri.alias("concept_uri"), _empty("text").alias("text"), _empty("label").alias("label")).where("concept_uri is not null")
+    own = flat.where(F.col("layer") == layer).select("doc_id", "doc_key", "ord", uri.alias("concept_uri"), _empty("text").alias("text"), _empty("label").alias("label")).where("concept_uri is not null")
     display = most_common(own, ["concept_uri"], F.col("text"), "display").drop("first")
     label = most_common(own, ["concept_uri"], F.col("label"), "label").drop("first", "tf")
-    df = own.groupBy("concept_uri").agg(F.countDistinct("doc_id").alias("df"))
+    df = own.groupBy("concept_uri").agg(F.countDistinct("doc_key").alias("df"))
     got = display.join(label, "concept_uri").join(df, "concept_uri").withColumn("idf", smoothed_idf(total(docs), F.col("df")))
     return got.withColumn("observed_score", F.col("tf") * F.col("idf"))
 

@@ -1,141 +1,56 @@
-"""Greedy overlap resolution within a document's array of annotations: a sort and a fold, no shuffle.
+"""Greedy overlap resolution within a document's array of annotations: no shuffle.
 
-Every variant takes annotations in an order of preference and keeps those that overlap none kept before.
+Every variant takes annotations in an order of preference and keeps those that overlap none kept before. Sorting and sweeping
+are a few lines over plain numbers (:mod:`annolith.functions.matching`), in Arrow batches of the columns that matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import meta, once, overlaps
+from ..functions.matching import STRATEGIES, Choice, chosen
 from ..model import no_annotations
 
 #: How much a layer matters when only some annotations can be shown.
 LAYER_PRIORITY = {"contact": 100, "social": 90, "entity": 80, "temporal": 70, "cantidades": 70, "quantity": 70, "pattern": 60, "ontology": 10}
 
-Key = Callable[[Column], list[Column]]
-
-
-def length(a: Column) -> Column:
-    return a["end"] - a["start"]
-
-
-def priority(a: Column) -> Column:
-    return F.coalesce(F.try_to_number(meta(a["metadata"], "priority"), F.lit("S9999999999")).cast("int"), F.lit(0))
-
-
-def ranked(annotations: Column, key: Key) -> Column:
-    """Sorted by ``key`` ascending, then by place."""
-    return F.transform(F.array_sort(F.transform(annotations, lambda a, i: F.struct(*[k.alias(f"k{n}") for n, k in enumerate(key(a))], i.alias("i"), a.alias("a")))), lambda x: x["a"])
-
-
-def clusters(items: Column, none: Column) -> Column:
-    """Items (structs of start ``s``, end ``e`` and place ``i``) grouped so that spans of different groups never overlap.
-
-    What a greedy choice keeps in one group doesn't depend on another, so that a document with many annotations costs about
-    as much as its groups, which are small. ``none`` is an empty array of items. A fold copies what it has gathered at
-    every step, which is why it gathers numbers and no annotations.
-    """
-    start = F.struct(F.slice(F.array(none), 1, 0).alias("done"), none.alias("cur"), F.lit(-1).alias("end"))
-
-    def step(acc: Column, x: Column) -> Column:
-        closed = F.when(F.size(acc["cur"]) > 0, F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])
-        fresh = F.struct(closed.alias("done"), F.array(x).alias("cur"), x["e"].alias("end"))
-        grown = F.struct(acc["done"].alias("done"), F.array_append(acc["cur"], x).alias("cur"), F.greatest(acc["end"], x["e"]).alias("end"))
-        return F.when(x["s"] >= acc["end"], fresh).otherwise(grown)
-
-    return F.aggregate(F.array_sort(items), start, step, lambda acc: F.array_append(acc["done"], acc["cur"]))
-
-
-def _kept(annotations: Column, preference: Key) -> Column:
-    """Start, end and place of those that overlap none preferred to them; ties in preference go by place."""
-    item = lambda a, i: F.struct(a["start"].alias("s"), a["end"].alias("e"), i.alias("i"))
-    groups = clusters(F.transform(annotations, item), F.transform(F.slice(annotations, 1, 0), item))
-    fits = lambda kept, x: ~F.exists(kept, lambda k: overlaps(x["s"], x["e"], k["s"], k["e"]))
-
-    def choose(group: Column) -> Column:
-        return F.aggregate(in_order(annotations, group, preference), F.slice(group, 1, 0), lambda kept, x: F.when(fits(kept, x), F.array_append(kept, x)).otherwise(kept))
-
-    return F.flatten(F.transform(groups, lambda g: F.when(F.size(g) > 1, choose(g)).otherwise(g)))
-
-
-def in_order(annotations: Column, items: Column, preference: Key) -> Column:
-    """Items by what their annotations are preferred by, then by place."""
-    keyed = lambda x: F.struct(*[k.alias(f"k{n}") for n, k in enumerate(preference(annotations[x["i"]]))], x["i"].alias("i"), x.alias("x"))
-    return F.transform(F.array_sort(F.transform(items, keyed)), lambda y: y["x"])
-
-
-def greedy(annotations: Column, preference: Key) -> Column:
-    """Those annotations that overlap none preferred to them, in order of preference."""
-    return once(annotations, lambda every: F.transform(in_order(every, _kept(every, preference), preference), lambda x: every[x["i"]]))
-
 
 def by_place(annotations: Column) -> Column:
-    return ranked(annotations, lambda a: [a["start"], a["end"]])
+    return chosen(annotations, Choice(()))
 
 
-def select_non_overlapping(annotations: Column, preference: Key | None = None) -> Column:
-    """The longest first (ties by place in the array), or by ``preference``; the result in text order."""
-    key = preference or (lambda a: [-length(a)])
-    return once(annotations, lambda every: F.transform(F.array_sort(_kept(every, key)), lambda x: every[x["i"]]))
+def select_non_overlapping(annotations: Column) -> Column:
+    """The longest first (ties by place in the array); the result in text order."""
+    return chosen(annotations, Choice(("length",)))
 
 
-def resolve_layer(annotations: Column, layer: str, preference: Key | None = None) -> Column:
+def resolve_layer(annotations: Column, layer: str) -> Column:
     """One layer resolved, others as they are; all in text order, the others first where places are the same."""
-
-    def both(all_of: Column) -> Column:
-        others = F.filter(all_of, lambda a: ~a["layer"].eqNullSafe(layer))
-        return F.concat(others, select_non_overlapping(F.filter(all_of, lambda a: a["layer"].eqNullSafe(layer)), preference))
-
-    return by_place(once(annotations, both))
+    return chosen(annotations, Choice(("length",), layer=layer, one_layer=True))
 
 
 def resolve_conflicts(candidates: Column, strategy: str) -> Column:
     """What pattern rules found, by strategy: all, longest, priority or longest_priority. Ties go by place."""
-    keys: dict[str, Key] = {
-        "longest": lambda a: [-length(a), a["start"]],
-        "priority": lambda a: [-priority(a), -length(a), a["start"]],
-        "longest_priority": lambda a: [-length(a), -priority(a), a["start"]],
-    }
-    if strategy == "all":
-        return by_place(candidates)
-    if strategy not in keys:
+    if strategy not in STRATEGIES:
         raise ValueError(f"Unsupported conflict strategy: {strategy}")
-    return by_place(greedy(candidates, keys[strategy]))
+    prefer = {"all": (), "longest": ("length", "start"), "priority": ("priority", "length", "start"), "longest_priority": ("length", "priority", "start")}
+    return chosen(candidates, Choice(prefer[strategy]))
 
 
 def select_visible(annotations: Column) -> Column:
     """For display: by the layer's priority, the annotation's own, then length."""
-    layers = F.create_map(*[F.lit(x) for pair in LAYER_PRIORITY.items() for x in pair])
-    rank = lambda a: F.coalesce(F.try_element_at(layers, F.coalesce(a["layer"], F.lit(""))), F.lit(0))
-    return by_place(greedy(annotations, lambda a: [-rank(a), -priority(a), -length(a)]))
+    return chosen(annotations, Choice(("rank", "priority", "length"), ranks=tuple(LAYER_PRIORITY.items())))
 
 
 def resolve_by_label(annotations: Column, layer: str | None = None) -> Column:
     """The older resolver: longest, then first, then by label, within a layer if one is named; by (start, end, layer, label)."""
-    key = lambda a: [-length(a), a["start"], a["label"]]
-
-    def kept(all_of: Column) -> Column:
-        if layer is None:
-            return greedy(all_of, key)
-        others = F.filter(all_of, lambda a: ~a["layer"].eqNullSafe(layer))
-        return F.concat(others, greedy(F.filter(all_of, lambda a: a["layer"].eqNullSafe(layer)), key))
-
-    return ranked(once(annotations, kept), lambda a: [a["start"], a["end"], a["layer"], a["label"]])
+    return chosen(annotations, Choice(("length", "start", "label"), "label", layer, layer is not None))
 
 
 def paint_order(annotations: Column) -> Column:
     """Spans a renderer paints going left to right: each that starts at or after the end of the last one painted."""
-    def paint(every: Column) -> Column:
-        items = F.array_sort(F.transform(every, lambda a, i: F.struct(a["start"].alias("s"), (-length(a)).alias("n"), i.alias("i"), a["end"].alias("e"))))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda acc, x: F.when(x["s"] < acc["at"], acc).otherwise(F.struct(x["e"].alias("at"), F.array_append(acc["out"], x["i"]).alias("out")))
-        return F.transform(F.aggregate(items, start, step, lambda acc: acc["out"]), lambda i: every[i])
-
-    return once(annotations, paint)
+    return chosen(annotations, Choice((), "paint"))
 
 
 def apply_resolver(docs: DataFrame, config: dict | None) -> DataFrame:

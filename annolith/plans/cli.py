@@ -79,7 +79,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         docs = read_annotated(spark, args.input, args.input_format)
         flat = flatten(docs)
         if args.what == "summary":
-            tables = {"totals": metrics.summary_totals(docs, flat)} | {k: metrics.top_counts(flat, k, args.top) for k in ("layer", "label", "layer_label", "annotation")}
+            tables = {"totals": metrics.summary_totals(docs)} | {k: metrics.top_counts(flat, k, args.top) for k in ("layer", "label", "layer_label", "annotation")}
             if args.json or args.output != "-":
                 write_metrics({k: [r.asDict() for r in t.collect()] for k, t in tables.items()}, args.output)
             else:

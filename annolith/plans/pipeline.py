@@ -112,7 +112,7 @@ class Result:
 
 def score_documents(docs: DataFrame, layer: str) -> DataFrame:
     """TF-IDF written into the annotations of a layer."""
-    scored = metrics.with_scores_in_metadata(metrics.tfidf(docs, flatten(docs), layer))
+    scored = metrics.with_scores_in_metadata(metrics.tfidf(docs, layer))
     return nest(docs, scored)
 
 

@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import matching as Mt
 from .functions import spans as S
 from .functions.language import quantity_rules, temporal_rules
 from .model import append, documents, flatten
@@ -81,7 +82,7 @@ def _conflict(strategy: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def regex_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir)
-    got = A.joined([A.found(p, False, label=F.lit(k)) for k, p in REGEXES.items()])
+    got = Mt.annotations(F.col("text"), [Mt.Term(p, k, phrase=False, ignore_case=False, bounded=False) for k, p in REGEXES.items()])
     return flatten(append(docs, got)).select("doc_id", "start", "end", "text", "label")
 
 
@@ -107,7 +108,7 @@ def _rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
 
 
 def summary_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.summary_totals(*_flat(spark, sf_dir)), "annotations_per_document")
+    return _rounded(M.summary_totals(annotated(spark, sf_dir)), "annotations_per_document")
 
 
 def summary_groupings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +129,11 @@ def _salience(**args: Any) -> Callable[[SparkSession, str], DataFrame]:
 
 def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _flat(spark, sf_dir)[1]
-    return flat.groupBy("layer", "label", S.canonical(F.col("text"), F.col("metadata")).alias("canonical")).agg(F.count("*").alias("tf"), F.countDistinct("doc_id").alias("df"))
+    return flat.groupBy("layer", "label", S.canonical(F.col("text"), F.col("metadata")).alias("canonical")).agg(F.count("*").alias("tf"), F.countDistinct("doc_key").alias("df"))
 
 
 def tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = M.tfidf(*_flat(spark, sf_dir), layer="function")
+    got = M.tfidf(annotated(spark, sf_dir), "function")
     return _rounded(got.select("doc_id", "start", "end", "label", "layer", "tf", "df", "idf", "score"), "idf", "score")
 
 
@@ -142,7 +143,7 @@ def _near(spark: SparkSession, include_self: bool) -> DataFrame:
 
 def _extended_tfidf(kind: str, aggregation: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scored = M.tfidf(*_flat(spark, sf_dir), layer="function")
+        scored = M.tfidf(annotated(spark, sf_dir), "function")
         return _rounded(M.extended_tfidf(scored, _near(spark, True), 0.5, "function", kind, aggregation), "score", digits=6)
 
     return query
@@ -186,15 +187,15 @@ def quantity_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     upos = lambda t: F.when(F.lower(t).isin("the", "der", "la"), "DET").otherwise("X")
-    tokens = F.transform(S.spans(F.col("text"), r"[A-Za-z]+", False), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), upos(S.surface(F.col("text"), s["start"], s["end"])).alias("upos")))
-    docs = annotator("all", [RULES[0], RULES[2], RULES[4]]).annotate(corpus(spark, sf_dir)).withColumn("tokens", tokens)
+    tokens = F.transform(Mt.spans(F.col("text"), r"[A-Za-z]+", False), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), upos(S.surface(F.col("text"), s["start"], s["end"])).alias("upos")))
+    docs = annotated(spark, sf_dir).withColumn("tokens", tokens)
     with_token = F.transform("annotations", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), a["label"].alias("label"), A.token_at(F.col("tokens"), a["start"], a["end"])["upos"].alias("upos")))
     return docs.select("doc_id", F.inline(with_token))
 
 
 def entity_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.filter(S.spans(F.col("text"), r"[^.\n]+", False), lambda e: e["end"] - e["start"] >= 40)
-    docs = annotator("all", [RULES[2]]).annotate(corpus(spark, sf_dir)).withColumn("entities", lines)
+    lines = Mt.spans(F.col("text"), r"[^.\n]+", False)
+    docs = annotated(spark, sf_dir).withColumn("entities", lines)
     around = F.transform("annotations", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), A.entity_around(F.col("entities"), a["start"], a["end"]).alias("e")))
     return docs.select("doc_id", F.inline(around)).select("doc_id", "start", "end", F.col("e.start").alias("entity_start"), F.col("e.end").alias("entity_end"))
 
@@ -230,7 +231,7 @@ def grammar_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir)
     for a in (A.TemporalAnnotator(language="en", ref_time="2026-07-01T12:00:00"), A.QuantityAnnotator(language="en", ref_time="2026-07-01T12:00:00")):
         docs = a.annotate(docs)
-    return flatten(docs).drop("ord", "score")
+    return flatten(docs).drop("ord", "score", "doc_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -430,8 +431,8 @@ SELECT doc_id, x.s AS "start", x.e AS "end", x.t AS text, x.l AS label, x.y AS l
     "temporal_bad_surface": f"""SELECT surface, trim(surface, E' \\n\\t\\r') IN ({_IN(_ES.exact)}) OR low = '' OR low IN ({_IN(_ES.single)}) OR low IN ({_IN(_ES.years)}) OR (len(w) = 2 AND w[1] IN ({_IN(_ES.starts)}) AND w[2] IN ({_IN(_ES.single)})) OR (len(w) = 2 AND w[1] IN ({_IN(_ES.hour_starts)}) AND w[2] IN ({_IN(_ES.hours)})) OR regexp_full_match(low, '[0-9]+') AS bad
 FROM (SELECT surface, lower(trim(surface, E' \\n\\t\\r')) AS low, string_split_regex(lower(trim(surface, E' \\n\\t\\r')), '\\s+') AS w FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS surface FROM documents))""",
     "quantity_multiplier": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'mil' WHEN 1 THEN 'millones' END AS word, CASE o_orderkey % 4 WHEN 0 THEN 1000::BIGINT WHEN 1 THEN 1000000::BIGINT END AS times, CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 9 END AS size FROM orders",
-    "token_exact_join": f"""{_words([RULES[0], RULES[2], RULES[4]])}, {matches("[A-Za-z]+", "plain")} SELECT a.doc_id, a."start", a."end", a.label, CASE WHEN p.t IS NULL THEN NULL WHEN lower(p.t) IN ('the', 'der', 'la') THEN 'DET' ELSE 'X' END AS upos FROM ann a LEFT JOIN plain p ON p.doc_id = a.doc_id AND p."start" = a."start" AND p."end" = a."end\"""",
-    "entity_containment_join": f"""{_words([RULES[2]])}, {matches("[^.\n]+", "line")}, ent AS (SELECT * FROM line WHERE "end" - "start" >= 40) SELECT a.doc_id, a."start", a."end", e."start" AS entity_start, e."end" AS entity_end FROM ann a LEFT JOIN ent e ON e.doc_id = a.doc_id AND e."start" <= a."start" AND a."end" <= e."end\"""",
+    "token_exact_join": f"""{_words()}, {matches("[A-Za-z]+", "plain")} SELECT a.doc_id, a."start", a."end", a.label, CASE WHEN p.t IS NULL THEN NULL WHEN lower(p.t) IN ('the', 'der', 'la') THEN 'DET' ELSE 'X' END AS upos FROM ann a LEFT JOIN plain p ON p.doc_id = a.doc_id AND p."start" = a."start" AND p."end" = a."end\"""",
+    "entity_containment_join": f"""{_words()}, {matches("[^.\n]+", "line")}, ent AS (SELECT * FROM line) SELECT a.doc_id, a."start", a."end", e."start" AS entity_start, e."end" AS entity_end FROM ann a LEFT JOIN ent e ON e.doc_id = a.doc_id AND e."start" <= a."start" AND a."end" <= e."end\"""",
     "text_hash": "SELECT doc_id, sha1('es' || chr(10) || 'tokenize' || chr(10) || text) AS text_hash FROM documents",
     "camel_case_terms": "SELECT p_partkey, ltrim(regexp_replace(replace(p_name, ' ', ''), '([A-Z])', ' \\1', 'g')) AS term, p_name AS name FROM part",
     "compact_profile": _conflict_sql(f'{_LEN}, k2: -prio, k3: "start"').rsplit(" SELECT ", 1)[0]

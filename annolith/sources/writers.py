@@ -74,7 +74,7 @@ def documents_export(docs: DataFrame) -> DataFrame:
 
 def annotations_export(docs: DataFrame) -> DataFrame:
     """One row an annotation, metadata as JSON."""
-    return flatten(docs).drop("ord")
+    return flatten(docs).drop("ord", "doc_key")
 
 
 def write_corpus(docs: DataFrame, path: str, output_format: str | None = None, profile: str = "compact", corpus_metadata: dict | None = None) -> None:

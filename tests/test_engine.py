@@ -189,11 +189,11 @@ def test_metrics(spark):
     top = M.salience(docs, flat).collect()
     assert (top[0].canonical, top[0].display, top[0].tf, top[0].df, round(top[0].idf, 3), round(top[0].score, 3)) == ("text:government", "Government", 2, 2, 1.288, 2.575)
     assert round(top[1].score, 3) == 1.693
-    totals = M.summary_totals(docs, flat).first()
+    totals = M.summary_totals(docs).first()
     assert (totals.documents, totals.documents_with_annotations, totals.documents_without_annotations, totals.annotations) == (3, 2, 1, 3)
     assert {r.grouping for r in M.summary_counts(flat).collect()} == {"layer", "label", "layer_label", "annotation"}
     two = with_annotations(spark, [ann(0, 1, "P", "ontology", uri("h")), ann(2, 3, "Q", "ontology", uri("q"))], [ann(0, 1, "P", "ontology", uri("h"))])
-    scored = M.tfidf(two, flatten(two))
+    scored = M.tfidf(two)
     assert sorted((r.label, r.tf, r.df, r.idf, r.score) for r in scored.collect()) == [("P", 1, 2, 0.0, 0.0)] * 2 + [("Q", 1, 1, 1.0, 1.0)]
     near = spark.createDataFrame([("q", "q", 0), ("q", "z", 1)], "src string, dst string, distance int")
     ext = M.extended_tfidf(scored.withColumn("metadata", F.regexp_replace("metadata", "concept_uri", "concept_id")), near)
@@ -207,7 +207,7 @@ def test_metrics(spark):
     with pytest.raises(ValueError):
         M.extended_tfidf(scored, near, decay_function="other")
     empty = docs.limit(0)
-    assert M.salience(empty, flatten(empty)).count() == 0 and M.summary_totals(empty, flatten(empty)).first().annotations_per_document == 0
+    assert M.salience(empty, flatten(empty)).count() == 0 and M.summary_totals(empty).first().annotations_per_document == 0
 
 
 def test_readers(spark, tmp_path):
