@@ -1,8 +1,9 @@
 """LM scoring with a hidden Markov language model over words.
 
-1. Code. Each task codes its documents once: a dictionary of word hashes, and the words as numbers in it. Documents are sorted by
-   length, cut into slices of about ``SLICE_TOKENS``, and laid out time-major: all first tokens, then all second tokens, and so on.
-   In this layout a step of the recursion is one contiguous block of many documents.
+1. Code. Each task codes its documents once, some ``HELD_TOKENS`` at a time (a slice): a dictionary of word hashes, the most
+   frequent first, and the words as numbers in it, stored by bytes of the same weight, which compress well. Documents are sorted
+   by length, cut into segments of about ``SEGMENT_TOKENS``, and laid out time-major: all first tokens, then all second tokens,
+   and so on. In this layout a step of the recursion is one contiguous block of many documents.
 2. Count. Every slice sends its words with their counts; Spark adds them up. This table, as large as the corpus's vocabulary,
    stays distributed. Words whose share of all tokens is ``min_share`` or more are symbols of their own, at most 1 / ``min_share``
    at any size; every other word belongs to a spelling class, one of ``RARE_CLASSES`` by its last two characters and its length.
@@ -36,11 +37,11 @@ STATES = 8
 TOLERANCE = 1e-3
 MIN_SHARE = 1e-5
 RARE_CLASSES = 256
-SLICE_TOKENS = 1 << 21
+SEGMENT_TOKENS = 1 << 19
 #: Tokens that a task gathers before it sorts and cuts them.
-HELD_TOKENS = 1 << 23
+HELD_TOKENS = 1 << 21
 #: Tokens whose forward variables are held at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _PRIOR = 1.0
 _SEND = 512
 
@@ -81,65 +82,59 @@ def _active(lens: np.ndarray) -> np.ndarray:
     return np.searchsorted(-lens, -np.arange(int(lens.max(initial=0))), side="left")
 
 
-_CODED = "slice bigint, ids binary, valid binary, lens binary, codes binary, words binary, classes binary, counts binary"
-_CODED_FIELDS = pa.schema([("slice", pa.int64()), *[(c, pa.binary()) for c in ("ids", "valid", "lens", "codes", "words", "classes", "counts")]])
+_CODED = "slice bigint, ids binary, valid binary, lens binary, cuts binary, codes binary, words binary, classes binary, counts binary"
+_CODED_FIELDS = pa.schema([("slice", pa.int64()), *[(c, pa.binary()) for c in ("ids", "valid", "lens", "cuts", "codes", "words", "classes", "counts")]])
 
 
-def code(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_tokens: int = SLICE_TOKENS) -> DataFrame:
-    """One row a slice of documents: ids, whether they are valid, token counts in descending order, words as numbers
-    time-major, and of the slice's distinct words hashes, classes and counts."""
+def code(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_tokens: int = HELD_TOKENS, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
+    """One row a slice of documents: ids, whether they are valid, token counts in descending order, documents in each segment,
+    words as numbers (by segment, time-major), and hashes, classes and counts of the slice's distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held: list[tuple[np.ndarray, ...]] = []
-        tokens = 0
         for batch in slices(batches):
             codes, words, lens = split_words(pc.utf8_lower(texts(batch)))
             ids = batch.column(0)
             held.append((ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_valid().to_numpy(zero_copy_only=False), lens, codes.astype(np.int32), hash_strings(words), rare_class(words)))
-            tokens += len(codes)
-            if tokens >= HELD_TOKENS:
-                for row in _slices_of(held, slice_tokens):
-                    yield _coded_row(number, row)
-                    number += 1
-                held, tokens = [], 0
+            if sum(len(h[3]) for h in held) >= held_tokens:
+                row = _coded_row(number, held, segment_tokens)
+                held, number = [], number + 1
+                pa.default_memory_pool().release_unused()
+                yield row
         if held:
-            for row in _slices_of(held, slice_tokens):
-                yield _coded_row(number, row)
-                number += 1
+            yield _coded_row(number, held, segment_tokens)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, _CODED)
 
 
-def _coded_row(number: int, row: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in row]], schema=_CODED_FIELDS)
-
-
-def _slices_of(held: list[tuple[np.ndarray, ...]], slice_tokens: int) -> Iterator[list[np.ndarray]]:
+def _coded_row(number: int, held: list[tuple[np.ndarray, ...]], segment_tokens: int) -> pa.RecordBatch:
     ids, valid, lens = (np.concatenate([h[i] for h in held]) for i in range(3))
     words, place, at = np.unique(np.concatenate([h[4] for h in held]), return_index=True, return_inverse=True)
     classes = np.concatenate([h[5] for h in held])[place]
     shift = np.cumsum([0, *[len(h[4]) for h in held]])
-    codes = np.concatenate([at[h[3] + s] for h, s in zip(held, shift)]) if len(words) else np.zeros(0, np.int64)
+    codes = np.concatenate([at[s : s + len(h[4])].astype(np.int32)[h[3]] for h, s in zip(held, shift)])
+    n = np.bincount(codes, minlength=len(words))
+    there = np.argsort(-n, kind="stable")[: int((n > 0).sum())]
+    rank = np.zeros(len(words), np.int32)
+    rank[there] = np.arange(len(there), dtype=np.int32)
     order = np.argsort(-lens, kind="stable")
     begin = (np.cumsum(lens) - lens)[order]
     size = lens[order]
-    total, lo = np.cumsum(size), 0
+    total, lo, cuts, parts = np.cumsum(size), 0, [], [np.zeros(0, np.int32)]
     while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + slice_tokens, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + segment_tokens, side="right")))
         own = size[lo:hi]
-        where, _ = time_major(own)
         tokens = np.repeat(begin[lo:hi] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
-        mine = codes[tokens[where]]
-        n = np.bincount(mine, minlength=len(words))
-        there = np.nonzero(n)[0]
-        number = np.zeros(len(words), np.int32)
-        number[there] = np.arange(len(there), dtype=np.int32)
-        yield [ids[order[lo:hi]], valid[order[lo:hi]], own.astype(np.int64), number[mine], words[there], classes[there].astype(np.int16), n[there].astype(np.int64)]
+        parts.append(rank[codes[tokens[time_major(own)[0]]]])
+        cuts.append(hi - lo)
         lo = hi
+    planes = np.ascontiguousarray(np.concatenate(parts).view(np.uint8).reshape(-1, 4).T)
+    row = [ids[order], valid[order], size.astype(np.int64), np.array(cuts, np.int64), planes, words[there], classes[there].astype(np.int16), n[there].astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in row]], schema=_CODED_FIELDS)
 
 
-_KINDS = {"ids": np.int64, "valid": bool, "lens": np.int64, "codes": np.int32, "words": np.uint64, "classes": np.int16, "counts": np.int64}
+_KINDS = {"ids": np.int64, "valid": bool, "lens": np.int64, "cuts": np.int64, "codes": np.uint8, "words": np.uint64, "classes": np.int16, "counts": np.int64}
 
 
 def _rows(table: pa.RecordBatch | pa.Table, *names: str) -> Iterator[list[np.ndarray]]:
@@ -147,6 +142,16 @@ def _rows(table: pa.RecordBatch | pa.Table, *names: str) -> Iterator[list[np.nda
         yield [np.frombuffer(table.column(c)[i].as_buffer(), _KINDS[c]) for c in names]
 
 
+def _segments(lens: np.ndarray, cuts: np.ndarray, planes: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The documents of each segment, and its words as numbers."""
+    codes = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
+    doc = at = 0
+    for n in cuts.tolist():
+        more = int(lens[doc : doc + n].sum())
+        yield slice(doc, doc + n), codes[at : at + more]
+        doc, at = doc + n, at + more
+
+
 def count(coded: DataFrame) -> DataFrame:
     """``word``, ``class`` and ``n`` of every word of a written :func:`code` table; distributed, written."""
 
@@ -214,7 +219,7 @@ def _forward(m: Model, emit: np.ndarray, active: list[int], before: np.ndarray |
     return alpha, scale
 
 
-def log_likelihoods(m: Model, symbols: np.ndarray, lens: np.ndarray, block: int = BLOCK) -> np.ndarray:
+def log_likelihoods(m: Model, symbols: np.ndarray, lens: np.ndarray, block: int = BLOCK // 4) -> np.ndarray:
     """Of each document's symbols (time-major, lengths descending): the log of the sum over all state paths."""
     active, out, before = _active(lens), np.zeros(len(lens)), None
     for t, to, lo, hi in _blocks(active, block):
@@ -276,13 +281,14 @@ def initial(keys: np.ndarray, counts: np.ndarray, states: int = STATES) -> Model
     return Model(keys, np.full(states, 1 / states), 0.5 * np.eye(states) + 0.5 / states, emit / emit.sum(axis=0))
 
 
-_SENT = "part bigint, data binary"
+_SENT = "part bigint, data binary"  # sent as single precision, added up as double
 _SENT_FIELDS = pa.schema([("part", pa.int64()), ("data", pa.binary())])
 
 
 def _added(table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x.as_buffer(), np.float64) for x in table.column("data")]
-    return pa.table([table.column("part").slice(0, 1), pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())], schema=_SENT_FIELDS)
+    kind = np.float64 if table.column("part")[0].as_py() < 0 else np.float32
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column("data")]
+    return pa.table([table.column("part").slice(0, 1), pa.array([np.sum(parts, axis=0, dtype=np.float64).tobytes()], pa.binary())], schema=_SENT_FIELDS)
 
 
 def step(coded: DataFrame, model: Model, share: np.ndarray) -> tuple[Model, float, int]:
@@ -294,16 +300,19 @@ def step(coded: DataFrame, model: Model, share: np.ndarray) -> tuple[Model, floa
         m = held.value
         head, emit = np.zeros(2 + k + k * k), np.zeros((size, k))
         for batch in batches:
-            for lens, codes, words, classes in _rows(batch, "lens", "codes", "words", "classes"):
-                if len(codes):
-                    a, b, c, ll = expected_counts(m, symbols_of(m.keys, words, classes)[codes], lens)
-                    head += np.concatenate([[ll, len(codes)], a, b.ravel()])
-                    emit += c
+            for lens, cuts, planes, words, classes in _rows(batch, "lens", "cuts", "codes", "words", "classes"):
+                symbols = symbols_of(m.keys, words, classes)
+                for own, codes in _segments(lens, cuts, planes):
+                    if len(codes):
+                        a, b, c, ll = expected_counts(m, symbols[codes], lens[own])
+                        head += np.concatenate([[ll, len(codes)], a, b.ravel()])
+                        emit += c
+            pa.default_memory_pool().release_unused()
         if head[1]:
-            data = [head.tobytes(), *[emit[lo : lo + _SEND].tobytes() for lo in range(0, size, _SEND)]]
+            data = [head.tobytes(), *[emit[lo : lo + _SEND].astype(np.float32).tobytes() for lo in range(0, size, _SEND)]]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(data) - 1)), pa.array(data, pa.binary())], schema=_SENT_FIELDS)
 
-    sent = coded.select("lens", "codes", "words", "classes").mapInArrow(run, _SENT)
+    sent = coded.select("lens", "cuts", "codes", "words", "classes").mapInArrow(run, _SENT)
     got = sent.groupBy("part").applyInArrow(_added, _SENT).collect()  # the size of the model
     held.unpersist()
     if not got:
@@ -353,15 +362,18 @@ def score_coded(coded: DataFrame, model: Model, counted: DataFrame, counts: np.n
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         m, totals = held.value
+        pa.default_memory_pool().release_unused()
         out = []
-        for ids, valid, lens, codes, words, classes in _rows(left, "ids", "valid", "lens", "codes", "words", "classes"):
+        for ids, valid, lens, cuts, planes, words, classes in _rows(left, "ids", "valid", "lens", "cuts", "codes", "words", "classes"):
             symbols = symbols_of(m.keys, words, classes)
             n = np.ones(len(words))
             n[right.column("at").to_numpy()] = right.column("n").to_numpy()
             share = np.where(symbols >= len(m.keys), np.log(n) - np.log(totals[classes] + 1), 0.0)
-            active = _active(lens)
-            rank = np.arange(len(codes)) - np.repeat(np.cumsum(active) - active, active)
-            ll = log_likelihoods(m, symbols[codes], lens) + np.bincount(rank, weights=share[codes], minlength=len(lens))
+            ll = np.zeros(len(lens))
+            for own, codes in _segments(lens, cuts, planes):
+                active = _active(lens[own])
+                rank = np.arange(len(codes)) - np.repeat(np.cumsum(active) - active, active)
+                ll[own] = log_likelihoods(m, symbols[codes], lens[own]) + np.bincount(rank, weights=share[codes], minlength=own.stop - own.start)
             none = lens == 0
             out.append(pa.table([pa.array(ids, mask=~valid), pa.array(lens), pa.array(ll), pa.array(np.exp(-ll / np.maximum(lens, 1)), mask=none)], names=["doc_id", "n_tokens", "log_likelihood", "perplexity"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "perplexity"])

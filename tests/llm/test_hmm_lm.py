@@ -66,9 +66,9 @@ def test_expected_counts_are_brute_force_posteriors(block):
     assert ll == pytest.approx(sum(math.log(brute(m, s)) for s in seqs))
 
 
-def made(spark, rows, min_share=1e-3, slice_tokens=1 << 21):
+def made(spark, rows, min_share=1e-3, held=1 << 22, segment=1 << 20):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    coded = written(hmm_lm.code(docs, slice_tokens=slice_tokens), "coded")
+    coded = written(hmm_lm.code(docs, held_tokens=held, segment_tokens=segment), "coded")
     counted = hmm_lm.count(coded)
     return coded, counted, *hmm_lm.vocabulary(counted, min_share)
 
@@ -79,8 +79,8 @@ def test_training_finds_structure_and_never_loses_likelihood(spark):
     for i in range(300):
         topic = ["red blue green", "one two three"][i % 2].split()
         rows.append((i, " ".join(rng.choice(topic, 30))))
-    coded, counted, keys, counts = made(spark, rows, slice_tokens=500)
-    assert len(keys) == 6 and counts.sum() == 9000 and coded.count() > 12
+    coded, counted, keys, counts = made(spark, rows, held=200, segment=70)
+    assert len(keys) == 6 and counts.sum() == 9000 and coded.count() >= 4
     model, seen = hmm_lm.train(coded, keys, counts, 2, 1e-5)
     assert all(b >= a - 1e-4 * abs(a) for a, b in zip(seen, seen[1:])) and len(seen) > 5
     assert seen[-1] - seen[-2] < 1e-5 * abs(seen[-1]) <= seen[-2] - seen[-3]  # it ends by what it gains
@@ -92,7 +92,7 @@ def test_training_finds_structure_and_never_loses_likelihood(spark):
 def test_iteration_is_that_of_double_precision_over_whole_documents(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(list("abcdefg"), int(rng.integers(0, 40)), p=np.array([7, 6, 5, 4, 3, 2, 1]) / 28))) for i in range(80)]
-    coded, _, keys, counts = made(spark, rows, 0.01, 100)
+    coded, _, keys, counts = made(spark, rows, 0.01, 100, 30)
     model, share = hmm_lm.initial(keys, counts, 3), (counts + 0.5) / (counts + 0.5).sum()
     new, ll, n = hmm_lm.step(coded, model, share)
     total = [0.0, 0.0, 0.0, 0.0]
@@ -112,7 +112,7 @@ def test_scores_are_brute_force_likelihoods_of_words(spark, min_share):
     rng = np.random.default_rng(6)
     vocab = [a + b for a in "abc" for b in "xy"] + ["rare" + c for c in "pqrs"]
     rows = [(i, " ".join(rng.choice(vocab, int(rng.integers(1, 7))))) for i in range(40)]
-    coded, counted, keys, counts = made(spark, rows, min_share, 20)
+    coded, counted, keys, counts = made(spark, rows, min_share, 20, 9)
     model, _ = hmm_lm.train(coded, keys, counts, 2, 1e-2)
     n = Counter(w for _, t in rows for w in t.split())
     klass = {w: int(hmm_lm.rare_class(pa.array([w]))[0]) for w in n}
