@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import id_and_text, slices, texts
 
 SAMPLE_DOCS = 200
-DICTIONARY_BYTES = 112 << 10
+DICTIONARY_BYTES = 192 << 10
 LEVEL = 6
 BLOCK = 4 << 10
 MIN_MARGIN = 0.02
@@ -29,24 +29,31 @@ SCHEMA = "doc_id bigint, language string, nearest string, runner_up string, size
 
 
 def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw-content dictionaries by language from at most ``sample_docs`` labelled rows a language.
+    """Raw-content dictionaries by language from at most ``sample_docs`` labelled rows a language, whole texts only.
 
-    The rows are those whose ids have the least hashes (ties by id), the same at every run. Each text gives the same share
-    of ``dictionary_bytes``, what one doesn't need going to the next. Rows without a language or text are no labels.
+    The rows are those whose ids have the least hashes (ties by id, then text), the same at every run. A text is taken if it still
+    fits in ``dictionary_bytes``; if not one does, the shortest is taken. Rows without a language, text or id are no labels.
     """
     rows = labelled.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    ranked = rows.where("lang is not null and length(text) > 0").select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("n"))
-    chosen = ranked.where(F.col("n") <= sample_docs).select("doc_id", "lang").distinct()  # bounded by the parameter
-    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).orderBy("lang", "doc_id", "text").collect()
-    out: dict[str, bytes] = {}
-    for lang in sorted({r.lang for r in got}):
-        parts = sorted((r.text.lower().encode() for r in got if r.lang == lang), key=lambda x: (len(x), x))
-        room, taken = dictionary_bytes, []
-        for i, part in enumerate(parts):
-            taken.append(part[: room // (len(parts) - i)])
-            room -= len(taken[-1])
-        out[lang] = b"\n".join(taken)[:dictionary_bytes]
-    return out
+    ranked = rows.where("lang is not null and length(text) > 0 and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("t"))
+    ranked = ranked.select("*", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "size", "t")).alias("n")).where(F.col("n") <= sample_docs)
+    chosen: list[tuple[str, int, int, int]] = []
+    by: dict[str, list] = {}
+    for r in ranked.collect():  # bounded by sample_docs, without texts
+        by.setdefault(r.lang, []).append(r)
+    for lang, own in by.items():
+        room, some = dictionary_bytes, False
+        for r in sorted(own, key=lambda r: r.n):
+            if r["size"] < room:
+                room -= r["size"] + 1
+                chosen.append((lang, r.doc_id, r.t, r.n))
+                some = True
+        if not some:
+            r = min(own, key=lambda r: (r["size"], r.n))
+            chosen.append((lang, r.doc_id, r.t, r.n))
+    wanted = labelled.sparkSession.createDataFrame(chosen, "lang string, doc_id bigint, t bigint, n int")
+    got = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(wanted), ["lang", "doc_id", "t"]).select("lang", "n", "text").distinct().collect()  # bounded by dictionary_bytes
+    return {lang: b"\n".join(r.text.lower().encode() for r in sorted((r for r in got if r.lang == lang), key=lambda r: r.n)) for lang in sorted(by)}
 
 
 def compressed_sizes(text: bytes, dictionary: bytes, level: int = LEVEL) -> int:
@@ -70,8 +77,9 @@ def identify(docs: DataFrame, by_language: dict[str, bytes], level: int = LEVEL,
     """One row a row of ``docs``: the predicted ``language``, null if rejected, and what the choice rests on.
 
     ``margin`` is (next_size - size) / next_size. A prediction is rejected if it is under ``min_margin``, or if sizes tie
-    (``nearest`` is then the first by name). A null or empty text has no language, sizes or margin. Other columns of
-    ``docs`` are ignored.
+    (``nearest`` is then the first by name). A null or empty text has no language, sizes or margin. Repeated rows are identified
+    alike; a null id is returned as null. Texts of any length count whole. Other columns of ``docs`` are ignored; an empty table
+    gives an empty result.
     """
     if len(by_language) < 2:
         raise ValueError("at least two languages are needed to choose from")

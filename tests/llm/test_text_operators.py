@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from annolith.llm import language_id, quality_forest, secret_scan
 from annolith.llm import sentencepiece_codec as sp
@@ -85,6 +86,44 @@ def test_round_trip_and_odd_rows(spark):
     assert sp.encode(docs.limit(0)).count() == 0
 
 
+def test_identify_is_brute_force_and_holds_on_rows_it_has_not_seen(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = language_id.dictionaries(docs.where("doc_id % 2 = 0"))
+    texts = {r.doc_id: r for r in docs.collect()}
+    own = {}
+    for lang, content in d.items():  # dictionaries hold whole texts of that language's rows
+        parts = {r.text.lower().encode() for r in texts.values() if r.lang == lang and r.doc_id % 2 == 0}
+        assert len(content) <= language_id.DICTIONARY_BYTES and max(parts, key=len) and any(p in content for p in parts)
+        own[lang] = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+    def size(lang, text):
+        whole = 0
+        for i in range(0, len(text), language_id.BLOCK):
+            c = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=own[lang], write_content_size=False, write_checksum=False, write_dict_id=False)
+            whole += len(c.compress(text[i : i + language_id.BLOCK]))
+        return whole
+
+    got = language_id.identify(docs.where("doc_id % 2 = 1"), d).collect()
+    accepted = [r for r in got if r.language]
+    assert sum(r.language == texts[r.doc_id].lang for r in accepted) >= 0.98 * len(accepted) and len(accepted) >= 0.95 * len(got)
+    own = {lang: zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for lang, content in d.items()}
+    for x in own.values():
+        x.precompute_compress(level=language_id.LEVEL)
+    for r in got[:60]:
+        sizes = sorted((size(lang, texts[r.doc_id].text.lower().encode()), lang) for lang in d)
+        assert (r.size, r.next_size, r.nearest) == (sizes[0][0], sizes[1][0], sizes[0][1])
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert r.margin == pytest.approx(margin) and r.language == (sizes[0][1] if margin >= language_id.MIN_MARGIN else None)
+
+
+def test_dictionaries_of_whole_texts(spark):
+    rows = [(i, f"text {i} " * 40, "aa") for i in range(5)] + [(9, "x" * 5000, "bb"), (9, "x" * 4000, "bb"), (10, None, "aa"), (11, "t", None), (None, "no id", "aa"), (0, "text 0 " * 40, "aa")]
+    d = language_id.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("t", F.lit(1)), 10, 700)
+    assert d["bb"] == b"x" * 4000  # none fits: the shortest
+    assert len(d["aa"]) <= 700 and set(d["aa"].decode().split("\n")) <= {t for _, t, k in rows if k == "aa" and t}
+    assert language_id.dictionaries(spark.createDataFrame([], "doc_id long, text string, lang string")) == {}
+
+
 def test_languages_and_odd_rows(spark):
     rng = np.random.default_rng(1)
     vocab = {k: ["".join(rng.choice(list(s), 6)) for _ in range(60)] for k, s in {"aa": "abcdef", "bb": "mnopqr", "cc": "uvwxyz"}.items()}
