@@ -133,7 +133,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = S
     p = model.posteriors(h, o, len(rows))[test & (target == 0)]
     wrong = np.sort(1 - p[:, 0])
     least = float(max(0.5, wrong[min(len(wrong) - 1, int(np.ceil((1 - false_share) * len(wrong))))] if len(wrong) else 0.5))
-    return Classifier(model, min(least, 0.95), held)
+    return Classifier(model, least, held)
 
 
 def classify(c: Classifier, lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +164,9 @@ def findings(docs: DataFrame, classifier: Classifier, min_similarity: float = MI
     """One row a finding: family, span ``[start, end)`` in the document's characters, probability, the most similar
     template of the family, how similar it is, and whether that confirms it.
 
-    Every row and every line is classified. Null and empty texts have no findings; repeated rows have the same ones each; a
-    null id is returned as null. Other columns are ignored.
+    Every row and every line is classified, whole. Null and empty texts have no findings; repeated rows have the same ones each;
+    a null id is returned as null. Ties: of families that are equally likely, and of templates equally similar, the first by
+    name counts. Other columns are ignored; an empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(classifier)
 

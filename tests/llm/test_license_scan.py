@@ -1,9 +1,12 @@
 """Licence scans: families found in held-out wordings, lookalikes left alone, spans, odd rows."""
 
+import math
+
 import pyarrow as pa
 import pytest
 
 from annolith.llm import license_scan as ls
+from annolith.llm.shared import hash_strings, mix64
 
 SCHEMA = "doc_id long, text string, family string"
 PROSE = [f"On day {i} the river rose again and people of the village moved to the hills with their animals." for i in range(60)]
@@ -68,3 +71,69 @@ def test_every_licence_line_of_the_corpus_is_found(spark, sf_dir):
                     want.add((r.doc_id, family))
     got = {(r.doc_id, r.family) for r in ls.findings(docs, ls.train(docs)).where("confirmed").collect()}
     assert got == want and want
+
+
+def brute_findings(c, text):
+    """Family, span, probability, template and confirmation of a text's findings: n-grams in nested loops, line by line."""
+    import numpy as np
+
+    weights = {int(k): c.model.weights[i].astype(float) for i, k in enumerate(c.model.keys)}
+
+    def gram_hashes(line):
+        words = [w.strip(".,;:!?()[]\"'`*#<>") for w in line.lower().split()]
+        hashes = [int(h) for h in hash_strings(pa.array(words, pa.string()))]
+        sets = [set(), set(), set()]
+        for i in range(len(words)):
+            h = hashes[i]
+            for n in range(3):
+                if i + n >= len(words):
+                    break
+                if n:
+                    h = int(mix64(np.array([(h * 0x9E3779B97F4A7C15 + hashes[i + n]) % 2**64], np.uint64))[0])
+                sets[n].add(h)
+        return sets
+
+    def like(family, part):
+        own, best = gram_hashes(part), (None, 0.0)
+        for name, n, theirs in c.templates[family]:
+            share = len(own[n] & theirs) / max(1, min(len(own[n]), len(theirs)))
+            if share > best[1]:
+                best = (name, share)
+        return best
+
+    out, at, run = [], 0, None
+    for line in [*text.split("\n"), None]:
+        kind = None
+        if line is not None:
+            known = [h for s in gram_hashes(line) for h in s if h in weights]
+            if known:
+                z = [(b + sum(weights[h][k] for h in known)) / c.model.temperature for k, b in enumerate(c.model.bias)]
+                e = [math.exp(x - max(z)) for x in z]
+                p = [x / sum(e) for x in e]
+                best = max(range(1, len(p)), key=lambda k: (p[k], -k))
+                if 1 - p[0] >= c.least and p[best] >= 0.5:
+                    kind = (c.model.classes[best], p[best])
+        if run and (kind is None or kind[0] != run[0]):
+            name, share = like(run[0], " ".join(run[4]))
+            out.append((run[0], run[1], run[2], round(run[3], 9), name, round(share, 9), share >= ls.MIN_SIMILARITY))
+            run = None
+        if kind:
+            run = (kind[0], run[1] if run else at, at + len(line), max(kind[1], run[3] if run else 0), [*(run[4] if run else []), line])
+        at += len(line or "") + 1
+    return out
+
+
+def test_findings_of_the_corpus_are_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    c = ls.train(docs)
+    got = {}
+    for r in ls.findings(docs, c).collect():
+        got.setdefault(r.doc_id, []).append((r.family, r.start, r.end, round(r.probability, 9), r.template, round(r.similarity, 9), r.confirmed))
+    want = {r.doc_id: f for r in docs.collect() if (f := brute_findings(c, r.text))}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and want
+
+
+def test_threshold_keeps_its_promise(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    strict, loose = ls.train(docs, false_share=0.0), ls.train(docs, false_share=0.2)
+    assert strict.least >= loose.least >= 0.5
