@@ -39,14 +39,30 @@ def brute_spans(rows, window):
     return sorted(((i, a, b) for i, (a, b) in out), key=str)
 
 
-def test_repeated_spans_are_brute_force(spark):
+@pytest.mark.parametrize("bucket_bytes", [sub.BUCKET_BYTES, 2, 100])
+def test_repeated_spans_are_brute_force(spark, bucket_bytes):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(rng.choice(list("abcd"), int(rng.integers(0, 60))))) for i in range(60)]
     rows += [(100, rows[0][1]), (101, "x y z " * 30), (None, rows[1][1])]
-    got = sorted(((r.doc_id, r.start_token, r.end_token) for r in sub.repeated_spans(frame(spark, rows), 6).collect()), key=str)
+    got = sorted(((r.doc_id, r.start_token, r.end_token) for r in sub.repeated_spans(frame(spark, rows), 6, bucket_bytes=bucket_bytes).collect()), key=str)
     assert got == brute_spans(rows, 6) and got
 
 
+def test_places_come_back():
+    rng = np.random.default_rng(2)
+    for n, most in ((0, 1), (1, 10), (1, 10**6), (50, 60), (50, 10**7), (5000, 10**5)):
+        x = np.sort(rng.choice(most, min(n, most), replace=False))
+        assert sub.unpack_places(sub.pack_places(x)).tolist() == x.tolist() and len(sub.pack_places(x)) <= 4 * len(x) + 2
+
+
+def test_windows_that_share_64_bits_only_are_not_the_same():
+    hashes, more = np.array([7, 7, 7, 3, 3], np.uint64), np.array([1, 2, 1, 5, 5], np.uint32)
+    order = sub.in_order(hashes, more)
+    same = sub.same_as_before(hashes, more, order)
+    repeated = set(order[1:][same].tolist()) | set(order[:-1][same].tolist())
+    assert repeated == {0, 2, 3, 4}
+
+
 def test_substring_odd_rows(spark):
     long = " ".join(map(str, range(120_000)))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, long), (5, long), (6, "q " * 51)]
