@@ -166,9 +166,10 @@ def score(docs: DataFrame, model: linear.Model, id_col: str = "doc_id", text_col
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, posterior array<double>")
 
 
-def fit(scored: DataFrame, model: linear.Model, targets: dict[str, float] = TARGETS, ridge: float = RIDGE, tolerance: float = TOLERANCE) -> Fit:
+def fit(scored: DataFrame, model: linear.Model, targets: dict[str, float] = TARGETS, ridge: float = RIDGE, tolerance: float = TOLERANCE, relative: bool = False) -> Fit:
     """Fit rates to ``targets`` (shares of all tokens, by class; they may add up to more or less than one; a class not named
-    is to have none). ``scored``: :func:`score`'s result, read once. Documents without tokens have no part in it; without any,
+    is to have none). ``relative``: targets are multiples of the tokens that a class is expected to have as it is, and the classes
+    not named share in proportion what is left of all tokens. ``scored``: :func:`score`'s result, read once. Documents without tokens have no part in it; without any,
     rates are 1 and residuals 0."""
     names = model.classes
     if unknown := set(targets) - set(names):
@@ -182,7 +183,14 @@ def fit(scored: DataFrame, model: linear.Model, targets: dict[str, float] = TARG
     keys, n = keys[order], n[order]
     if not len(keys):
         return Fit(model, keys, n, np.zeros(len(names)))
-    rate, residual = descend(units_of(keys, len(names)) / GRID, n, np.array([targets.get(k, 0.0) for k in names]), ridge, tolerance)
+    p = units_of(keys, len(names)) / GRID
+    goal = np.array([targets.get(k, 0.0) for k in names])
+    if relative:
+        there = n @ p / n.sum()
+        named = np.array([k in targets for k in names])
+        goal = np.where(named, goal * there, 0)
+        goal = np.where(named, goal, there * max(0.0, 1 - goal.sum()) / max(there[~named].sum(), 1e-12))
+    rate, residual = descend(p, n, goal, ridge, tolerance)
     return Fit(model, keys, rate, residual)
 
 
@@ -216,10 +224,11 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     return scored.select("doc_id", "n_tokens", "posterior", _draw("doc_id")).mapInArrow(run, ", ".join(f"{a} {b}" for a, b in zip(names, kinds)))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each row as often as :func:`rates` says (0 to several times), columns unchanged; texts aren't shuffled."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, relative: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with each row as often as :func:`rates` says (0 to several times), columns unchanged; texts aren't shuffled.
+    ``relative``: see :func:`fit`."""
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    found = docs.sparkSession.sparkContext.broadcast(fit(score(docs, model, id_col, text_col), model, targets))
+    found = docs.sparkSession.sparkContext.broadcast(fit(score(docs, model, id_col, text_col), model, targets, relative=relative))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from . import hmm_lm, knn_join, language_id, license_scan, mixing, quality_forest, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup
 
 
+#: The vocabulary of the queries; operators take its path as a parameter.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,7 +24,7 @@ def op1_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), exact_col="round_trip", keep_cols=["doc_id"])
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), PIECES, exact_col="round_trip", keep_cols=["doc_id"])
 
 
 def op3_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-The vocabulary comes from a SentencePiece model file, read on the driver; nothing is trained. The trie is a double
+The vocabulary comes from a SentencePiece model file, whose path is a parameter; it is read on the driver, and nothing is
+trained. The trie is a double
 array over UTF-8 bytes (``base``, ``check``), shipped to executors as a broadcast of numpy arrays.
 
 A slice of texts is cut into segments at the whitespace marker and at line ends. No piece goes across such a cut (this is
@@ -30,7 +31,6 @@ from pyspark.sql import types as T
 
 from .shared import slices, starts_of, texts
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 _SLICE = 4 << 20
@@ -281,10 +281,12 @@ def _list_of(ids: np.ndarray, counts: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
 
 
-def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col: str = "piece_ids", count_col: str = "n_pieces", exact_col: str | None = None, keep_cols: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "piece_ids", count_col: str = "n_pieces", exact_col: str | None = None, keep_cols: list[str] | None = None) -> DataFrame:
     """``docs`` (``keep_cols``, all by default) with the ids of each text's best pieces and their number.
 
-    A null text has null ids and 0 pieces, an empty one no ids. A name that ``docs`` has already among the kept columns is
+    A null text has null ids and 0 pieces, an empty one no ids. Repeated rows are encoded alike; of segmentations that tie, the
+    same one always counts (that whose last piece is the longest, and so on backwards). Texts of any length are encoded whole; an
+    empty table gives an empty result. A name that ``docs`` has already among the kept columns is
     replaced. ``exact_col``: also decode the ids and tell whether the very text comes back (null for a null text).
     """
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(model))
@@ -307,7 +309,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, out)
 
 
-def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, model: str, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of each row's ids; null ids give null. An id outside the vocabulary is an error."""
     pieces = encoded.sparkSession.sparkContext.broadcast(read_pieces(model))
     kept = [c for c in encoded.columns if c != text_col]

@@ -58,6 +58,20 @@ def test_targets_that_cannot_be_met_show_as_residual():
     assert residual == pytest.approx((n * rate) @ p / n.sum() - [1, 0, 0]) and np.abs(residual).max() > 0.05
 
 
+def test_relative_targets_are_multiples_of_what_is_there(spark):
+    docs, labels, rows = corpus(spark)
+    model = mixing.train(docs, labels)
+    scored = written(mixing.score(docs, model), "test")
+    fit = mixing.fit(scored, model, {"toxic": 0.5}, relative=True)
+    got = scored.collect()
+    p, n = np.array([r.posterior for r in got]), np.array([r.n_tokens for r in got], float)
+    there, now = n @ p / n.sum(), (n * fit.rates(p)) @ p / n.sum()
+    assert now[2] == pytest.approx(there[2] / 2, abs=0.002) and now.sum() == pytest.approx(1, abs=0.002)
+    assert now[1] / there[1] == pytest.approx(now[0] / there[0], abs=0.01)
+    kept = {r.doc_id for r in mixing.mix(docs, labels, {"toxic": 0.5}, relative=True).collect()}
+    assert all(r[0] in kept for r in rows if kind_of(r[1]) == 0)
+
+
 def dense(p, n, goal, ridge, steps=200_000):
     """Projected gradient with one rate a document, without acceleration."""
     total = n.sum()

@@ -18,7 +18,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from annolith.llm import language_id, quality_forest, secret_scan
+from annolith.llm import language_id, quality_forest, queries, secret_scan
 from annolith.llm import sentencepiece_codec as sp
 
 SCHEMA = "doc_id long, text string, piece_ids int, score double"
@@ -73,17 +73,17 @@ def test_viterbi_is_the_best_segmentation():
         assert sp.decode_ids(p, ids, counts).to_pylist() == [text]
 
 
-@pytest.mark.skipif(not os.path.exists(sp.MODEL), reason="no vocabulary here")
+@pytest.mark.skipif(not os.path.exists(queries.PIECES), reason="no vocabulary here")
 def test_round_trip_and_odd_rows(spark):
     texts = [None, "", " ", "  two  spaces ", "línea\n\nñ 漢字 🍕 ▁ x", "same", "same", "long " * 60_000]
     docs = frame(spark, list(enumerate(texts))).union(frame(spark, [(None, "no id")]))
-    enc = sp.encode(docs, exact_col="exact")
-    got = sp.decode(enc).collect()
+    enc = sp.encode(docs, queries.PIECES, exact_col="exact")
+    got = sp.decode(enc, queries.PIECES).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == 9 and [by[i].decoded for i in range(8)] == texts
     assert by[0].piece_ids is None and by[0].n_pieces == 0 and by[0].exact is None and by[1].piece_ids == []
     assert all(r.exact for r in got if r.doc_id != 0)
-    assert sp.encode(docs.limit(0)).count() == 0
+    assert sp.encode(docs.limit(0), queries.PIECES).count() == 0
 
 
 def test_identify_is_brute_force_and_holds_on_rows_it_has_not_seen(spark, sf_dir):
