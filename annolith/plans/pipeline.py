@@ -144,8 +144,8 @@ def run_config(spark: SparkSession, config: dict[str, Any] | str, input_path: st
 
 def distance_frame(spark: SparkSession, graph: ontology.Graph, max_distance: float) -> DataFrame:
     """All distances of a small graph, itself at 0, as ``src``, ``dst``, ``distance``."""
-    rows = [(a, b, d) for a in graph.nodes for b, d in graph.distances_from(a, max_distance).items()]
-    return spark.createDataFrame(rows, "src string, dst string, distance int")
+    rows = [(a, b, float(d)) for a in graph.nodes for b, d in graph.distances_from(a, max_distance).items()]
+    return spark.createDataFrame(rows, "src string, dst string, distance double")
 
 
 def expansion_distances(spark: SparkSession, triples: list[ontology.Triple], max_distance: int = 2, direction: str = "outgoing") -> DataFrame:

@@ -20,7 +20,6 @@ from .operators import annotators as A
 from .operators import metrics as M
 from .operators import ontology as O
 from .operators import resolve as R
-from .plans.render import fragments
 from .sources.writers import annotation_json, annotations_export, document_json
 
 BASE = "http://example.org/words#"
@@ -222,10 +221,6 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(line.alias("v")).select(F.get_json_object("v", "$.metadata.doc_id").cast("bigint").alias("doc_id"), F.get_json_object("v", "$.text").alias("text"), F.size(F.from_json(F.get_json_object("v", "$.annotations"), "array<struct<start:int>>")).cast("bigint").alias("annotations"))
 
 
-def html_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fragments(annotated(spark, sf_dir))
-
-
 def grammar_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times and quantities in all documents (the grammar has no SQL)."""
     docs = corpus(spark, sf_dir)
@@ -278,7 +273,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compact_profile": compact_profile,
     "annotations_export": annotations_exported,
     "jsonl_roundtrip": jsonl_roundtrip,
-    "html_fragments": html_fragments,
     "grammar_spans": grammar_spans,
 }
 

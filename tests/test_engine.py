@@ -9,7 +9,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from annolith.functions import grammar
+from annolith.functions import grammar, matching
 from annolith.functions import spans as S
 from annolith.model import ANNOTATIONS, documents, flatten, nest
 from annolith.operators import annotators as A
@@ -143,6 +143,43 @@ def test_ontology_index_graph_and_annotator(spark, owl):
         O.adjacency(7)
 
 
+def test_graphs_hold_what_is_configured(spark, owl):
+    triples = readers.read_rdf(owl)
+    assert O.build_graph(triples).edges == {} and O.build_graph(triples, {"ontology": {"relations": []}}).nodes == {}
+    half = O.build_graph(triples, {"relations": [{"property": "rdfs:subClassOf", "distance": 0.5}]})
+    assert half.distances_from(URI + "Cat", 1) == {URI + "Cat": 0, URI + "Animal": 0.5}
+    assert {(r.src, r.dst): r.distance for r in O.distances(half.frame(spark), 1).collect()} == {(URI + "Cat", URI + "Animal"): 0.5, (URI + "Fish", URI + "Animal"): 0.5}
+    literal = O.build_graph(triples, {"relations": [{"property": "regex"}]})
+    assert (URI + "Cat", "cats?|felines?") in literal.edges
+    assert [O.short_name(x) for x in ("a#b", "http://x/y", "http://x/y/", "concept_uri:z", "plain")] == ["b", "y", "y", "z", "plain"]
+
+
+def test_documents_are_told_apart_whatever_their_ids(spark):
+    rows = [(None, "a dog"), (None, "a cat and a dog"), (1, "a cat"), (1, "nothing")]
+    docs = documents(spark.createDataFrame(rows, "id long, text string"), "text", "id")
+    docs = A.PatternAnnotator(A.pattern_rules({"patterns": [{"label": x, "pattern": x, "layer": "ontology"} for x in ("dog", "cat")]})).annotate(docs)
+    totals = M.summary_totals(docs).first()
+    assert (totals.documents, totals.documents_with_annotations, totals.annotations) == (4, 3, 4)
+    assert {(r.label, r.tf, r.df) for r in M.salience_scores(docs, flatten(docs)).collect()} == {("dog", 2, 2), ("cat", 2, 2)}
+    assert {(r.label, r.tf, r.df) for r in M.tfidf(docs).collect()} == {("dog", 1, 2), ("cat", 1, 2)}
+    back = nest(docs, M.with_scores_in_metadata(M.tfidf(docs))).collect()
+    assert sorted((r.text, [a.text for a in r.annotations]) for r in back) == [("a cat", ["cat"]), ("a cat and a dog", ["cat", "dog"]), ("a dog", ["dog"]), ("nothing", [])]
+    assert back[0].__fields__ == docs.columns
+
+
+def test_phrases_of_all_rules_are_found_as_each_by_itself(spark):
+    rng = random.Random(8)
+    phrases = ["aa", "a a", "A", "ß", "kelvin", "sis", "istanbul", "σας", "a-b", "b", "ab a"]
+    alphabet = ["a", "A", "b", "-", " ", " ", "ß", "K", "elvin", "k", "ſi", "sis", "İstanbul", "istanbul", "ΣΑΣ", "σας", "_", "1", "\n"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    for ignore in (True, False):
+        for edges in (True, False):
+            m = matching.Matcher([matching.Term(p, ignore_case=ignore, bounded=edges) for p in phrases])
+            for t in texts:
+                want = [[x.span() for x in re.finditer(rf"(?<!\w){re.escape(p)}(?!\w)" if edges else re.escape(p), t, re.I if ignore else 0)] for p in phrases]
+                assert m.spans(t) == want, (t, ignore, edges)
+
+
 def test_grammar():
     ref = grammar.reference_time(REF, "Europe/Madrid")
     assert ref == datetime(2026, 7, 1, 12, tzinfo=ZoneInfo("Europe/Madrid"))
@@ -247,8 +284,9 @@ def test_profiles_and_writers(spark, tmp_path):
 
 def test_run_from_configuration_render_and_command_line(spark, owl, tmp_path, capsys):
     (tmp_path / "r.yml").write_text("patterns:\n  - {label: BIG, pattern: big}\n")
+    (tmp_path / "o.yml").write_text("ontology:\n  relations:\n    - {property: 'rdf:type', direction: instance_to_class}\n    - {property: 'rdfs:subClassOf'}\n")
     (tmp_path / "d.csv").write_text("text\nYesterday the big cat ate 3 fish\nA cat & a cat\n")
-    config = {"ontology": {"path": owl, "match": {"name": True}}, "annotators": ["ontology", {"name": "temporal", "language": "en", "ref_time": REF}, {"name": "quantity", "language": "en", "ref_time": REF}, {"name": "pattern", "source": "r.yml", "color": "#123456"}], "resolver": {"enabled": True}, "metrics": {"tfidf": {"enabled": True}, "extended_tfidf": {"enabled": True, "decay": {"value": 0.5}}}}
+    config = {"ontology": {"path": owl, "match": {"name": True}, "relations": [{"property": "rdfs:subClassOf"}, {"property": "rdf:type", "direction": "instance_to_class"}]}, "annotators": ["ontology", {"name": "temporal", "language": "en", "ref_time": REF}, {"name": "quantity", "language": "en", "ref_time": REF}, {"name": "pattern", "source": "r.yml", "color": "#123456"}], "resolver": {"enabled": True}, "metrics": {"tfidf": {"enabled": True}, "extended_tfidf": {"enabled": True, "decay": {"value": 0.5}}}}
     got = run_config(spark, config, str(tmp_path / "d.csv"), base=str(tmp_path))
     flat = flatten(got.documents).orderBy("doc_id", "ord").collect()
     assert [(r.text, r.label) for r in flat] == [("Yesterday", "DATE"), ("big", "BIG"), ("cat", "Cat"), ("3", "NUMBER"), ("fish", "Fish"), ("cat", "Cat"), ("cat", "Cat")]
@@ -262,7 +300,7 @@ def test_run_from_configuration_render_and_command_line(spark, owl, tmp_path, ca
     assert AnnotationPipeline(build_annotators([{"name": "temporal", "language": "en"}])).run_text(spark, "tomorrow").first().annotations[0].label == "DATE"
     writers.write_corpus(got.documents, str(tmp_path / "out.json"), None, "full")
     out = str(tmp_path / "out.json")
-    for args in (["metrics", "summary", "--input", out], ["metrics", "salience", "--input", out], ["metrics", "salience", "--input", out, "--method", "tfidf-e", "--ontology", owl, "--json"], ["ontology", "info", "--ontology", owl], ["ontology", "concepts", "--ontology", owl], ["ontology", "distances", "--ontology", owl, "--concept", "Tom"], ["ontology", "relations", "--ontology", owl], ["render", "html", "--input", out], ["preprocess", "hashes", "--input", str(tmp_path / "d.csv"), "--limit", "1"]):
+    for args in (["metrics", "summary", "--input", out], ["metrics", "salience", "--input", out], ["metrics", "salience", "--input", out, "--method", "tfidf-e", "--ontology", owl, "--json"], ["ontology", "info", "--ontology", owl], ["ontology", "concepts", "--ontology", owl], ["ontology", "distances", "--ontology", owl, "--config", str(tmp_path / "o.yml"), "--concept", "Tom"], ["ontology", "relations", "--ontology", owl], ["render", "html", "--input", out], ["preprocess", "hashes", "--input", str(tmp_path / "d.csv"), "--limit", "1"]):
         cli.main(args, spark)
         assert capsys.readouterr().out.strip()
     with pytest.raises(ValueError):

@@ -5,7 +5,10 @@ from collections import Counter
 
 import pytest
 
-from annolith import queries
+from annolith import more_queries, queries
+
+QUERIES = queries.QUERIES | more_queries.QUERIES
+ORACLES = queries.ORACLES | more_queries.ORACLES
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -15,15 +18,15 @@ def rows_of(columns, rows):
     return Counter(tuple(r[i] for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, name):
-    df = queries.QUERIES[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     got = df.collect()
-    if name in queries.ORACLES:
+    if name in ORACLES:
         con = duckdb.connect()
         for t in os.listdir(sf_dir):
             con.sql(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{sf_dir}/{t}'")
-        want = con.sql(queries.ORACLES[name])
+        want = con.sql(ORACLES[name])
         assert sorted(df.columns) == sorted(want.columns)
         assert rows_of(df.columns, got) == rows_of(want.columns, want.fetchall())
 
