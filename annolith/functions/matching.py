@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import ANNOTATIONS
 from .spans import SPAN, _cases, bounded
@@ -301,3 +302,38 @@ def chosen(annotations: Column, choice: Choice) -> Column:
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([*none, False])) if any(none) else pa.array(offsets, pa.int32()), every.take(pa.array(take, pa.int64())))
 
     return run.asNondeterministic()(annotations)
+
+
+_PLACES = T.ArrayType(T.IntegerType())
+
+
+def holders(start: list[int], end: list[int], outer: list[tuple[int, int]], exact: bool) -> list[int | None]:
+    """For each span the first of ``outer`` that is the same, or that holds it."""
+    if exact:
+        first: dict[tuple[int, int], int] = {}
+        for i, x in enumerate(outer):
+            first.setdefault(x, i)
+        return [first.get(x) for x in zip(start, end)]
+    if all(a[1] <= b[0] and a[0] <= a[1] for a, b in zip(outer, outer[1:])):  # apart and in order, as sentences are
+        begins = [x[0] for x in outer]
+        out: list[int | None] = []
+        for s, e in zip(start, end):
+            at = bisect_right(begins, s) - 1
+            while at > 0 and outer[at - 1][1] >= e and outer[at - 1][0] <= s:
+                at -= 1
+            out.append(at if at >= 0 and outer[at][0] <= s and e <= outer[at][1] else None)
+        return out
+    return [next((i for i, (b, f) in enumerate(outer) if b <= s and e <= f), None) for s, e in zip(start, end)]
+
+
+def places(inner: Column, outer: Column, exact: bool) -> Column:
+    """For each span of ``inner`` the place in ``outer`` (both arrays of structs with start and end) of :func:`holders`."""
+
+    @F.arrow_udf(_PLACES)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.flatten()))
+            yield pa.array([None if a is None else holders(a, b, [(-1, -1) if None in x else x for x in zip(c or [], d or [])], exact) for a, b, c, d in rows], pa.list_(pa.int32()))
+
+    fields = [x[f].alias(f"{n}{f}") for n, x in (("inner_", inner), ("outer_", outer)) for f in ("start", "end")]
+    return run.asNondeterministic()(F.struct(*fields))

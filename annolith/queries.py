@@ -152,7 +152,8 @@ def _extended_salience(direction: str) -> Callable[[SparkSession, str], DataFram
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         near = O.distances(edges(spark).drop("weight"), 2, direction)
         got = M.extended_salience(*_flat(spark, sf_dir), near, 50, "function", 2, 0.5)
-        return _rounded(got.drop("expanded_from", "label", "layer", "canonical"), "idf", "observed_score", "expanded_score", "score")
+        sources = F.array_join(F.transform("expanded_from", lambda x: F.concat(x["source"], F.lit("@"), x["distance"].cast("string"))), " ")
+        return _rounded(got.withColumn("sources", sources).drop("expanded_from"), "idf", "observed_score", "expanded_score", "score")
 
     return query
 
@@ -186,16 +187,21 @@ def quantity_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     upos = lambda t: F.when(F.lower(t).isin("the", "der", "la"), "DET").otherwise("X")
-    tokens = F.transform(Mt.spans(F.col("text"), r"[A-Za-z]+", False), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), upos(S.surface(F.col("text"), s["start"], s["end"])).alias("upos")))
+    words = Mt.annotations(F.col("text"), [Mt.Term(r"[A-Za-z]+", phrase=False, ignore_case=False, bounded=False)])
+    tokens = F.transform(words, lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), upos(a["text"]).alias("upos")))
     docs = annotated(spark, sf_dir).withColumn("tokens", tokens)
-    with_token = F.transform("annotations", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), a["label"].alias("label"), A.token_at(F.col("tokens"), a["start"], a["end"])["upos"].alias("upos")))
+    docs = docs.withColumn("p", Mt.places(F.col("annotations"), F.col("tokens"), True))
+    zipped = F.arrays_zip(F.col("annotations").alias("a"), F.col("p").alias("p"))
+    with_token = F.transform(zipped, lambda x: F.struct(x["a"]["start"].alias("start"), x["a"]["end"].alias("end"), x["a"]["label"].alias("label"), F.col("tokens")[x["p"]]["upos"].alias("upos")))
     return docs.select("doc_id", F.inline(with_token))
 
 
 def entity_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = Mt.spans(F.col("text"), r"[^.\n]+", False)
     docs = annotated(spark, sf_dir).withColumn("entities", lines)
-    around = F.transform("annotations", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), A.entity_around(F.col("entities"), a["start"], a["end"]).alias("e")))
+    docs = docs.withColumn("p", Mt.places(F.col("annotations"), F.col("entities"), False))
+    zipped = F.arrays_zip(F.col("annotations").alias("a"), F.col("p").alias("p"))
+    around = F.transform(zipped, lambda x: F.struct(x["a"]["start"].alias("start"), x["a"]["end"].alias("end"), F.col("entities")[x["p"]].alias("e")))
     return docs.select("doc_id", F.inline(around)).select("doc_id", "start", "end", F.col("e.start").alias("entity_start"), F.col("e.end").alias("entity_end"))
 
 
@@ -364,16 +370,16 @@ SELECT doc_id, dst AS concept, round({agg}(score * {weight}), 6) AS score FROM o
 def _ext_salience_ctes(direction: str) -> str:
     return f"""{_words()}, {_dist(2, False, direction)},
 own AS (SELECT * FROM ann WHERE layer = 'function' AND concept_uri IS NOT NULL),
-seen AS (SELECT concept_uri, count(*) AS tf, count(DISTINCT doc_id) AS df FROM own GROUP BY 1),
+seen AS (SELECT concept_uri, min(label) AS label, count(*) AS tf, count(DISTINCT doc_id) AS df FROM own GROUP BY 1),
 shown AS (SELECT concept_uri, text AS display, row_number() OVER (PARTITION BY concept_uri ORDER BY count(*) DESC, min((doc_id, ord))) AS n FROM own GROUP BY 1, 2),
-obs AS (SELECT concept_uri, display, tf, df, {_IDF} AS idf, tf * ({_IDF}) AS observed_score FROM seen JOIN shown USING (concept_uri) WHERE n = 1),
+obs AS (SELECT concept_uri, label, display, tf, df, {_IDF} AS idf, tf * ({_IDF}) AS observed_score FROM seen JOIN shown USING (concept_uri) WHERE n = 1),
 passed AS (SELECT d.src, d.dst, d.distance, o.observed_score * power(0.5, d.distance) AS contribution FROM dist d JOIN obs o ON o.concept_uri = d.src WHERE d.distance > 0)"""
 
 
 def _ext_salience_sql(direction: str) -> str:
     return f"""{_ext_salience_ctes(direction)},
-grown AS (SELECT dst AS concept_uri, sum(contribution) AS expanded_score FROM passed GROUP BY 1)
-SELECT concept_uri, coalesce(display, '') AS display, coalesce(tf, 0) AS tf, coalesce(df, 0) AS df, round(coalesce(idf, 0), 9) AS idf, round(coalesce(observed_score, 0), 9) AS observed_score, round(coalesce(expanded_score, 0), 9) AS expanded_score, round(coalesce(observed_score, 0) + coalesce(expanded_score, 0), 9) AS score
+grown AS (SELECT dst AS concept_uri, sum(contribution) AS expanded_score, string_agg(src || '@' || distance, ' ' ORDER BY distance, -contribution, src) AS sources FROM passed GROUP BY 1)
+SELECT 'concept_uri:' || concept_uri AS canonical, concept_uri, 'function' AS layer, coalesce(label, '') AS label, coalesce(sources, '') AS sources, coalesce(display, '') AS display, coalesce(tf, 0) AS tf, coalesce(df, 0) AS df, round(coalesce(idf, 0), 9) AS idf, round(coalesce(observed_score, 0), 9) AS observed_score, round(coalesce(expanded_score, 0), 9) AS expanded_score, round(coalesce(observed_score, 0) + coalesce(expanded_score, 0), 9) AS score
 FROM obs FULL JOIN grown USING (concept_uri)"""
 
 

@@ -180,6 +180,19 @@ def test_phrases_of_all_rules_are_found_as_each_by_itself(spark):
                 assert m.spans(t) == want, (t, ignore, edges)
 
 
+def test_holders_are_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = [(s, s + rng.randint(0, 4)) for s in (rng.randint(0, 20) for _ in range(rng.randint(0, 8)))]
+        outer = [(s, s + rng.randint(0, 9)) for s in (rng.randint(0, 20) for _ in range(rng.randint(0, 6)))]
+        if rng.random() < 0.5:
+            cuts = sorted(rng.randint(0, 25) for _ in range(rng.randint(0, 7)))
+            outer = list(zip(cuts, cuts[1:]))
+        start, end = [s for s, _ in spans], [e for _, e in spans]
+        assert matching.holders(start, end, outer, True) == [next((i for i, x in enumerate(outer) if x == s), None) for s in spans]
+        assert matching.holders(start, end, outer, False) == [next((i for i, x in enumerate(outer) if x[0] <= s[0] and s[1] <= x[1]), None) for s in spans]
+
+
 def test_grammar():
     ref = grammar.reference_time(REF, "Europe/Madrid")
     assert ref == datetime(2026, 7, 1, 12, tzinfo=ZoneInfo("Europe/Madrid"))
