@@ -55,8 +55,16 @@ _AGO = {"es": "hace", "en": None}
 
 
 def language_of(language: str) -> str:
+    """The grammar's language, without a region; one that there is no grammar for is an error."""
     short = language.lower().split("-")[0]
-    return short if short in _DAYS else "en"
+    if short not in _DAYS:
+        raise ValueError(f"No grammar for the language {language!r}; there are {', '.join(sorted(_DAYS))}")
+    return short
+
+
+def locale_of(language: str) -> str:
+    """The locale that results name for a language."""
+    return {"es": "ES_ES", "en": "EN_US"}.get(language, language.upper())
 
 
 def _alternatives(words) -> str:

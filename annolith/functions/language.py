@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from pathlib import Path
+from typing import Any
 
 
 @dataclass(frozen=True)
@@ -56,3 +58,11 @@ def temporal_rules(language: str) -> TemporalRules:
 
 def quantity_rules(language: str) -> QuantityRules:
     return _QUANTITY.get(_short(language), QuantityRules())
+
+
+def language_resource(folder: str, language: str, name: str) -> dict[str, Any]:
+    """What ``<folder>/<language>/<name>.yml`` says, the language without a region; empty if there is no such file."""
+    import yaml
+
+    path = Path(folder) / _short(language) / f"{name}.yml"
+    return (yaml.safe_load(path.read_text(encoding="utf-8")) or {}) if path.is_file() else {}

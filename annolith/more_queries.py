@@ -185,6 +185,61 @@ def quantity_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("doc_id", "start", "end", "text", "label", "subtype", about("normalized").cast("double").alias("normalized"), about("multiplier").alias("multiplier"), S.canonical(F.col("text"), F.col("metadata")).startswith("normalized:").alias("by_value"))
 
 
+_REF = "2026-07-01T12:00:00"
+
+
+def temporal_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates and a relative day in made-up Spanish phrases: spans, labels, grain and the day itself."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    docs = documents(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("pedido "), day, F.lit(" visto ayer")).alias("text")), "text", "id")
+    flat = flatten(A.TemporalAnnotator(language="es", dimensions=["time"], ref_time=_REF).annotate(docs))
+    about = lambda k: S.meta(F.col("metadata"), k)
+    return flat.select("doc_id", "start", "end", "text", "label", "layer", about("grain").alias("grain"), F.substring(about("normalized"), 1, 10).alias("day"), about("locale").alias("locale"))
+
+
+_UNITS = [("euros", "MONEY", "EUR"), ("kilómetros", "DISTANCE", "kilometre"), ("litros", "VOLUME", "litre"), ("grados", "TEMPERATURE", "degree")]
+
+
+def quantity_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts with units in made-up Spanish phrases, and the key that counts them by value and unit."""
+    n = F.col("o_orderkey") % 997 + 2
+    unit = F.element_at(F.array(*[F.lit(u) for u, _, _ in _UNITS]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    docs = documents(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("hay "), n.cast("string"), F.lit(" "), unit).alias("text")), "text", "id")
+    flat = flatten(A.QuantityAnnotator(language="es", dimensions=["amount-of-money", "distance", "volume", "temperature"], ref_time=_REF).annotate(docs))
+    about = lambda k: S.meta(F.col("metadata"), k)
+    return flat.select("doc_id", "start", "end", "text", "label", about("normalized").cast("double").alias("normalized"), about("unit").alias("unit"), S.canonical(F.col("text"), F.col("metadata")).alias("canonical"))
+
+
+def filtered_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months that are persons' names and numbers that are determiners, by what entities and tokens say."""
+    key = F.col("o_orderkey")
+    docs = documents(table(spark, sf_dir, "orders").select(key.alias("id"), F.when(key % 2 == 0, "en julio").otherwise("una cosa").alias("text")), "text", "id")
+    entity = F.struct(F.lit("julio").alias("text"), F.lit(3).alias("start"), F.lit(8).alias("end"), F.when(F.col("doc_id") % 4 == 0, "PER").otherwise("LOC").alias("type"))
+    token = F.struct(F.lit("una").alias("text"), F.lit(0).alias("start"), F.lit(3).alias("end"), *[F.lit("x").alias(c) for c in ("lemma",)], F.when(F.col("doc_id") % 3 == 0, "DET").otherwise("PRON").alias("upos"), *[F.lit(None).cast("string").alias(c) for c in ("xpos", "feats", "deprel", "head")])
+    docs = docs.withColumn("entities", F.array(entity)).withColumn("tokens", F.array(token))
+    docs = A.TemporalAnnotator(language="es", dimensions=["time"], ref_time=_REF).annotate(docs)
+    docs = A.QuantityAnnotator(language="es", dimensions=["number"], ref_time=_REF).annotate(docs)
+    return flatten(docs).select("doc_id", "start", "end", "text", "layer", F.get_json_object("metadata", "$.stanza.upos").alias("upos"))
+
+
+def entities_and_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities and links that a model and a service found before, from columns; ones without a place are left out."""
+    key = F.col("c_custkey")
+    docs = documents(table(spark, sf_dir, "customer").select(key.alias("id"), F.concat(F.lit("de "), "c_name").alias("text"), "c_name"), "text", "id")
+    entity = F.struct(F.col("c_name").alias("text"), F.when(F.col("doc_id") % 3 != 0, 3).alias("start"), (F.length("c_name") + 3).alias("end"), F.lit("ORG").alias("type"))
+    link = F.to_json(F.struct(F.array(F.struct(F.lit("http://x/y").alias("@URI"), F.when(F.col("doc_id") % 2 == 0, "3").otherwise("-1").alias("@offset"), F.col("c_name").alias("@surfaceForm"), F.lit("T").alias("@types"))).alias("Resources")))
+    docs = docs.withColumn("entities", F.array(entity)).withColumn("link_response", link)
+    docs = A.LinkAnnotator().annotate(A.EntityAnnotator().annotate(docs))
+    return flatten(docs).select("doc_id", "start", "end", "text", "label", "layer", "source", "type", S.meta(F.col("metadata"), "uri").alias("uri"))
+
+
+def distance_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distances of :func:`table_distances` as a map for each node, its entries in order."""
+    got = O.distance_maps(table_distances(spark, sf_dir))
+    entries = F.array_sort(F.map_entries("distances"))
+    return got.select("src", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ").alias("reached"))
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -207,7 +262,7 @@ def stream_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (csv_input, jsonl_input, text_input, corpus_file_roundtrip, cached_hashes, html_fragments, concept_index, graph_edges, graph_distances, expansion_edges, table_distances, configured_run, summary_repeated_ids, salience_null_ids, nest_repeated_ids, temporal_surfaces_by_grain, quantity_products, stream_label_counts)
+    for f in (csv_input, jsonl_input, text_input, corpus_file_roundtrip, cached_hashes, html_fragments, concept_index, graph_edges, graph_distances, expansion_edges, table_distances, configured_run, summary_repeated_ids, salience_null_ids, nest_repeated_ids, temporal_surfaces_by_grain, quantity_products, temporal_dates, quantity_units, filtered_by_model, entities_and_links, distance_maps, stream_label_counts)
 } | {"documents_export": documents_exported, "tfidf_null_ids": _tfidf_ids(True), "tfidf_repeated_ids": _tfidf_ids(False)}
 
 
@@ -220,7 +275,10 @@ _IN = Q._IN
 _TFIDF_COUNTS = f"{_W}, {Q._TFIDF} SELECT label, tf, df, round(tf * idf, 9) AS score, sum(tf)::BIGINT AS n FROM sc GROUP BY label, tf, df, idf"
 _GEO_EDGES = f"geo(src, dst, weight) AS (SELECT '{_G}N' || n_nationkey, '{_G}R' || n_regionkey, 2.0::DOUBLE FROM nation UNION ALL SELECT '{_G}N' || n_nationkey, '{_G}Country', 0.5::DOUBLE FROM nation)"
 
+_TABLE_DISTANCES = "WITH e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 1 AS w FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 2 FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 2 FROM nation), dist AS (SELECT src, dst, w AS distance FROM e UNION ALL SELECT a.src, b.dst, a.w + b.w FROM e a JOIN e b ON a.dst = b.src WHERE a.w + b.w <= 3)"
+
 ORACLES: dict[str, str] = {
+    "distance_maps": f"{_TABLE_DISTANCES} SELECT src, string_agg(dst || '=' || distance, ' ' ORDER BY dst) AS reached FROM dist GROUP BY src",
     "csv_input": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS doc_id, n_name AS text FROM nation",
     "jsonl_input": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents",
     "text_input": "SELECT NULL::VARCHAR AS doc_id, string_agg(r_name, chr(10) ORDER BY r_regionkey) AS text FROM region",
@@ -237,7 +295,7 @@ UNION ALL SELECT '{_G}N' || n_nationkey, 'N' || n_nationkey, n_name, lower(n_nam
     "graph_edges": f"WITH {_GEO_EDGES} SELECT src, dst, weight, CASE weight WHEN 2 THEN 'rdfs:subClassOf' ELSE 'rdf:type' END AS property, CASE weight WHEN 2 THEN 'child_to_parent' ELSE 'instance_to_class' END AS direction FROM geo",
     "graph_distances": f"WITH {_GEO_EDGES} SELECT src, dst, weight AS distance FROM geo UNION ALL SELECT x, x, 0.0::DOUBLE FROM (SELECT src AS x FROM geo UNION SELECT dst FROM geo)",
     "expansion_edges": f"SELECT '{_G}N' || n_nationkey AS src, '{_G}R' || n_regionkey AS dst FROM nation UNION ALL SELECT '{_G}N' || n_nationkey, '{_G}Country' FROM nation",
-    "table_distances": "WITH e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 1 AS w FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 2 FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 2 FROM nation) SELECT src, dst, w AS distance FROM e UNION ALL SELECT a.src, b.dst, a.w + b.w FROM e a JOIN e b ON a.dst = b.src WHERE a.w + b.w <= 3",
+    "table_distances": f"{_TABLE_DISTANCES} SELECT * FROM dist",
     "configured_run": f"""{_W}, {Q._greedy(Q._LEN, order="ord")}, fin AS (SELECT * FROM kept),
 per AS (SELECT doc_id, label, count(*) AS tf FROM fin WHERE layer = 'function' GROUP BY ALL), dfs AS (SELECT label, count(*) AS df FROM per GROUP BY label),
 sc AS (SELECT doc_id, label, tf, CASE WHEN df > 1 THEN ln((SELECT count(*) FROM documents) / df) ELSE 1.0 END AS idf FROM per JOIN dfs USING (label))
@@ -254,5 +312,14 @@ l AS (SELECT *, lower(trimmed) AS low, string_split_regex(lower(trimmed), '\\s+'
 SELECT surface, grain, dim, trimmed IN ({_IN(_ES.exact)}) OR low = '' OR low IN ({_IN(_ES.single)}) OR (low IN ({_IN(_ES.years)}) AND grain = 'year') OR (len(p) = 2 AND p[1] IN ({_IN(_ES.starts)}) AND p[2] IN ({_IN(_ES.single)})) OR (len(p) = 2 AND p[1] IN ({_IN(_ES.hour_starts)}) AND p[2] IN ({_IN(_ES.hours)})) OR (grain = 'minute' AND ({" OR ".join(f"starts_with(low, {Q._text(x)})" for x in _ES.prefixes["minute"])})) OR (dim = 'duration' AND regexp_full_match(low, '[0-9]+')) AS bad FROM l""",
     "quantity_products": """WITH q AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS n, CASE o_orderkey % 3 WHEN 0 THEN 'mil' WHEN 1 THEN 'millones' END AS m FROM orders)
 SELECT k AS doc_id, 4 AS "start", 4 + length(n) + coalesce(1 + length(m), 0) AS "end", n || coalesce(' ' || m, '') AS text, CASE WHEN m IS NULL THEN 'NUMBER' ELSE 'QUANTITY' END AS label, CASE WHEN m IS NULL THEN 'number' ELSE 'multiplier' END AS subtype, nullif(k * CASE m WHEN 'mil' THEN 1000.0 WHEN 'millones' THEN 1000000.0 ELSE 1.0 END::DOUBLE, 0) AS normalized, m AS multiplier, k <> 0 AS by_value FROM q""",
+    "temporal_dates": """WITH o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)
+SELECT k AS doc_id, 7 AS "start", 17 AS "end", d AS text, 'DATE' AS label, 'temporal' AS layer, 'day' AS grain, d AS day, 'ES_ES' AS locale FROM o
+UNION ALL SELECT k, 24, 28, 'ayer', 'DATE', 'temporal', 'day', '2026-06-30', 'ES_ES' FROM o""",
+    "quantity_units": "WITH u(i, u, label, unit) AS (VALUES " + ", ".join(f"({i}, '{u}', '{a}', '{b}')" for i, (u, a, b) in enumerate(_UNITS)) + """), o AS (SELECT o_orderkey AS k, CAST(o_orderkey % 997 + 2 AS VARCHAR) AS n, u.* FROM orders JOIN u ON u.i = o_orderkey % 4)
+SELECT k AS doc_id, 4 AS "start", CAST(5 + length(n) + length(u) AS INTEGER) AS "end", n || ' ' || u AS text, label, CAST(n AS DOUBLE) AS normalized, unit, 'normalized:' || n || '|unit:' || unit AS canonical FROM o""",
+    "filtered_by_model": """SELECT o_orderkey AS doc_id, 3 AS "start", 8 AS "end", 'julio' AS text, 'temporal' AS layer, NULL::VARCHAR AS upos FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0
+UNION ALL SELECT o_orderkey, 0, 3, 'una', 'cantidades', 'PRON' FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 <> 0""",
+    "entities_and_links": """SELECT c_custkey AS doc_id, 3 AS "start", CAST(3 + length(c_name) AS INTEGER) AS "end", c_name AS text, 'ORG' AS label, 'ner' AS layer, 'stanza' AS source, 'ner' AS type, NULL::VARCHAR AS uri FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, 3, CAST(3 + length(c_name) AS INTEGER), c_name, 'T', 'dbpedia', 'dbpedia-spotlight', 'entity-linking', 'http://x/y' FROM customer WHERE c_custkey % 2 = 0""",
     "stream_label_counts": "SELECT date_trunc('hour', ts) AS hour, CASE event_type WHEN 'purchase' THEN 'money' ELSE 'web' END AS layer, CASE event_type WHEN 'purchase' THEN 'BUY' ELSE 'SEE' END AS label, count(*) AS count FROM events WHERE event_type IN ('purchase', 'view', 'click') GROUP BY ALL",
 }

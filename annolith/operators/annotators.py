@@ -164,6 +164,7 @@ _RESULT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.S
 
 def parsed(dims: list[str], language: str, timezone: str, ref_time: str | None) -> Column:
     """What the grammar finds, as an array of (start, end, dim, body, value as JSON); Arrow batches, no shuffle."""
+    grammar.language_of(language)  # an unknown one is an error at once
     ref = grammar.reference_time(ref_time, timezone)  # fixed here, so that all tasks and retries have the same
 
     @F.pandas_udf("string")
@@ -192,7 +193,7 @@ class GrammarAnnotator:
 
     def base(self, r: Column) -> list[Column]:
         """The metadata that every result has."""
-        return [r["dim"].alias("dim"), F.parse_json(r["value"]).alias("value"), r["body"].alias("body"), F.lit(self.locale or grammar.language_of(self.language).upper()).alias("locale"), F.lit(self.timezone).alias("timezone")]
+        return [r["dim"].alias("dim"), F.parse_json(r["value"]).alias("value"), r["body"].alias("body"), F.lit(self.locale or grammar.locale_of(self.language)).alias("locale"), F.lit(self.timezone).alias("timezone")]
 
     def made(self, r: Column, label: Column, extra: list[Column] = [], **fields: Column) -> Column:  # noqa: B006
         fields = {"start": r["start"], "end": r["end"], "subtype": r["dim"]} | fields

@@ -205,6 +205,12 @@ def distances(edges: DataFrame, max_distance: float, direction: str = "outgoing"
     return reached if include_self else reached.where("src <> dst")
 
 
+def distance_maps(distances: DataFrame) -> DataFrame:
+    """``src`` and ``distances``, a map from each node reached to its distance: as large a row as a node's neighbourhood."""
+    pairs = F.array_sort(F.collect_list(F.struct("dst", "distance")))
+    return distances.groupBy("src").agg(F.map_from_entries(pairs).alias("distances"))
+
+
 def adjacency(graph: Any, direction: str = "outgoing") -> list[tuple[str, str]]:
     """Edges of a mapping from node to a list, set or mapping of neighbours."""
     if not isinstance(graph, dict):

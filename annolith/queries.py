@@ -228,11 +228,15 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grammar_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times and quantities in all documents (the grammar has no SQL)."""
-    docs = corpus(spark, sf_dir)
-    for a in (A.TemporalAnnotator(language="en", ref_time="2026-07-01T12:00:00"), A.QuantityAnnotator(language="en", ref_time="2026-07-01T12:00:00")):
-        docs = a.annotate(docs)
-    return flatten(docs).drop("ord", "score", "doc_key")
+    """Times and quantities in all documents of the languages that the grammar knows (it has no SQL)."""
+    every = table(spark, sf_dir, "documents")
+    out = []
+    for lang in ("en", "es"):
+        docs = documents(every.where(F.col("lang") == lang).select("doc_id", "text"), "text", "doc_id")
+        for a in (A.TemporalAnnotator(language=lang, ref_time="2026-07-01T12:00:00"), A.QuantityAnnotator(language=lang, ref_time="2026-07-01T12:00:00")):
+            docs = a.annotate(docs)
+        out.append(flatten(docs).drop("ord", "score", "doc_key"))
+    return out[0].union(out[1])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -9,7 +9,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from annolith.functions import grammar, matching
+from annolith.functions import grammar, language, matching
 from annolith.functions import spans as S
 from annolith.model import ANNOTATIONS, documents, flatten, nest
 from annolith.operators import annotators as A
@@ -193,6 +193,17 @@ def test_holders_are_brute_force():
         assert matching.holders(start, end, outer, False) == [next((i for i, x in enumerate(outer) if x[0] <= s[0] and s[1] <= x[1]), None) for s in spans]
 
 
+def test_languages(tmp_path):
+    assert [grammar.locale_of(x) for x in ("es", "en", "fr")] == ["ES_ES", "EN_US", "FR"]
+    with pytest.raises(ValueError):
+        grammar.language_of("fr")
+    with pytest.raises(ValueError):
+        A.parsed(["time"], "xx", "UTC", REF)
+    (tmp_path / "es").mkdir()
+    (tmp_path / "es" / "temporal.yml").write_text("single: [una]\n")
+    assert language.language_resource(str(tmp_path), "ES-mx", "temporal") == {"single": ["una"]} and language.language_resource(str(tmp_path), "en", "temporal") == {}
+
+
 def test_grammar():
     ref = grammar.reference_time(REF, "Europe/Madrid")
     assert ref == datetime(2026, 7, 1, 12, tzinfo=ZoneInfo("Europe/Madrid"))
