@@ -1,21 +1,24 @@
 """LM scoring with a hidden Markov language model over words.
 
 1. Code. Each task codes its documents once, some ``HELD_TOKENS`` at a time (a slice): a dictionary of word hashes, the most
-   frequent first, and the words as numbers in it, stored by bytes of the same weight, which compress well. Documents are sorted
-   by length, cut into segments of about ``SEGMENT_TOKENS``, and laid out time-major: all first tokens, then all second tokens,
-   and so on. In this layout a step of the recursion is one contiguous block of many documents.
+   frequent first, and the words as numbers in it, stored by bytes of the same weight, which compress well. Documents are cut into
+   chunks of ``CHUNK`` tokens, and blocks of chunks are laid out time-major: all first tokens, then all second tokens, and so on.
+   In this layout a step of the recursion is one contiguous stretch of many chunks.
 2. Count. Every slice sends its words with their counts; Spark adds them up. This table, as large as the corpus's vocabulary,
    stays distributed. Words whose share of all tokens is ``min_share`` or more are symbols of their own, at most 1 / ``min_share``
    at any size; every other word belongs to a spelling class, one of ``RARE_CLASSES`` by its last two characters and its length.
-3. Train. Baum-Welch: each task runs scaled forward and backward over its slices and sends expected counts, which Spark
+3. Recursions. What a chunk does to any state is a matrix, the product of its steps; those of a document's chunks give the
+   forward variables before each chunk and the backward variables after it. So all chunks advance together, a text of any length
+   is ``CHUNK`` steps long, and the result is that of the recursion over the whole document.
+4. Train. Baum-Welch: each task runs scaled forward and backward over its slices and sends expected counts, which Spark
    adds up by blocks of symbols; until an iteration gains less than ``TOLERANCE`` of the log-likelihood. The model has
    1 / ``min_share`` + ``RARE_CLASSES`` rows at most, so that the driver holds it and broadcasts it.
-4. Score. A state emits a rare word with P(class | state) * P(word | class). The latter is the word's share of its class in
+5. Score. A state emits a rare word with P(class | state) * P(word | class). The latter is the word's share of its class in
    the table of all words, to which the slices' rare words are joined. The scaled forward recursion, in double precision, gives
    the exact likelihood of each document's words: the sum over all state paths.
 
 A word is its 64-bit hash with its spelling class. Loops run over time steps and states, never over words or documents;
-memory is bounded by blocks of ``BLOCK`` tokens, before which the state of the recursion is kept, whatever the length of a text.
+memory is bounded by blocks of ``BLOCK`` tokens, whatever the length of a text.
 """
 
 from __future__ import annotations
@@ -37,11 +40,13 @@ STATES = 8
 TOLERANCE = 1e-3
 MIN_SHARE = 1e-5
 RARE_CLASSES = 256
-SEGMENT_TOKENS = 1 << 19
-#: Tokens that a task gathers before it sorts and cuts them.
-HELD_TOKENS = 1 << 21
-#: Tokens whose forward variables are held at once.
-BLOCK = 1 << 20
+#: Tokens that a task codes in one slice, about.
+HELD_TOKENS = 1 << 20
+#: Tokens of a block of chunks.
+BLOCK = 1 << 19
+CHUNK = 1 << 13
+#: Steps after which a product of matrices is scaled.
+_SCALE_STEPS = 4
 _PRIOR = 1.0
 _SEND = 512
 
@@ -66,29 +71,63 @@ def rare_class(words: pa.Array) -> np.ndarray:
     return (mix64(tail + size * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(RARE_CLASSES)).astype(np.int64)
 
 
-def time_major(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For document lengths in descending order: the position in document order of each token in time-major order, and
-    the number of documents that have a token at each time."""
-    active = _active(lens)
-    t = np.repeat(np.arange(len(active)), active)
-    starts = np.cumsum(active) - active
-    rank = np.arange(len(t)) - np.repeat(starts, active)
-    begin = np.cumsum(lens) - lens
-    return begin[rank] + t, active
-
-
 def _active(lens: np.ndarray) -> np.ndarray:
-    """The number of documents longer than t, for each t."""
+    """For lengths in descending order the number of those longer than t, for each t."""
     return np.searchsorted(-lens, -np.arange(int(lens.max(initial=0))), side="left")
 
 
-_CODED = "slice bigint, ids binary, valid binary, lens binary, cuts binary, codes binary, words binary, classes binary, counts binary"
-_CODED_FIELDS = pa.schema([("slice", pa.int64()), *[(c, pa.binary()) for c in ("ids", "valid", "lens", "cuts", "codes", "words", "classes", "counts")]])
-
-
-def code(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_tokens: int = HELD_TOKENS, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
-    """One row a slice of documents: ids, whether they are valid, token counts in descending order, documents in each segment,
-    words as numbers (by segment, time-major), and hashes, classes and counts of the slice's distinct words."""
+def time_major(lens: np.ndarray) -> np.ndarray:
+    """For lengths in descending order: the position, in the order of sequences, of each token in time-major order."""
+    active = _active(lens)
+    t = np.repeat(np.arange(len(active)), active)
+    rank = np.arange(len(t)) - np.repeat(np.cumsum(active) - active, active)
+    return (np.cumsum(lens) - lens)[rank] + t
+
+
+class Layout:
+    """How the documents of a slice are cut into chunks, longest first, and chunks into blocks; it follows from the lengths."""
+
+    def __init__(self, lens: np.ndarray, chunk: int = CHUNK, block: int = BLOCK):
+        n = -(-lens // chunk)
+        doc = np.repeat(np.arange(len(lens)), n)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        size = np.minimum(chunk, lens[doc] - number * chunk)
+        order = np.argsort(-size, kind="stable")
+        self.doc, self.number, self.size = doc[order], number[order], size[order]
+        self.begin = (np.cumsum(lens) - lens)[self.doc] + self.number * chunk  # of each chunk in the order of documents
+        self.chunks = n
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self._place, self._first = place, np.cumsum(n) - n
+        self.blocks: list[tuple[int, int, int]] = []  # (first chunk, last + 1, first token)
+        total, lo = np.cumsum(self.size), 0
+        while lo < len(self.size):
+            at = int(total[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(total, at + block, side="right")))
+            self.blocks.append((lo, hi, at))
+            lo = hi
+
+    def places(self, docs: np.ndarray, number: int) -> np.ndarray:
+        """Where the chunks of this number of some documents are."""
+        return self._place[self._first[docs] + number]
+
+    def tokens(self) -> np.ndarray:
+        """For each token in this layout its position in the order of documents."""
+        parts = [np.zeros(0, np.int64)]
+        for lo, hi, _ in self.blocks:
+            own = self.size[lo:hi]
+            flat = np.repeat(self.begin[lo:hi] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            parts.append(flat[time_major(own)])
+        return np.concatenate(parts)
+
+
+_CODED = "slice bigint, ids binary, valid binary, lens binary, codes binary, words binary, classes binary, counts binary"
+_CODED_FIELDS = pa.schema([("slice", pa.int64()), *[(c, pa.binary()) for c in ("ids", "valid", "lens", "codes", "words", "classes", "counts")]])
+
+
+def code(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_tokens: int = HELD_TOKENS) -> DataFrame:
+    """One row a slice of documents: ids, whether they are valid, token counts, words as numbers (in the order of
+    :class:`Layout`), and hashes, classes and counts of the slice's distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -98,17 +137,17 @@ def code(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_t
             ids = batch.column(0)
             held.append((ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_valid().to_numpy(zero_copy_only=False), lens, codes.astype(np.int32), hash_strings(words), rare_class(words)))
             if sum(len(h[3]) for h in held) >= held_tokens:
-                row = _coded_row(number, held, segment_tokens)
+                row = _coded_row(number, held)
                 held, number = [], number + 1
                 pa.default_memory_pool().release_unused()
                 yield row
         if held:
-            yield _coded_row(number, held, segment_tokens)
+            yield _coded_row(number, held)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, _CODED)
 
 
-def _coded_row(number: int, held: list[tuple[np.ndarray, ...]], segment_tokens: int) -> pa.RecordBatch:
+def _coded_row(number: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     ids, valid, lens = (np.concatenate([h[i] for h in held]) for i in range(3))
     words, place, at = np.unique(np.concatenate([h[4] for h in held]), return_index=True, return_inverse=True)
     classes = np.concatenate([h[5] for h in held])[place]
@@ -118,23 +157,12 @@ def _coded_row(number: int, held: list[tuple[np.ndarray, ...]], segment_tokens:
     there = np.argsort(-n, kind="stable")[: int((n > 0).sum())]
     rank = np.zeros(len(words), np.int32)
     rank[there] = np.arange(len(there), dtype=np.int32)
-    order = np.argsort(-lens, kind="stable")
-    begin = (np.cumsum(lens) - lens)[order]
-    size = lens[order]
-    total, lo, cuts, parts = np.cumsum(size), 0, [], [np.zeros(0, np.int32)]
-    while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + segment_tokens, side="right")))
-        own = size[lo:hi]
-        tokens = np.repeat(begin[lo:hi] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
-        parts.append(rank[codes[tokens[time_major(own)[0]]]])
-        cuts.append(hi - lo)
-        lo = hi
-    planes = np.ascontiguousarray(np.concatenate(parts).view(np.uint8).reshape(-1, 4).T)
-    row = [ids[order], valid[order], size.astype(np.int64), np.array(cuts, np.int64), planes, words[there], classes[there].astype(np.int16), n[there].astype(np.int64)]
+    planes = np.ascontiguousarray(rank[codes[Layout(lens).tokens()]].view(np.uint8).reshape(-1, 4).T)
+    row = [ids, valid, lens.astype(np.int64), planes, words[there], classes[there].astype(np.int16), n[there].astype(np.int64)]
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in row]], schema=_CODED_FIELDS)
 
 
-_KINDS = {"ids": np.int64, "valid": bool, "lens": np.int64, "cuts": np.int64, "codes": np.uint8, "words": np.uint64, "classes": np.int16, "counts": np.int64}
+_KINDS = {"ids": np.int64, "valid": bool, "lens": np.int64, "codes": np.uint8, "words": np.uint64, "classes": np.int16, "counts": np.int64}
 
 
 def _rows(table: pa.RecordBatch | pa.Table, *names: str) -> Iterator[list[np.ndarray]]:
@@ -142,14 +170,8 @@ def _rows(table: pa.RecordBatch | pa.Table, *names: str) -> Iterator[list[np.nda
         yield [np.frombuffer(table.column(c)[i].as_buffer(), _KINDS[c]) for c in names]
 
 
-def _segments(lens: np.ndarray, cuts: np.ndarray, planes: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """The documents of each segment, and its words as numbers."""
-    codes = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
-    doc = at = 0
-    for n in cuts.tolist():
-        more = int(lens[doc : doc + n].sum())
-        yield slice(doc, doc + n), codes[at : at + more]
-        doc, at = doc + n, at + more
+def _codes(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
 
 
 def count(coded: DataFrame) -> DataFrame:
@@ -187,98 +209,133 @@ def symbols_of(keys: np.ndarray, words: np.ndarray, classes: np.ndarray) -> np.n
     return np.where(known, at, len(keys) + classes).astype(np.int32)
 
 
-def _blocks(active: np.ndarray, block: int) -> list[tuple[int, int, int, int]]:
-    """Stretches of time of about ``block`` tokens: (first time, last + 1, first token, last + 1)."""
-    ends = np.cumsum(active)
-    out, t = [], 0
-    while t < len(active):
-        at = int(ends[t - 1]) if t else 0
-        to = max(t + 1, int(np.searchsorted(ends, at + block, side="right")))
-        out.append((t, to, at, int(ends[to - 1])))
-        t = to
+def transfers(m: Model, symbols: np.ndarray, at: Layout) -> np.ndarray:
+    """Of each chunk of a document of several: the product of its steps up to a factor, as a matrix over states before and after
+    it. A document's first chunk has no move before its first token."""
+    k = len(m.start)
+    out = np.zeros((len(at.size), k, k), m.move.dtype)
+    several = at.chunks[at.doc] > 1
+    for lo, hi, first in at.blocks:
+        own = np.nonzero(several[lo:hi])[0]
+        if not len(own):
+            continue
+        active = _active(at.size[lo:hi])
+        starts = first + np.cumsum(active) - active
+        left = np.searchsorted(own, active)  # of the chunks in question those that go on
+        e = m.emit[symbols[starts[0] + own]]
+        s = np.where((at.number[lo + own] == 0)[:, None, None], np.eye(k, dtype=out.dtype), m.move) * e[:, None, :]
+        for t in range(1, int((left > 0).sum())):
+            n = int(left[t])
+            e = m.emit[symbols[starts[t] + own[:n]]]
+            x = (s[:n].reshape(-1, k) @ m.move).reshape(n, k, k)
+            x *= e[:, None, :]
+            if t % _SCALE_STEPS == 0:
+                x /= x.sum(axis=(1, 2))[:, None, None]
+            s[:n] = x
+        s /= s.sum(axis=(1, 2))[:, None, None]
+        out[lo + own] = s
     return out
 
 
-def _forward(m: Model, emit: np.ndarray, active: list[int], before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward variables and scales of consecutive times; ``emit`` holds the tokens' emissions, ``before`` what the
-    time before has (none at the start)."""
+def borders(m: Model, symbols: np.ndarray, at: Layout, both: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward variables before each chunk but a document's first, and backward variables after each, scaled to go with
+    the forward variables there."""
+    k = len(m.start)
+    before, after = np.zeros((len(at.size), k), m.move.dtype), np.ones((len(at.size), k), m.move.dtype)
+    most = int(at.chunks.max(initial=0))
+    if most > 1:
+        product = transfers(m, symbols, at)
+        for j in range(1, most):
+            docs = np.nonzero(at.chunks > j)[0]
+            last, here = at.places(docs, j - 1), at.places(docs, j)
+            a = np.matmul((before[last] if j > 1 else np.broadcast_to(m.start, (len(docs), k)))[:, None, :], product[last])[:, 0]
+            before[here] = a / a.sum(axis=1, keepdims=True)
+        for j in range(most - 1, 0, -1) if both else ():
+            docs = np.nonzero(at.chunks > j)[0]
+            last, here = at.places(docs, j - 1), at.places(docs, j)
+            b = np.matmul(product[here], after[here][:, :, None])[:, :, 0]
+            after[last] = b / (before[here] * b).sum(axis=1, keepdims=True)
+    return before, after
+
+
+def _forward(m: Model, emit: np.ndarray, active: list[int], before: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward variables and scales of a block of chunks; ``begins``: which are a document's first."""
     alpha, scale, one = np.empty_like(emit), np.empty(len(emit), emit.dtype), np.ones(emit.shape[1], emit.dtype)
-    at = 0
+    at, last = 0, None
     for n in active:
         a = alpha[at : at + n]
-        if before is None:
-            np.multiply(emit[at : at + n], m.start, out=a)
+        if last is None:
+            np.multiply(np.where(begins[:, None], m.start, before @ m.move), emit[:n], out=a)
         else:
-            np.matmul(before[:n], m.move, out=a)
+            np.matmul(last[:n], m.move, out=a)
             a *= emit[at : at + n]
         c = a @ one
         scale[at : at + n] = c
         a /= c[:, None]
-        before = a
+        last = a
         at += n
     return alpha, scale
 
 
-def log_likelihoods(m: Model, symbols: np.ndarray, lens: np.ndarray, block: int = BLOCK // 4) -> np.ndarray:
-    """Of each document's symbols (time-major, lengths descending): the log of the sum over all state paths."""
-    active, out, before = _active(lens), np.zeros(len(lens)), None
-    for t, to, lo, hi in _blocks(active, block):
-        alpha, scale = _forward(m, m.emit[symbols[lo:hi]], active[t:to].tolist(), before)
-        before = alpha[len(alpha) - active[to - 1] :].copy()
-        rank = np.arange(hi - lo) - np.repeat(np.cumsum(active[t:to]) - active[t:to], active[t:to])
-        own = np.bincount(rank, weights=np.log(scale))
-        out[: len(own)] += own
+def log_likelihoods(m: Model, symbols: np.ndarray, lens: np.ndarray, chunk: int = CHUNK, block: int = BLOCK) -> np.ndarray:
+    """Of each document's symbols (in the order of :class:`Layout`): the log of the sum over all state paths. Only scales are kept."""
+    at, out, one = Layout(lens, chunk, block), np.zeros(len(lens)), np.ones(len(m.start))
+    before, _ = borders(m, symbols, at, both=False)
+    for lo, hi, first in at.blocks:
+        total, a = np.zeros(hi - lo), None
+        for n in _active(at.size[lo:hi]).tolist():
+            a = np.where((at.number[lo:hi] == 0)[:, None], m.start, before[lo:hi] @ m.move) if a is None else a[:n] @ m.move
+            a *= m.emit[symbols[first : first + n]]
+            c = a @ one
+            total[:n] += np.log(c)
+            a /= c[:, None]
+            first += n
+        out += np.bincount(at.doc[lo:hi], weights=total, minlength=len(lens))
     return out
 
 
-def expected_counts(m: Model, symbols: np.ndarray, lens: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch's expected counts (start, move, emit) over all documents of a slice, and their log-likelihood.
-
-    With more than one block the forward pass keeps what it has before each, and is run again when the backward pass gets there.
-    """
-    active, k = _active(lens), len(m.start)
+def expected_counts(m: Model, symbols: np.ndarray, lens: np.ndarray, chunk: int = CHUNK, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch's expected counts (start, move, emit) over all documents of a slice, and their log-likelihood."""
+    at, k = Layout(lens, chunk, block), len(m.start)
     start, move, counts, ll = np.zeros(k), np.zeros((k, k)), np.zeros((len(m.emit), k)), 0.0
-    blocks = _blocks(active, block)
-    before: list[np.ndarray | None] = [None]
-    for t, to, lo, hi in blocks:
-        emit = m.emit[symbols[lo:hi]]
-        alpha, scale = _forward(m, emit, active[t:to].tolist(), before[-1])
-        before.append(alpha[len(alpha) - active[to - 1] :].copy())
+    before, after = borders(m, symbols, at)
+    back = np.ascontiguousarray(m.move.T)
+    for lo, hi, first in at.blocks:
+        active = _active(at.size[lo:hi])
+        own = symbols[first : first + int(active.sum())]
+        begins = at.number[lo:hi] == 0
+        emit = m.emit[own]
+        alpha, scale = _forward(m, emit, active.tolist(), before[lo:hi], begins)
         ll += float(np.log(scale).sum(dtype=np.float64))
-    ahead, back = None, np.ascontiguousarray(m.move.T)
-    for i in range(len(blocks) - 1, -1, -1):
-        t, to, lo, hi = blocks[i]
-        steps = active[t:to].tolist()
-        if i < len(blocks) - 1:
-            emit = m.emit[symbols[lo:hi]]
-            alpha, scale = _forward(m, emit, steps, before[i])
-        at = hi - lo
-        for n in reversed(steps):
-            at -= n
-            a = alpha[at : at + n]
-            x = emit[at : at + n]
-            if ahead is not None:
-                more = len(ahead)
+        ahead, place = None, len(own)
+        for n in reversed(active.tolist()):
+            place -= n
+            a, x, more = alpha[place : place + n], emit[place : place + n], 0 if ahead is None else len(ahead)
+            if more:
                 move += a[:more].T @ ahead
                 beta = ahead @ back
-                a[:more] *= beta  # gamma, in place; beta is one for documents that end here
+                a[:more] *= beta  # gamma, in place
                 x[:more] *= beta
-            x /= scale[at : at + n, None]
+            if more < n:  # those that end here
+                a[more:] *= after[lo + more : lo + n]
+                x[more:] *= after[lo + more : lo + n]
+            x /= scale[place : place + n, None]
             ahead = x
+        move += before[lo:hi][~begins].T @ ahead[~begins]  # from the chunk before
         for s in range(k):
-            counts[:, s] += np.bincount(symbols[lo:hi], weights=alpha[:, s], minlength=len(counts))
-        if not i:
-            start += alpha[: active[0]].sum(axis=0, dtype=np.float64)
+            counts[:, s] += np.bincount(own, weights=alpha[:, s], minlength=len(counts))
+        start += alpha[: hi - lo][begins].sum(axis=0, dtype=np.float64)
     return start, move * m.move, counts, ll
 
 
 def initial(keys: np.ndarray, counts: np.ndarray, states: int = STATES) -> Model:
-    """Every state emits words as often as the corpus has them, up to a factor from a hash of word and state."""
+    """Every state emits words as often as the corpus has them, up to a factor from a hash of word and state, and mostly stays:
+    from there training takes fewer iterations than from states that change often."""
     share = (counts + 0.5) / (counts + 0.5).sum()
     seeds = np.concatenate([keys, np.arange(RARE_CLASSES, dtype=np.uint64)])
     noise = np.stack([(mix64(seeds + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)) / 2.0**53 for s in range(states)], axis=1)
-    emit = share[:, None] * np.exp(2 * noise)
-    return Model(keys, np.full(states, 1 / states), 0.5 * np.eye(states) + 0.5 / states, emit / emit.sum(axis=0))
+    emit = share[:, None] * np.exp(4 * noise)
+    return Model(keys, np.full(states, 1 / states), 0.8 * np.eye(states) + 0.2 / states, emit / emit.sum(axis=0))
 
 
 _SENT = "part bigint, data binary"  # sent as single precision, added up as double
@@ -300,19 +357,17 @@ def step(coded: DataFrame, model: Model, share: np.ndarray) -> tuple[Model, floa
         m = held.value
         head, emit = np.zeros(2 + k + k * k), np.zeros((size, k))
         for batch in batches:
-            for lens, cuts, planes, words, classes in _rows(batch, "lens", "cuts", "codes", "words", "classes"):
-                symbols = symbols_of(m.keys, words, classes)
-                for own, codes in _segments(lens, cuts, planes):
-                    if len(codes):
-                        a, b, c, ll = expected_counts(m, symbols[codes], lens[own])
-                        head += np.concatenate([[ll, len(codes)], a, b.ravel()])
-                        emit += c
+            for lens, planes, words, classes in _rows(batch, "lens", "codes", "words", "classes"):
+                if len(planes):
+                    a, b, c, ll = expected_counts(m, symbols_of(m.keys, words, classes)[_codes(planes)], lens)
+                    head += np.concatenate([[ll, len(planes) // 4], a, b.ravel()])
+                    emit += c
             pa.default_memory_pool().release_unused()
         if head[1]:
             data = [head.tobytes(), *[emit[lo : lo + _SEND].astype(np.float32).tobytes() for lo in range(0, size, _SEND)]]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(data) - 1)), pa.array(data, pa.binary())], schema=_SENT_FIELDS)
 
-    sent = coded.select("lens", "cuts", "codes", "words", "classes").mapInArrow(run, _SENT)
+    sent = coded.select("lens", "codes", "words", "classes").mapInArrow(run, _SENT)
     got = sent.groupBy("part").applyInArrow(_added, _SENT).collect()  # the size of the model
     held.unpersist()
     if not got:
@@ -364,16 +419,18 @@ def score_coded(coded: DataFrame, model: Model, counted: DataFrame, counts: np.n
         m, totals = held.value
         pa.default_memory_pool().release_unused()
         out = []
-        for ids, valid, lens, cuts, planes, words, classes in _rows(left, "ids", "valid", "lens", "cuts", "codes", "words", "classes"):
+        for ids, valid, lens, planes, words, classes in _rows(left, "ids", "valid", "lens", "codes", "words", "classes"):
             symbols = symbols_of(m.keys, words, classes)
             n = np.ones(len(words))
             n[right.column("at").to_numpy()] = right.column("n").to_numpy()
             share = np.where(symbols >= len(m.keys), np.log(n) - np.log(totals[classes] + 1), 0.0)
-            ll = np.zeros(len(lens))
-            for own, codes in _segments(lens, cuts, planes):
-                active = _active(lens[own])
-                rank = np.arange(len(codes)) - np.repeat(np.cumsum(active) - active, active)
-                ll[own] = log_likelihoods(m, symbols[codes], lens[own]) + np.bincount(rank, weights=share[codes], minlength=own.stop - own.start)
+            codes, at = _codes(planes), Layout(lens)
+            ll = log_likelihoods(m, symbols[codes], lens) if at.blocks else np.zeros(len(lens))
+            for lo, hi, first in at.blocks:
+                active = _active(at.size[lo:hi])
+                rank = np.arange(int(active.sum())) - np.repeat(np.cumsum(active) - active, active)
+                own = np.bincount(rank, weights=share[codes[first : first + len(rank)]], minlength=hi - lo)
+                ll += np.bincount(at.doc[lo:hi], weights=own, minlength=len(lens))
             none = lens == 0
             out.append(pa.table([pa.array(ids, mask=~valid), pa.array(lens), pa.array(ll), pa.array(np.exp(-ll / np.maximum(lens, 1)), mask=none)], names=["doc_id", "n_tokens", "log_likelihood", "perplexity"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "perplexity"])

@@ -1,8 +1,8 @@
 """What the operators of this subpackage share: lineage cuts in the shared folder, and columnar text helpers.
 
 The text-heavy operators run in ``mapInArrow`` on whole Arrow columns: a slice of documents is split into words once,
-the words are dictionary-encoded, and everything that follows is numpy on integer codes. No Python loop runs over
-words; loops run over distinct words at most.
+the words are dictionary-encoded, and everything that follows is numpy on integer codes. Python loops run over distinct
+words at most (and the language model's over time steps, each of which advances many texts).
 """
 
 from __future__ import annotations

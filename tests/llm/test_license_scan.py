@@ -73,6 +73,22 @@ def test_every_licence_line_of_the_corpus_is_found(spark, sf_dir):
     assert got == want and want
 
 
+def test_ties_go_to_the_first_by_name(trained):
+    # two families with the same weights and templates: the first is predicted, and its first template confirms
+    import copy
+
+    c = copy.deepcopy(trained)
+    a, b = (c.model.classes.index(x) for x in ("apache", "mit"))
+    c.model.weights[:, b] = c.model.weights[:, a]
+    c.model.bias[b] = c.model.bias[a]
+    c.templates["mit"] = c.templates["apache"]
+    c.least = 0.0
+    kind, prob = ls.classify(c, pa.array(["Licensed under the Apache License, Version 2.0."]))
+    assert prob[0] <= 0.5 + 1e-9 and (kind[0] == 0 or c.model.classes[kind[0]] == "apache")
+    name, like = trained.similarity("mit", "no such words at all")
+    assert (name, like) == ("", 0.0)
+
+
 def brute_findings(c, text):
     """Family, span, probability, template and confirmation of a text's findings: n-grams in nested loops, line by line."""
     import numpy as np

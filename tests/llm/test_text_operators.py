@@ -116,6 +116,19 @@ def test_identify_is_brute_force_and_holds_on_rows_it_has_not_seen(spark, sf_dir
         assert r.margin == pytest.approx(margin) and r.language == (sizes[0][1] if margin >= language_id.MIN_MARGIN else None)
 
 
+def test_languages_of_repeated_rows_and_other_columns(spark):
+    d = {"aa": b"abc abd abe " * 40, "bb": b"xyz xyw xyv " * 40}
+    rows = [(1, "abc abd abe"), (1, "abc abd abe"), (2, "abc"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' AS language", "1 AS size", "2 AS margin", "3 AS nearest")
+    got = language_id.identify(docs, d).collect()
+    assert len(got) == 4 and len({tuple(r) for r in got if r.doc_id == 1}) == 1 and got[0].language == "aa"
+    same = language_id.identify(docs, {"aa": d["aa"], "ab": d["aa"]}).collect()  # sizes tie
+    assert all(r.language is None for r in same) and same[0].nearest == "aa"
+    assert language_id.identify(docs.limit(0), d).count() == 0
+    with pytest.raises(ValueError):
+        language_id.identify(docs, {"aa": b"x"})
+
+
 def test_dictionaries_of_whole_texts(spark):
     rows = [(i, f"text {i} " * 40, "aa") for i in range(5)] + [(9, "x" * 5000, "bb"), (9, "x" * 4000, "bb"), (10, None, "aa"), (11, "t", None), (None, "no id", "aa"), (0, "text 0 " * 40, "aa")]
     d = language_id.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("t", F.lit(1)), 10, 700)
