@@ -5,14 +5,15 @@ least and the greatest in their subsample; documents that few splits isolate are
 2 ** (-mean path length / expected path length), and documents that score above a threshold are rejected. The threshold
 comes from labelled rows: the one that rejects most bad rows while it rejects at most ``clean_loss`` of the good ones.
 
-The forest is grown from a bounded sample of labelled rows, whose labels the trees don't use. From the same rows come the words
-that prose can't do without: those in at least ``COMMON_SHARE`` of them, in whatever languages they are written.
+Training takes all labelled rows: each tree's subsample, of a fixed size as isolation forests have it, is drawn from all of them
+(the trees don't use the labels), and the threshold is exact over all of them. From all of them, too, come the words that prose
+can't do without: those in at least ``COMMON_SHARE`` of the rows, in whatever languages they are written.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,17 +22,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_strings, id_and_text, segment_sums, slices, split_words, texts, written
+from .shared import hash_strings, id_and_text, mix64, remove, segment_sums, slices, split_words, texts, written, written_at
 
 RULES = ["symbol_share", "shout_share", "bar_share", "mark_share", "word_length", "common_share", "repeated_lines", "repeated_words"]
 TREES = 200
 SUBSAMPLE = 256
-SAMPLE_ROWS = 20_000
 CLEAN_LOSS = 0.003
+#: Labels that are looked up in memory at most, 9 bytes each; more are joined by a shuffle.
+LABELS_HELD = 20_000_000
+#: Parts of the scores' range that are counted at once in search of the threshold.
+BINS = 4096
 #: What every text is taken to hold besides its own words and lines, so that shares in a short text mean little.
 PRIOR_WORDS, PRIOR_LENGTH, PRIOR_COMMON, PRIOR_LINES = 20, 5, 0.25, 3
 
-#: Share of sampled documents that hold a common word: those of a language that as many documents are in.
+#: Share of labelled documents that hold a common word: those of a language that as many documents are in.
 COMMON_SHARE = 0.03
 
 _KINDS = np.zeros(256, np.uint8)
@@ -120,12 +124,16 @@ class Forest:
 def grow(x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 11) -> Forest:
     """A forest from random subsamples of ``x``; with fewer than two rows there is nothing to split."""
     rng = np.random.default_rng(seed)
-    size = min(subsample, len(x))
+    return grow_from((x[rng.permutation(len(x))[:subsample]] for _ in range(trees)), trees, min(subsample, len(x)), rng)
+
+
+def grow_from(subsamples: Iterable[np.ndarray], trees: int, size: int, rng: np.random.Generator) -> Forest:
+    """A tree from each of the subsamples, which have ``size`` rows."""
     depth = max(1, math.ceil(math.log2(max(2, size))))
     nodes = (1 << (depth + 1)) - 1
     rule, at, path = np.zeros((trees, nodes), np.int64), np.full((trees, nodes), np.inf), np.zeros((trees, nodes))
-    for t in range(trees):
-        todo = [(0, 0, x[rng.permutation(len(x))[:size]])]
+    for t, drawn in enumerate(subsamples):
+        todo = [(0, 0, drawn)]
         for node, level, own in todo:
             low, high = (own.min(axis=0), own.max(axis=0)) if len(own) else (np.zeros(1), np.zeros(1))
             open_rules = np.nonzero(high > low)[0]
@@ -152,16 +160,99 @@ def calibrate(score: np.ndarray, good: np.ndarray, clean_loss: float = CLEAN_LOS
     return at if (score[~good] > at).any() else math.inf
 
 
-_STATS = pa.schema([("doc_id", pa.int64()), *[(r, pa.float64()) for r in RULES]])
+def calibrate_table(scored: DataFrame, clean_loss: float = CLEAN_LOSS) -> float:
+    """:func:`calibrate` over a table of ``score`` and ``good`` of any size: the same value, found by counting ever finer bins."""
+    good = scored.where("good")
+    n, low, high = good.agg(F.count("*"), F.min("score"), F.max("score")).first()
+    above = int(clean_loss * n)
+    while n and low < high:  # the bin that holds the score that ``above`` good ones exceed
+        each = good.where(F.col("score").between(low, high)).groupBy(F.floor((F.col("score") - low) / (high - low) * BINS).alias("bin"))
+        for _, inside, low, high in each.agg(F.count("*"), F.min("score"), F.max("score")).orderBy(F.desc("bin")).collect():
+            if above < inside:
+                break
+            above -= inside
+    return low if n and scored.where(~F.col("good") & (F.col("score") > low)).count() else math.inf
+
+
+def labelled(docs: DataFrame, labels: DataFrame, held: int = LABELS_HELD) -> DataFrame:
+    """``doc_id``, ``text`` and ``good`` of every row that has a label. Up to ``held`` labels no text is shuffled."""
+    own = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+    own = written(own.agg((F.min("quality").cast("double") != 0).alias("good")), "labels")
+    if own.count() > held:
+        return docs.select("doc_id", "text").join(own, "doc_id")
+    got = own.toArrow().sort_by("doc_id")
+    look = docs.sparkSession.sparkContext.broadcast((got["doc_id"].to_numpy(), got["good"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, good = look.value
+        for batch in slices(batches):
+            key = pc.fill_null(batch.column(0), 0).to_numpy()
+            at = np.minimum(np.searchsorted(ids, key), len(ids) - 1)
+            hit = np.nonzero(batch.column(0).is_valid().to_numpy(zero_copy_only=False) & (ids[at] == key))[0] if len(ids) else at[:0]
+            kept = batch.take(pa.array(hit))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(good[at[hit]], pa.bool_())], names=["doc_id", "text", "good"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, good boolean")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(r).to_numpy() for r in RULES], axis=1)
+
 
+def known_rows(rows: DataFrame, common: list[str]) -> DataFrame:
+    """The rules' values of labelled rows; ``copy`` numbers rows that are the same in all else."""
 
-def _stats(common: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = statistics(texts(batch), common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in x.T]], schema=_STATS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in x.T], batch.column(2)], names=["doc_id", *RULES, "good"])
+
+    each = rows.select("doc_id", "text", "good").mapInArrow(run, ", ".join(["doc_id bigint", *[f"{r} double" for r in RULES], "good boolean"]))
+    return each.groupBy(*each.columns).agg(F.count("*").cast("int").alias("n")).select(*each.columns, F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
+
+
+def draw(known: DataFrame, trees: int, subsample: int) -> list[np.ndarray]:
+    """Each tree's subsample, from all rows: those of the least hashes, which are others for each tree.
+
+    Only rows whose hash is below a limit come to the driver, at the first limit some twice as many as are drawn, whatever the
+    number of rows. It is raised until every tree has its rows.
+    """
+    n = known.count()
+    size, most = min(subsample, n), (1 << 63) - 1
+    limit = min(most, (2 * subsample + 64) * most // max(1, n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, key = _matrix(batch), batch.column("copy").to_numpy().astype(np.uint64)
+            for c in [batch.column("doc_id").to_numpy(), *x.T]:
+                key = mix64(key ^ np.ascontiguousarray(c).view(np.uint64))
+            found = []
+            for t in range(trees):
+                h = (mix64(key + np.uint64(t * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(1)).astype(np.int64)
+                at = np.nonzero(h <= limit)[0]
+                found.append((np.full(len(at), t), h[at], at))
+            tree, h, at = (np.concatenate(c) for c in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(h), *[pa.array(c) for c in x[at].T]], names=["tree", "hash", *RULES])
+
+    while True:
+        got = known.mapInArrow(run, ", ".join(["tree bigint", "hash bigint", *[f"{r} double" for r in RULES]])).toArrow()
+        tree, h = got["tree"].to_numpy(), got["hash"].to_numpy()
+        x = np.stack([got[r].to_numpy() for r in RULES], axis=1)
+        order = np.lexsort((*x.T, h, tree))
+        ends = np.searchsorted(tree[order], np.arange(trees + 1))
+        if limit == most or np.diff(ends).min(initial=size) >= size:
+            return [x[order[i : i + size]] for i in ends[:-1]]
+        limit = min(most, 2 * limit)
+
+
+def scored_rows(known: DataFrame, forest: Forest) -> DataFrame:
+    held = known.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(held.value.scores(_matrix(batch))), batch.column("good")], names=["score", "good"])
 
-    return run
+    return known.mapInArrow(run, "score double, good boolean")
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,27 +266,26 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([plain.dictionary, pa.array(count.astype(np.int64))], names=["word", "n"])
 
 
-def common_words(sample: DataFrame, share: float = COMMON_SHARE) -> list[str]:
-    """Words in at least ``share`` of the sample's rows, sorted: at most a text's mean number of distinct words / ``share``."""
-    each = sample.select("doc_id", "text").mapInArrow(_words, "word string, n bigint").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
-    return sorted(r.word for r in each.where(F.col("n") >= F.lit(share * sample.count())).collect())
+def common_words(rows: DataFrame, share: float = COMMON_SHARE) -> list[str]:
+    """Words in at least ``share`` of the rows, sorted: at most a text's mean number of distinct words / ``share``."""
+    each = rows.select("doc_id", "text").mapInArrow(_words, "word string, n bigint").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+    return sorted(r.word for r in each.where(F.col("n") >= F.lit(share * rows.count())).collect())
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, subsample: int = SUBSAMPLE, clean_loss: float = CLEAN_LOSS, id_col: str = "doc_id", text_col: str = "text") -> Forest:
-    """Grow and calibrate a forest from at most ``sample_rows`` labelled rows, those of the least id hashes.
+def train(docs: DataFrame, labels: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE, clean_loss: float = CLEAN_LOSS, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> Forest:
+    """Grow and calibrate a forest from all labelled rows.
 
     ``labels`` has ``doc_id`` and ``quality`` (0 bad, else good; null is no label). Without labels on both sides nothing
-    is rejected: the threshold is infinite.
+    is rejected: the threshold is infinite. The result doesn't depend on how the rows are partitioned.
     """
-    own = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    chosen = written(id_and_text(docs, id_col, text_col).join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi"), "sample")  # bounded by the parameter
-    common = common_words(chosen)
-    got = chosen.mapInArrow(_stats(common), ", ".join(["doc_id bigint", *[f"{r} double" for r in RULES]])).join(F.broadcast(own), "doc_id").orderBy("doc_id", *RULES).toPandas()
-    x, good = got[RULES].to_numpy(np.float64), got["quality"].to_numpy() != 0
-    forest = grow(x, trees, subsample)
+    rows, path = written_at(labelled(id_and_text(docs, id_col, text_col), labels), "labelled")
+    common = common_words(rows)
+    known = written(known_rows(rows, common), "statistics")
+    remove(docs.sparkSession, path)
+    own = draw(known, trees, subsample)
+    forest = grow_from(own, trees, len(own[0]) if own else 0, np.random.default_rng(seed))
     forest.common = common
-    forest.threshold = calibrate(forest.scores(x), good, clean_loss)
+    forest.threshold = calibrate_table(written(scored_rows(known, forest), "scores"), clean_loss)
     return forest
 
 

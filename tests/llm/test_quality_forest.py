@@ -97,3 +97,55 @@ def test_ties_and_repeated_rows(spark, sf_dir):
     forest.threshold = one.score  # a tie with the threshold is kept
     assert qf.judge(docs, forest).where(F.col("doc_id") == one.doc_id).first().keep
     assert qf.calibrate(np.array([0.5, 0.5, 0.5, 0.9]), np.array([True, True, True, False])) == 0.5
+
+
+def test_training_takes_every_labelled_row(spark):
+    """21,000 labelled rows, more than were once sampled; a word and odd good rows among those of the greatest id hashes."""
+    n = 21_000
+    late = {r.id for r in spark.range(n).orderBy(F.xxhash64("id").desc()).limit(1_000).collect()}
+
+    def text(i):
+        if i in late:
+            return f"la domo {i % 97} estas" + " ##!! ABC" * (i % 11)
+        return f"la domo {i % 97}" + " kaj" * (i % 7) if i % 50 else "| " * 30
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string").repartition(6)
+    bad = {i for i in range(0, n, 50)} - late
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in range(n)], "doc_id long, quality int")
+    forest = qf.train(docs, labels, trees=20)
+    assert "estas" in forest.common  # in 1,000 of 21,000 rows, all of them late
+    got = qf.judge(docs, forest).collect()
+    assert forest.threshold == qf.calibrate(np.array([r.score for r in got]), np.array([r.doc_id not in bad for r in got]))
+    again = qf.train(docs.repartition(3), labels.repartition(2), trees=20)  # rows in another order
+    assert (again.common, again.threshold) == (forest.common, forest.threshold) and np.array_equal(again.at, forest.at)
+
+
+def test_subsamples_are_drawn_from_all_rows(spark):
+    values = [(i, *[float(i + j) for j in range(len(qf.RULES))], True, 1) for i in range(3_000)]
+    known = spark.createDataFrame(values, ", ".join(["doc_id long", *[f"{r} double" for r in qf.RULES], "good boolean", "copy int"])).repartition(5)
+    own = qf.draw(known, 60, 200)
+    assert all(len(np.unique(x[:, 0])) == 200 for x in own)
+    seen = np.bincount(np.concatenate(own)[:, 0].astype(int), minlength=3_000)
+    assert (seen > 0).mean() > 0.95 and seen.max() < 20  # drawn four times on average
+    assert [len(x) for x in qf.draw(known.limit(50), 3, 200)] == [50, 50, 50] and [len(x) for x in qf.draw(known.limit(0), 3, 200)] == [0, 0, 0]
+    few = known.limit(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(900))))  # rows that differ in nothing but their number
+    assert [len(x) for x in qf.draw(few, 4, 200)] == [200] * 4
+
+
+def test_threshold_of_a_table_is_that_of_its_rows(spark):
+    rng = np.random.default_rng(4)
+    for score in (rng.random(5_000), np.round(rng.random(5_000), 2), np.full(40, 0.25), 0.5 + rng.random(3_000) * 1e-13):
+        good = rng.random(len(score)) < 0.8
+        table = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(score, good)], "score double, good boolean")
+        for loss in (0.0, 0.003, 0.2):
+            assert qf.calibrate_table(table, loss) == qf.calibrate(score, good, loss)
+        assert qf.calibrate_table(table.where("good")) == qf.calibrate_table(table.where("not good")) == float("inf")
+
+
+def test_labels_looked_up_or_joined(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (0, "d"), (7, None), (9, "e"), (3, "f")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (7, 1), (9, 2), (None, 1), (3, None), (8, 0)], "doc_id long, quality int")
+    want = [(1, "a", False), (1, "b", False), (7, None, True), (9, "e", True)]
+    for held in (0, 100):
+        assert sorted((tuple(r) for r in qf.labelled(docs, labels, held).collect()), key=str) == sorted(want, key=str)
+    assert qf.labelled(docs, labels.limit(0)).count() == 0
