@@ -28,6 +28,9 @@ _STRINGS = ("label", "layer", "source", "type", "subtype", "metadata")
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 #: Where lower case depends on what is around, or takes two characters.
 _ODD_ALWAYS = "İΣς"
+#: Bytes of a batch that are taken apart at once. A batch of Spark's holds thousands of rows, whose spans as Python objects take many
+#: times its size; by pieces, what a worker holds besides the batch is the same for any input.
+PIECE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -174,6 +177,34 @@ def conflict_order(hits: list[tuple[int, int, int]], priorities: list[int], stra
 # ---------------------------------------------------------------- columns
 
 
+def sizes(array: pa.Array) -> np.ndarray:
+    """About how many bytes each row of strings, lists of numbers and strings, or structs of these takes."""
+    if pa.types.is_struct(array.type):
+        return sum((sizes(x) for x in array.flatten()), np.zeros(len(array), np.int64))
+    if pa.types.is_list(array.type):
+        each = pc.list_value_length(array).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(each)
+        inner = np.concatenate([[0], np.cumsum(sizes(array.flatten()))])
+        return inner[ends] - inner[ends - each] + 8
+    if pa.types.is_string(array.type) or pa.types.is_large_string(array.type):
+        return pc.binary_length(array).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 8
+    return np.full(len(array), 8, np.int64)
+
+
+def pieces(batch: pa.Array, most: int = PIECE) -> Iterator[pa.Array]:
+    """The batch's rows in order, in slices of at most so many bytes, or of one row."""
+    total, at = np.cumsum(sizes(batch)), 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(total, most + (total[at - 1] if at else 0), "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def by_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield from pieces(batch)
+
+
 def annotations(text: Column, terms: list[Term], strategy: str | None = None) -> Column:
     """Annotations of all terms in the order of terms, or what a conflict strategy leaves in text order; empty for a null text."""
     if strategy is not None and strategy not in STRATEGIES:
@@ -184,7 +215,7 @@ def annotations(text: Column, terms: list[Term], strategy: str | None = None) ->
     @F.arrow_udf(ANNOTATIONS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(terms)
-        for batch in batches:
+        for batch in by_pieces(batches):
             offsets, start, end, which, words = [0], [], [], [], []
             for t in batch.to_pylist():
                 hits = matcher.hits(t) if t else []
@@ -210,8 +241,15 @@ def spans(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     @F.arrow_udf(SPAN)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         expression = re.compile(pattern, re.I if ignore_case else 0)
-        for batch in batches:
-            yield pa.array([None if t is None else [{"start": s, "end": e} for s, e in (m.span() for m in expression.finditer(t))] for t in batch.to_pylist()], _SPAN)
+        for batch in by_pieces(batches):
+            offsets, start, end, texts = [0], [], [], batch.to_pylist()
+            for t in texts:
+                for m in expression.finditer(t) if t is not None else ():
+                    start.append(m.start())
+                    end.append(m.end())
+                offsets.append(len(start))
+            struct = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], fields=list(_SPAN.value_type))
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([*(t is None for t in texts), False])), struct)
 
     return run.asNondeterministic()(text)
 
@@ -288,7 +326,7 @@ def chosen(annotations: Column, choice: Choice) -> Column:
     @F.arrow_udf(ANNOTATIONS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str | None, int] = {}
-        for batch in batches:
+        for batch in by_pieces(batches):
             every = batch.flatten()
             values = {c: every.field(c).to_pylist() for c in columns}
             at, take, offsets = 0, [], [0]
@@ -331,7 +369,7 @@ def places(inner: Column, outer: Column, exact: bool) -> Column:
 
     @F.arrow_udf(_PLACES)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in by_pieces(batches):
             rows = zip(*(c.to_pylist() for c in batch.flatten()))
             yield pa.array([None if a is None else holders(a, b, [(-1, -1) if None in x else x for x in zip(c or [], d or [])], exact) for a, b, c, d in rows], pa.list_(pa.int32()))
 

@@ -187,12 +187,11 @@ def quantity_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     upos = lambda t: F.when(F.lower(t).isin("the", "der", "la"), "DET").otherwise("X")
-    words = Mt.annotations(F.col("text"), [Mt.Term(r"[A-Za-z]+", phrase=False, ignore_case=False, bounded=False)])
-    tokens = F.transform(words, lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), upos(a["text"]).alias("upos")))
-    docs = annotated(spark, sf_dir).withColumn("tokens", tokens)
+    docs = annotated(spark, sf_dir).withColumn("tokens", Mt.spans(F.col("text"), r"[A-Za-z]+", False))
     docs = docs.withColumn("p", Mt.places(F.col("annotations"), F.col("tokens"), True))
     zipped = F.arrays_zip(F.col("annotations").alias("a"), F.col("p").alias("p"))
-    with_token = F.transform(zipped, lambda x: F.struct(x["a"]["start"].alias("start"), x["a"]["end"].alias("end"), x["a"]["label"].alias("label"), F.col("tokens")[x["p"]]["upos"].alias("upos")))
+    # a token of the same span has the annotation's text, so that tokens are no more than spans
+    with_token = F.transform(zipped, lambda x: F.struct(x["a"]["start"].alias("start"), x["a"]["end"].alias("end"), x["a"]["label"].alias("label"), F.when(x["p"].isNotNull(), upos(x["a"]["text"])).alias("upos")))
     return docs.select("doc_id", F.inline(with_token))
 
 

@@ -346,3 +346,23 @@ def test_odd_documents(spark):
     docs = docs_of(spark, None, "", "the " * 4_000, "the").withColumn("label", F.lit("x")).withColumn("start", F.lit(1))
     got = AnnotationPipeline([A.PatternAnnotator(A.pattern_rules({"patterns": [{"label": "T", "pattern": "the"}]})), A.TemporalAnnotator(language="en")]).run(docs)
     assert flatten(got).groupBy("doc_id").count().orderBy("doc_id").collect()[0]["count"] == 4_000
+
+
+def test_batches_are_taken_by_pieces(spark):
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    words = [None if rng.random() < 0.2 else "é" * rng.randint(0, 200) for _ in range(300)]
+    spans = [None if rng.random() < 0.2 else list(range(rng.randint(0, 60))) for _ in range(300)]
+    cases = [pa.array(words, pa.string()), pa.array(spans, pa.list_(pa.int32())), pa.StructArray.from_arrays([pa.array(spans, pa.list_(pa.int32())), pa.array([[w] for w in words], pa.list_(pa.string()))], names=["a", "b"]), pa.array(words).slice(50, 200), pa.array([], pa.string()), pa.nulls(3, pa.string())]
+    for batch in cases:
+        got = list(matching.pieces(batch, 500))
+        assert [x for p in got for x in p.to_pylist()] == batch.to_pylist()
+        assert all(len(p) == 1 or matching.sizes(p).sum() <= 500 for p in got) and (len(batch) < 100 or len(got) > 20)
+    # more text than one piece, in one batch, with nulls and an expression that matches nothing
+    texts = [None if i % 7 == 0 else f"w{i} " * 400 for i in range(900)]
+    docs = documents(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), "text", "id")
+    got = docs.select("doc_id", matching.spans(F.col("text"), "w[0-9]+|(?=w)", False).alias("s"), matching.annotations(F.col("text"), [matching.Term(r"w\d+", "W", phrase=False, bounded=False)]).alias("a")).collect()
+    for r in got:
+        want = None if texts[r.doc_id] is None else [m.span() for m in re.finditer("w[0-9]+|(?=w)", texts[r.doc_id])]
+        assert (None if r.s is None else [tuple(x) for x in r.s]) == want and [(x.start, x.end) for x in r.a] == (want or [])
