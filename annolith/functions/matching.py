@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import ANNOTATIONS
-from .spans import SPAN, _cases, bounded
+from .spans import SPAN, _cases, bounded, once
 
 _STRINGS = ("label", "layer", "source", "type", "subtype", "metadata")
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -319,30 +319,44 @@ class Choice:
         return sorted(kept, key=lambda i: (start[i], end[i]))
 
 
-def chosen(annotations: Column, choice: Choice) -> Column:
-    """The annotations that a choice leaves, in its order; null for null."""
-    columns = choice.columns
+_PLACES = T.ArrayType(T.IntegerType())
 
-    @F.arrow_udf(ANNOTATIONS)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str | None, int] = {}
-        for batch in by_pieces(batches):
-            every = batch.flatten()
-            values = {c: every.field(c).to_pylist() for c in columns}
-            at, take, offsets = 0, [], [0]
-            for n in pc.list_value_length(batch).fill_null(0).to_pylist():
-                if n:
-                    picked = choice.pick({c: v[at : at + n] for c, v in values.items()}, known) if n > 1 or choice.result == "paint" else [0]
-                    take += [at + i for i in picked]
-                    at += n
-                offsets.append(len(take))
-            none = batch.is_null().to_pylist()
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([*none, False])) if any(none) else pa.array(offsets, pa.int32()), every.take(pa.array(take, pa.int64())))
 
-    return run.asNondeterministic()(annotations)
+def places_chosen(annotations: Column, choices: tuple[Choice, ...]) -> Column:
+    """Where in the array the annotations are that choices, one after the other, leave, in the last one's order; null for null.
 
+    Only what the choices look at goes to Python, and only places come back.
+    """
+    columns = list(dict.fromkeys(c for choice in choices for c in choice.columns))
 
-_PLACES = T.ArrayType(T.IntegerType())
+    @F.arrow_udf(_PLACES)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str | None, int] = {}
+        for batch in by_pieces(batches):
+            out: list[list[int] | None] = []
+            for values in zip(*(c.to_pylist() for c in batch.flatten())):
+                if values[0] is None:
+                    out.append(None)
+                    continue
+                row, places = dict(zip(columns, values)), list(range(len(values[0])))
+                for choice in choices:
+                    if len(places) > 1 or choice.result == "paint":
+                        picked = choice.pick(row, known)
+                        row, places = {c: [v[i] for i in picked] for c, v in row.items()}, [places[i] for i in picked]
+                out.append(places)
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    return run.asNondeterministic()(F.struct(*[annotations[c].alias(c) for c in columns]))
+
+
+def chosen(annotations: Column, *choices: Choice) -> Column:
+    """The annotations that a choice leaves, in its order; null for null. A choice of what another one left is made with it."""
+    source, before = vars(annotations).get("_chosen", (annotations, ()))
+    choices = (*before, *choices)
+    both = F.struct(places_chosen(source, choices).alias("p"), source.alias("a"))
+    out = once(both, lambda x: F.transform(x["p"], lambda i: F.get(x["a"], i)))
+    vars(out)["_chosen"] = (source, choices)
+    return out
 
 
 def holders(start: list[int], end: list[int], outer: list[tuple[int, int]], exact: bool) -> list[int | None]:

@@ -366,3 +366,17 @@ def test_batches_are_taken_by_pieces(spark):
     for r in got:
         want = None if texts[r.doc_id] is None else [m.span() for m in re.finditer("w[0-9]+|(?=w)", texts[r.doc_id])]
         assert (None if r.s is None else [tuple(x) for x in r.s]) == want and [(x.start, x.end) for x in r.a] == (want or [])
+
+
+def test_choices_of_choices_and_what_goes_to_python(spark):
+    lists = [[ann(0, 9, layer="social"), ann(2, 5), ann(9, 12), ann(3, 14, layer="contact")], [], None, [ann(4, 6)], [ann(0, 4), ann(4, 4), ann(2, 6)]]
+    rows = [(i, "x" * 60, x) for i, x in enumerate(lists)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, annotations {ANNOTATIONS.simpleString()}")
+    at_once = docs.select("doc_id", R.paint_order(R.select_visible(F.col("annotations"))).alias("a"))
+    in_steps = docs.withColumn("annotations", R.select_visible(F.col("annotations"))).select("doc_id", R.paint_order(F.col("annotations")).alias("a"))
+    assert at_once.orderBy("doc_id").collect() == in_steps.orderBy("doc_id").collect()
+    assert at_once.where("doc_id = 2").first().a is None and [tuple(x) for x in at_once.where("doc_id = 0").first().a] == [lists[0][3]]
+    # starts and ends go to Python and places come back: no texts, no metadata
+    plan = docs.select(R.paint_order(F.col("annotations")).alias("a"))._jdf.queryExecution().executedPlan().toString()
+    node = next(x for x in plan.splitlines() if "ArrowEvalPython" in x)
+    assert "start" in node and "metadata" not in node.split("run(")[1].split(")")[0]
