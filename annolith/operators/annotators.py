@@ -7,11 +7,13 @@ quantities are parsed by a grammar in an Arrow-batched function; their filters a
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from ..functions import grammar
 from ..functions.language import QuantityRules, TemporalRules, quantity_rules, temporal_rules
 from ..functions.matching import Term
 from ..functions.matching import annotations as annotations_of
+from ..functions.matching import by_pieces
 from ..functions.spans import strip, surface
 from ..model import annotation, append
 from .resolve import resolve_layer
@@ -160,6 +163,7 @@ def entities_of(docs: DataFrame) -> Column:
 # ---------------------------------------------------------------- times and quantities
 
 _RESULT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("dim", T.StringType()), T.StructField("body", T.StringType()), T.StructField("value", T.StringType())]))
+_RESULT_ARROW = pa.list_(pa.struct([(f.name, pa.int32() if f.name in ("start", "end") else pa.string()) for f in _RESULT.elementType.fields]))
 
 
 def parsed(dims: list[str], language: str, timezone: str, ref_time: str | None) -> Column:
@@ -167,11 +171,12 @@ def parsed(dims: list[str], language: str, timezone: str, ref_time: str | None)
     grammar.language_of(language)  # an unknown one is an error at once
     ref = grammar.reference_time(ref_time, timezone)  # fixed here, so that all tasks and retries have the same
 
-    @F.pandas_udf("string")
-    def parse(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else dump([r | {"value": dump(r["value"])} for r in grammar.parse(t, set(dims), language, ref)]))
+    @F.arrow_udf(_RESULT)
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in by_pieces(batches):
+            yield pa.array([None if t is None else [r | {"value": dump(r["value"])} for r in grammar.parse(t, set(dims), language, ref)] for t in batch.to_pylist()], _RESULT_ARROW)
 
-    return F.from_json(parse.asNondeterministic()(F.col("text")), _RESULT)  # so that it isn't copied: once a text
+    return parse.asNondeterministic()(F.col("text"))  # so that it isn't copied: once a text
 
 
 @dataclass

@@ -380,3 +380,24 @@ def test_choices_of_choices_and_what_goes_to_python(spark):
     plan = docs.select(R.paint_order(F.col("annotations")).alias("a"))._jdf.queryExecution().executedPlan().toString()
     node = next(x for x in plan.splitlines() if "ArrowEvalPython" in x)
     assert "start" in node and "metadata" not in node.split("run(")[1].split(")")[0]
+
+
+@pytest.mark.parametrize("lang", ["es", "en"])
+def test_grammar_searches_where_a_match_can_begin(lang):
+    g, rng = grammar, random.Random(5)
+    dims = frozenset(g._RULES_OF)
+    words = [*g._NUMBERS[lang], *g._UNITS[lang], *g._DAYS[lang], *g._MONTHS[lang], *g._RELATIVE[lang], *g._ORDINALS[lang], *g._MONEY, *(u for x in g._MEASURES.values() for u in x), *"el la próximo próxima pasado pasada next last en in dentro de hace ago on of 5 12 2026 1987 3.000 3,5 1,234.5 2026-03-04 4/5/2024 3rd ² x5 5x _5".split()]
+    finder, rules = g._Finder(lang, dims), g._rules(lang)
+    for _ in range(1500):
+        text = "".join(rng.choice([w, w.upper(), w.title()]) + rng.choice([" "] * 5 + ["", "s ", ".", "-", "/", "€", "\n", "K"]) for w in rng.choices(words, k=8))
+        find = finder.matches(text)
+        assert {name: [m.span() for m in find(name)] for name in rules} == {name: [m.span() for m in r.finditer(text)] for name, r in rules.items()}, text
+
+
+def test_grammar_takes_time_in_proportion_to_results():
+    import time
+
+    ref = grammar.reference_time(REF, "Europe/Madrid")
+    began = time.process_time()
+    got = grammar.parse("3 km y 4 euros, " * 8000, {"number", "distance", "amount-of-money"}, "es", ref)
+    assert len(got) == 16000 and time.process_time() - began < 10
