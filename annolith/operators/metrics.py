@@ -70,12 +70,6 @@ def layers(flat: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- salience
 
 
-def most_common(flat: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """The value that most of a key's rows have; ties by first appearance."""
-    each = flat.groupBy(*keys, value.alias("__v")).agg(F.count("*").alias("n"), _first().alias("first"))
-    return each.groupBy(*keys).agg(F.min_by("__v", F.struct(-F.col("n"), "first")).alias(name), F.sum("n").alias("tf"), F.min("first").alias("first"))
-
-
 def salience_scores(docs: DataFrame, flat: DataFrame, layer: str | None = None, label: str | None = None) -> DataFrame:
     """TF, DF, smoothed IDF and score of every (layer, label, canonical); the filters do not change the document count."""
     keyed = flat.select("doc_id", "doc_key", "ord", _empty("layer").alias("layer"), _empty("label").alias("label"), canonical(F.col("text"), F.col("metadata")).alias("canonical"), _empty("text").alias("text"))
@@ -184,10 +178,15 @@ def observed_concepts(docs: DataFrame, flat: DataFrame, layer: str) -> DataFrame
     """TF, DF, IDF and score of every concept that annotations of the layer name."""
     uri = F.nullif(meta(F.col("metadata"), "concept_uri"), F.lit(""))
     own = flat.where(F.col("layer") == layer).select("doc_id", "doc_key", "ord", uri.alias("concept_uri"), _empty("text").alias("text"), _empty("label").alias("label")).where("concept_uri is not null")
-    display = most_common(own, ["concept_uri"], F.col("text"), "display").drop("first")
-    label = most_common(own, ["concept_uri"], F.col("label"), "label").drop("first", "tf")
-    df = own.groupBy("concept_uri").agg(F.countDistinct("doc_key").alias("df"))
-    got = display.join(label, "concept_uri").join(df, "concept_uri").withColumn("idf", smoothed_idf(total(docs), F.col("df")))
+    # one branch, so that texts are searched once: a document's annotations of a concept meet, and its first one counts the document
+    met = own.groupBy("concept_uri", "doc_id", "doc_key").agg(F.collect_list(F.struct("ord", "text", "label")).alias("a"))
+    each = met.select("concept_uri", "doc_id", "doc_key", F.posexplode("a").alias("place", "x")).select("concept_uri", "doc_id", "doc_key", "x.*", (F.col("place") == 0).cast("bigint").alias("document"))
+    uri, text, label = F.col("concept_uri"), F.col("text"), F.col("label")
+    sets = each.groupingSets([[uri, text], [uri, label]], uri, text, label).agg(F.count("*").alias("n"), F.sum("document").alias("df"), _first().alias("first"), F.grouping_id().alias("g"))
+    texts, order = F.col("g") == 1, F.struct(-F.col("n"), "first")
+    most = lambda c, own: F.min_by(c, F.when(own, order)).alias(c)
+    got = sets.groupBy("concept_uri").agg(most("text", texts).alias("display"), most("label", ~texts), F.sum(F.when(texts, F.col("n"))).alias("tf"), F.sum(F.when(texts, F.col("df"))).alias("df"))
+    got = got.withColumn("idf", smoothed_idf(total(docs), F.col("df")))
     return got.withColumn("observed_score", F.col("tf") * F.col("idf"))
 
 

@@ -401,3 +401,13 @@ def test_grammar_takes_time_in_proportion_to_results():
     began = time.process_time()
     got = grammar.parse("3 km y 4 euros, " * 8000, {"number", "distance", "amount-of-money"}, "es", ref)
     assert len(got) == 16000 and time.process_time() - began < 10
+
+
+def test_concepts_are_observed_in_one_pass(spark):
+    about = lambda c: json.dumps({"concept_uri": c})
+    docs = with_annotations(spark, [ann(0, 1, "B", metadata=about("u"), text="y"), ann(1, 2, "A", metadata=about("u"), text="x"), ann(2, 3, "A", metadata=about("v"), text="z")], [ann(0, 1, "A", metadata=about("u"), text="y")], [])
+    got = M.observed_concepts(docs, flatten(docs), "a")
+    assert {r.concept_uri: (r.display, r.label, r.tf, r.df) for r in got.collect()} == {"u": ("y", "A", 3, 2), "v": ("z", "A", 1, 1)}
+    text = A.PatternAnnotator(A.pattern_rules({"patterns": [{"label": "L", "pattern": "x"}]})).annotate(docs_of(spark, "x"))
+    plan = M.observed_concepts(text, flatten(text), "pattern")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
