@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import meta
+from ..functions.spans import once
 from ..model import FIELDS, flatten, no_annotations
 
 _SUFFIXES = {".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".txt": "text", ".text": "text"}
@@ -22,15 +22,15 @@ def infer_output_format(path: str, fmt: str | None = None) -> str:
     return fmt or ("jsonl" if path == "-" else _SUFFIXES.get(PurePosixPath(path).suffix.lower(), "json"))
 
 
-def _variant(a: Column, key: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(a["metadata"]), f"$.{key}", "variant")
+def compact_metadata(a: Column) -> Column:
+    """The metadata that the compact profile keeps, as JSON with the values' own types; null if nothing is left. It is parsed once."""
 
+    def kept(v: Column) -> Column:
+        value = {k: F.try_variant_get(v, f"$.{k}", "variant") for k in COMPACT_METADATA}
+        return F.array_compact(F.array(*[F.when(~F.is_variant_null(x), F.concat(F.lit(json.dumps(k) + ":"), F.to_json(x))) for k, x in value.items()]))
 
-def compact_metadata(a: Column) -> Column:
-    """The metadata that the compact profile keeps, as JSON with the values' own types; null if nothing is left."""
-    pairs = F.array(*[F.when(meta(a["metadata"], k).isNotNull(), F.concat(F.lit(json.dumps(k) + ":"), F.to_json(_variant(a, k)))) for k in COMPACT_METADATA])
-    kept = F.array_compact(pairs)
-    return F.when(F.size(kept) > 0, F.concat(F.lit("{"), F.array_join(kept, ","), F.lit("}")))
+    pairs = once(F.try_parse_json(a["metadata"]), kept)
+    return once(pairs, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("{"), F.array_join(x, ","), F.lit("}"))))
 
 
 def compact_annotations(annotations: Column) -> Column:

@@ -411,3 +411,12 @@ def test_concepts_are_observed_in_one_pass(spark):
     text = A.PatternAnnotator(A.pattern_rules({"patterns": [{"label": "L", "pattern": "x"}]})).annotate(docs_of(spark, "x"))
     plan = M.observed_concepts(text, flatten(text), "pattern")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_compact_metadata_is_parsed_once(spark):
+    rows = ['{"wikidata": "Q1", "normalized": 1.50, "grain": null, "unit": "", "other": 2}', '{"normalized": {"a": [1, null]}, "multiplier_value": true}', "{}", "broken", None, '{"grain": null}']
+    docs = with_annotations(spark, [ann(0, 1, metadata=m) for m in rows])
+    made = docs.select(F.transform("annotations", lambda a: writers.compact_metadata(a)).alias("m"))
+    assert made.first().m == ['{"wikidata":"Q1","normalized":1.5,"unit":""}', '{"normalized":{"a":[1,null]},"multiplier_value":true}', None, None, None, None]
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json") == 1 and "get_json_object" not in plan
