@@ -7,13 +7,16 @@ they are, told apart by ``doc_key``: ids may be null or repeated. Where values t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.matching import by_pieces
 from ..functions.spans import canonical, distance_weight, meta, smoothed_idf
 from ..model import FIELDS, no_annotations, with_key
 
@@ -97,7 +100,6 @@ def salience(docs: DataFrame, flat: DataFrame, top: int = 20, layer: str | None
 
 
 _TF = T.ArrayType(T.StructType([T.StructField("tf", T.IntegerType()), T.StructField("first", T.BooleanType())]))
-_TF_ARROW = pa.list_(pa.struct([("tf", pa.int32()), ("first", pa.bool_())]))
 
 
 def term_frequencies(annotations: Column, layer: str) -> Column:
@@ -105,24 +107,21 @@ def term_frequencies(annotations: Column, layer: str) -> Column:
 
     @F.arrow_udf(_TF)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            out = []
+        for batch in by_pieces(batches):
+            offsets, tf, first, none = [0], [], [], []
             for labels, layers in zip(*(c.to_pylist() for c in batch.flatten())):
-                if labels is None:
-                    out.append(None)
-                    continue
-                count: dict[str | None, int] = {}
-                for x, y in zip(labels, layers):
-                    if y == layer:
-                        count[x] = count.get(x, 0) + 1
+                none.append(labels is None)
+                count = Counter(x for x, y in zip(labels or [], layers or []) if y == layer)
                 seen: set[str | None] = set()
-                row = []
-                for x, y in zip(labels, layers):
-                    row.append({"tf": count[x], "first": x not in seen} if y == layer else None)
+                for x, y in zip(labels or [], layers or []):
+                    tf.append(count[x] if y == layer else None)
+                    first.append(x not in seen if y == layer else None)
                     if y == layer:
                         seen.add(x)
-                out.append(row)
-            yield pa.array(out, _TF_ARROW)
+                offsets.append(len(tf))
+            each = pa.array(tf, pa.int32())
+            struct = pa.StructArray.from_arrays([each, pa.array(first, pa.bool_())], names=["tf", "first"], mask=each.is_null())
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([*none, False])), struct)
 
     return run.asNondeterministic()(F.struct(annotations["label"].alias("label"), annotations["layer"].alias("layer")))
 
