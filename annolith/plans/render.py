@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.matching import by_pieces
 from ..operators.resolve import paint_order, select_visible
 
 COLORS = {"ontology": "#ffd6d6", "temporal": "#d6e4ff", "cantidades": "#d6fff6", "ner": "#e6d6ff", "dbpedia": "#d6ffd9", "dinero": "#fff2cc"}
@@ -53,9 +54,10 @@ def fragments(docs: DataFrame, colors: dict[str, str] | None = None) -> DataFram
     rows = docs.select("doc_id", "text", F.to_json(shown).alias("spans"))
 
     def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([annotated_html(t or "", json.loads(s or "[]"), colors) for t, s in pairs], pa.string())], names=["doc_id", "html"])
+        for batch in by_pieces(b.to_struct_array() for b in batches):
+            ids, texts, spans = batch.flatten()
+            pairs = zip(texts.to_pylist(), spans.to_pylist())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([annotated_html(t or "", json.loads(s or "[]"), colors) for t, s in pairs], pa.string())], names=["doc_id", "html"])
 
     return rows.mapInArrow(paint, T.StructType([rows.schema["doc_id"], T.StructField("html", T.StringType())]))
 
