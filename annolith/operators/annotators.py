@@ -23,7 +23,7 @@ from ..functions.language import QuantityRules, TemporalRules, quantity_rules, t
 from ..functions.matching import Term
 from ..functions.matching import annotations as annotations_of
 from ..functions.matching import by_pieces
-from ..functions.spans import strip, surface
+from ..functions.spans import once, strip, surface
 from ..model import annotation, append
 from .resolve import resolve_layer
 
@@ -217,19 +217,22 @@ def value_of(r: Column, path: str) -> Column:
 
 def first_true(*values: Column) -> Column:
     """The first that is neither null, nor empty, nor zero."""
-    return F.coalesce(*[F.when(~v.isin("", "0", "0.0", "false", "null"), v) for v in values])
+    return F.coalesce(*[once(v, lambda x: F.when(~x.isin("", "0", "0.0", "false", "null"), x)) for v in values])
 
 
 def is_bad_temporal_surface(text: Column, dim: Column, grain: Column, rules: TemporalRules) -> Column:
     """Surfaces that look like times and are none, by the language's lists."""
-    low = F.lower(strip(text))
+    return _bad_surface(strip(text), F.lower(strip(text)), dim, grain, rules)
+
+
+def _bad_surface(plain: Column, low: Column, dim: Column, grain: Column, rules: TemporalRules) -> Column:
     words = F.split(low, r"(?U)\s+")
     among = lambda c, values: c.isin(*sorted(values)) if values else F.lit(False)
     two = F.size(words) == 2
     second = F.coalesce(F.try_element_at(words, F.lit(2)), F.lit(""))
     prefixed = reduce(lambda a, b: a | b, [(grain == g) & F.startswith(low, F.lit(p)) for g, ps in rules.prefixes.items() for p in ps], F.lit(False))
     return F.coalesce(
-        among(strip(text), rules.exact)
+        among(plain, rules.exact)
         | (low == "")
         | among(low, rules.single)
         | (among(low, rules.years) & (F.coalesce(grain, F.lit("")) == "year"))
@@ -255,15 +258,20 @@ class TemporalAnnotator(GrammarAnnotator):
         labels = F.create_map(*[F.lit(x) for x in ("time", "DATE", "duration", "DURATION", "time-grain", "TIME_GRAIN")])
 
         def fine(r: Column) -> Column:
-            own = surface(text, r["start"], r["end"])
-            bad = is_bad_temporal_surface(own, r["dim"], value_of(r, "grain"), rules)
-            if rules.person_months:
-                e = entity_around(entities, r["start"], r["end"])
-                bad |= F.lower(strip(own)).isin(*sorted(rules.person_months)) & F.coalesce(F.upper(e["type"]).isin("PER", "PERSON"), F.lit(False))
-            return ~bad
+            def good(plain: Column, low: Column, grain: Column) -> Column:
+                bad = _bad_surface(plain, low, r["dim"], grain, rules)
+                if rules.person_months:
+                    e = entity_around(entities, r["start"], r["end"])
+                    bad |= low.isin(*sorted(rules.person_months)) & F.coalesce(F.upper(e["type"]).isin("PER", "PERSON"), F.lit(False))
+                return ~bad
+
+            own = F.struct(strip(surface(text, r["start"], r["end"])).alias("plain"), value_of(r, "grain").alias("grain"))
+            return once(own, lambda x: once(F.lower(x["plain"]), lambda low: good(x["plain"], low, x["grain"])))
 
         def make(r: Column) -> Column:
-            normal = first_true(value_of(r, "value"), value_of(r, "from.value"), value_of(r, "to.value"))
+            return once(first_true(value_of(r, "value"), value_of(r, "from.value"), value_of(r, "to.value")), lambda normal: made(r, normal))
+
+        def made(r: Column, normal: Column) -> Column:
             typed = F.when(r["dim"] == "duration", F.parse_json(F.coalesce(normal, F.lit("null")))).otherwise(F.parse_json(F.concat(F.lit('"'), normal, F.lit('"'))))
             extra = [typed.alias("normalized"), value_of(r, "grain").alias("grain"), F.parse_json(r["value"]).alias("raw_value"), r["dim"].alias("duckling_dim"), r["body"].alias("duckling_body")]
             return self.made(r, F.coalesce(labels[r["dim"]], F.lit("TEMPORAL")), extra)

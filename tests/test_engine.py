@@ -420,3 +420,9 @@ def test_compact_metadata_is_parsed_once(spark):
     assert made.first().m == ['{"wikidata":"Q1","normalized":1.5,"unit":""}', '{"normalized":{"a":[1,null]},"multiplier_value":true}', None, None, None, None]
     plan = made._jdf.queryExecution().analyzed().toString()
     assert plan.count("parse_json") == 1 and "get_json_object" not in plan
+
+
+def test_what_a_filter_looks_at_is_made_once(spark):
+    made = A.TemporalAnnotator(language="es", ref_time=REF).annotate(docs_of(spark, "en julio"))
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 1 and [r.text for r in flatten(made).collect()] == ["julio"]
