@@ -222,11 +222,15 @@ def first_true(*values: Column) -> Column:
 
 def is_bad_temporal_surface(text: Column, dim: Column, grain: Column, rules: TemporalRules) -> Column:
     """Surfaces that look like times and are none, by the language's lists."""
-    return _bad_surface(strip(text), F.lower(strip(text)), dim, grain, rules)
+    return once(strip(text), lambda plain: once(F.lower(plain), lambda low: _bad_surface(plain, low, dim, grain, rules)))
 
 
 def _bad_surface(plain: Column, low: Column, dim: Column, grain: Column, rules: TemporalRules) -> Column:
-    words = F.split(low, r"(?U)\s+")
+    """Of a surface without white space around it, and the same in lower case; what many lists look at is computed once."""
+    return once(F.split(low, r"(?U)\s+"), lambda words: _bad_words(plain, low, words, dim, grain, rules))
+
+
+def _bad_words(plain: Column, low: Column, words: Column, dim: Column, grain: Column, rules: TemporalRules) -> Column:
     among = lambda c, values: c.isin(*sorted(values)) if values else F.lit(False)
     two = F.size(words) == 2
     second = F.coalesce(F.try_element_at(words, F.lit(2)), F.lit(""))

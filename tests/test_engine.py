@@ -426,3 +426,11 @@ def test_what_a_filter_looks_at_is_made_once(spark):
     made = A.TemporalAnnotator(language="es", ref_time=REF).annotate(docs_of(spark, "en julio"))
     plan = made._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace") == 1 and [r.text for r in flatten(made).collect()] == ["julio"]
+
+
+def test_a_surface_is_taken_apart_once(spark):
+    df = spark.createDataFrame([(" A  cuatro\t",), ("un 30",), ("SEP",), ("sep",), (" ",), (None,)], "s string")
+    made = df.select(A.is_bad_temporal_surface(F.col("s"), F.lit("time"), F.lit("minute"), language.temporal_rules("es")).alias("bad"))
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert [r.bad for r in made.collect()] == [True, True, True, False, True, True]
+    assert plan.count("regexp_replace") == 1 and plan.count("split(") == 1
